@@ -1,7 +1,9 @@
 """Operator 1, quality rules: line-first cleaning.
 
 Each line of a document is tried against three kinds of rules; lines that fail
-are removed, and a document that loses too much of its text is rejected.
+are removed, and a document that loses too much of its text is rejected. The
+share that is kept is taken of the text besides boilerplate, as a licence line
+says nothing against a short text.
 
 * punctuation: the line ends without a closing mark and holds no finished
   sentence; or symbols make up more than `symbol_share` of it; or it is
@@ -67,8 +69,10 @@ def judge(docs: DataFrame, min_share: float = 0.5, symbol_share: float = 0.1, se
         hits(2).alias("n_navigation"),
         hits(3).alias("n_boilerplate"),
         chars(F.col("marks")).alias("chars_in"),
+        chars(F.filter("marks", lambda m: m["code"] == 3)).alias("chars_boilerplate"),
     ).withColumn("chars_kept", chars(F.col("kept")))
-    share = F.when(F.col("chars_in") > 0, F.col("chars_kept") / F.col("chars_in")).otherwise(F.lit(0.0))
+    own = F.col("chars_in") - F.col("chars_boilerplate")
+    share = F.when(own > 0, F.col("chars_kept") / own).otherwise(F.lit(0.0))
     return d.select(
         "doc_id",
         "n_lines",
@@ -106,11 +110,12 @@ m as (select doc_id, text, list_transform(lines, lambda x: {{'line': x, 'code':
 k as (select doc_id, text, list_filter(marks, lambda x: x.code = 0) as kept, len(marks) as n_lines,
   len(list_filter(marks, lambda x: x.code = 1)) as n_punctuation, len(list_filter(marks, lambda x: x.code = 2)) as n_navigation,
   len(list_filter(marks, lambda x: x.code = 3)) as n_boilerplate,
-  coalesce(list_sum(list_transform(marks, lambda x: length(x.line))), 0)::bigint as chars_in from m),
+  coalesce(list_sum(list_transform(marks, lambda x: length(x.line))), 0)::bigint as chars_in,
+  coalesce(list_sum(list_transform(list_filter(marks, lambda x: x.code <> 3), lambda x: length(x.line))), 0)::bigint as own from m),
 s as (select *, coalesce(list_sum(list_transform(kept, lambda x: length(x.line))), 0)::bigint as chars_kept from k)
 select doc_id, n_lines, n_punctuation, n_navigation, n_boilerplate, chars_in, chars_kept,
-  round(case when chars_in > 0 then chars_kept::double / chars_in else 0 end, 6) as kept_share,
-  chars_kept > 0 and chars_kept::double / greatest(chars_in, 1) >= 0.5 as keep,
+  round(case when own > 0 then chars_kept::double / own else 0 end, 6) as kept_share,
+  chars_kept > 0 and chars_kept::double / greatest(own, 1) >= 0.5 as keep,
   case when len(kept) = n_lines then coalesce(text, '') else array_to_string(list_transform(kept, lambda x: x.line), chr(10)) end as clean_text
 from s
 """

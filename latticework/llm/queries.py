@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.llm import html_templates, mixing, preference, quality_rules, token_counts
+from latticework.llm import html_templates, lm_scoring, mixing, preference, quality_rules, simhash, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,8 @@ def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": lambda s, d: quality_rules.judge(table(s, d, "documents")),
     "op2_chat_formatting": lambda s, d: preference.from_conversations(table(s, d, "conversations")),
+    "op3_simhash": lambda s, d: simhash.removed(table(s, d, "documents")),
+    "op4_lm_scoring": lambda s, d: lm_scoring.score(table(s, d, "documents"), table(s, d, "labels")),
     "op6_token_counts": lambda s, d: token_counts.count(table(s, d, "documents"), vocabulary()),
     "op9_mixing": lambda s, d: mixing.plan(table(s, d, "documents")),
     "op10_html_extraction": lambda s, d: html_templates.extract(table(s, d, "pages")),
@@ -35,5 +37,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op2_chat_formatting": preference.ORACLE,
+    "op4_lm_scoring": lm_scoring.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.llm import html_templates, language_id, lm_scoring, mixing, preference, quality_rules, simhash, token_counts
+from latticework.llm import html_templates, language_id, lm_scoring, mixing, preference, quality_rules, simhash, suffix_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lm_scoring": lambda s, d: lm_scoring.score(table(s, d, "documents"), table(s, d, "labels")),
     "op6_token_counts": lambda s, d: token_counts.count(table(s, d, "documents"), vocabulary()),
     "op7_language_id": lambda s, d: language_id.spans(table(s, d, "documents")),
+    "op8_suffix_dedup": lambda s, d: suffix_dedup.repeats(table(s, d, "documents")),
     "op9_mixing": lambda s, d: mixing.plan(table(s, d, "documents")),
     "op10_html_extraction": lambda s, d: html_templates.extract(table(s, d, "pages")),
 }
@@ -39,5 +40,6 @@ ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op2_chat_formatting": preference.ORACLE,
     "op4_lm_scoring": lm_scoring.ORACLE,
+    "op8_suffix_dedup": suffix_dedup.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }

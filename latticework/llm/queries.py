@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.llm import html_templates, language_id, lm_scoring, mixing, preference, quality_rules, simhash, suffix_dedup, token_counts
+from latticework.llm import decontamination, html_templates, language_id, lm_scoring, mixing, preference, quality_rules, simhash, suffix_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": lambda s, d: preference.from_conversations(table(s, d, "conversations")),
     "op3_simhash": lambda s, d: simhash.removed(table(s, d, "documents")),
     "op4_lm_scoring": lambda s, d: lm_scoring.score(table(s, d, "documents"), table(s, d, "labels")),
+    "op5_decontamination": lambda s, d: decontamination.matches(table(s, d, "documents"), table(s, d, "benchmark")),
     "op6_token_counts": lambda s, d: token_counts.count(table(s, d, "documents"), vocabulary()),
     "op7_language_id": lambda s, d: language_id.spans(table(s, d, "documents")),
     "op8_suffix_dedup": lambda s, d: suffix_dedup.repeats(table(s, d, "documents")),

@@ -1,30 +1,77 @@
-"""A corpus pipeline of the operators in latticework.llm."""
+"""A corpus pipeline: quality rules, near-duplicates, repeated passages, benchmark leaks, mixing.
+
+Each stage takes (spark, docs, sf_dir) and works on every row that the stage
+before it left. All but the last return the columns of documents; the last
+returns what is taken of each document (doc_id, source, epoch, n_tokens,
+tokens_taken). Scratch tables of a stage go when the next one begins, as its
+result is written by then.
+
+Defined results: as the operators state them. Rows with a null doc_id pass the
+stages that compare documents; extra columns are kept until mixing.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.llm import quality_rules
+from latticework.llm import decontamination, mixing, quality_rules, simhash, suffix_dedup
 from latticework.session import release, scratch_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Clean documents line by line; those that lose too much go."""
-    release(spark)
+    """Remove lines that break the rules; documents that lose too much go."""
     return quality_rules.apply(docs)
 
 
-STAGES = [("quality rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies and near copies stays."""
+    return simhash.apply(docs)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages of 50 words or more that occur before; documents that are left empty go."""
+    return suffix_dedup.apply(docs)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    return decontamination.apply(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every source gets the same budget of tokens."""
+    return mixing.apply(docs)
+
+
+def _fresh(stage):
+    """A stage that first drops the scratch tables of the one before it."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [
+    ("quality rules", _fresh(quality)),
+    ("near duplicates", _fresh(near_duplicates)),
+    ("repeated passages", _fresh(passages)),
+    ("benchmark leaks", _fresh(leaks)),
+    ("mixing", _fresh(mix)),
+]
 
+#: SimHash and the randomised SVD cannot be written in SQL; tests/llm has the brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other; each result is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
-        path = scratch_path(spark, name.replace(" ", "-"))
+        if k == len(STAGES) - 1:
+            return out
+        path = scratch_path(spark, "pipeline", keep=True)
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
-    return docs

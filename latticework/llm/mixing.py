@@ -14,7 +14,7 @@ has none, and documents without tokens are never taken. A null source counts as
 "(none)"; a null doc_id as "". Ties of keys, which only repeated doc_ids have,
 go by token count, so repeated rows are all taken, one after the other. Sources
 without a weight get weight 0 where weights are given. An empty table gives an
-empty result. Other columns are not read by `plan`; `apply` keeps them.
+empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -83,11 +83,7 @@ def _running(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def apply(docs: DataFrame, **how) -> DataFrame:
-    """The rows of `plan` for the documents of a pipeline, with language and size beside them.
-
-    It stays a manifest, without texts: a reader takes the first `tokens_taken`
-    tokens of each document.
-    """
+    """The rows of `plan`, the manifest of a mix: a reader takes the first `tokens_taken` tokens of each document."""
     return plan(docs, **how)
 
 

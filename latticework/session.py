@@ -45,10 +45,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; release() removes it."""
+def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the shared folder; release() removes it unless it is to be kept."""
     path = f"{shared_dir(spark)}/lw-{uuid.uuid4().hex[:12]}-{name}"
-    _stashes.append((spark.sparkContext.applicationId, path))
+    if not keep:
+        _stashes.append((spark.sparkContext.applicationId, path))
     return path
 
 

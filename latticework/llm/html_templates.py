@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm._arrow import slices
-from latticework.session import ship
+from latticework.session import ship, stash
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -166,8 +166,12 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), pa.array(text, pa.string()), pa.array(removed, pa.int64())], ["page_id", "host", "text", "removed"])
 
 
-def extract(pages: DataFrame, min_pages: int = 3, min_share: float = 0.05) -> DataFrame:
-    """(page_id, host, text, removed) for every page."""
+def extract(pages: DataFrame, min_pages: int = 3, min_share: float = 0.05, broadcast_limit: int = 1_000_000, salts: int = 64) -> DataFrame:
+    """(page_id, host, text, removed) for every page.
+
+    Up to broadcast_limit hosts and template hashes (8 MB) the templates are
+    sent to the pages; beyond, both are shuffled by host and salt.
+    """
     ship(pages.sparkSession)
     p = pages.select(F.col("page_id").cast("bigint").alias("page_id"), _host().alias("host"), "html")
     seen = p.filter("length(html) > 0").select("host", "html").mapInArrow(_count, "host string, subtree long, page long")
@@ -178,4 +182,12 @@ def extract(pages: DataFrame, min_pages: int = 3, min_share: float = 0.05) -> Da
         F.collect_list(F.when((F.col("pages") >= min_pages) & F.col("subtree").isNotNull(), F.struct("subtree", "pages"))).alias("many"),
     )
     site = site.select("host", F.transform(F.filter("many", lambda x: x["pages"] >= F.col("all") * min_share), lambda x: x["subtree"]).alias("templates"))
-    return p.join(site, "host", "left").select("page_id", "host", "html", "templates").mapInArrow(_extract, "page_id long, host string, text string, removed long")
+    site = stash(site, "html-templates")
+    size = site.agg(F.count("*"), F.coalesce(F.sum(F.size("templates")), F.lit(0))).first()
+    if sum(size) <= broadcast_limit:
+        joined = p.join(F.broadcast(site), "host", "left")
+    else:  # pages of one host are spread over `salts` tasks
+        salt = F.pmod(F.xxhash64("page_id", "html"), F.lit(salts)).cast("int")
+        many = site.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = p.withColumn("salt", salt).join(many.hint("shuffle_hash"), ["host", "salt"], "left")
+    return joined.select("page_id", "host", "html", "templates").mapInArrow(_extract, "page_id long, host string, text string, removed long")

@@ -112,7 +112,7 @@ def score(docs: DataFrame, labels: DataFrame, k: float = 4.0) -> DataFrame:
     ship(spark)
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     good = labels.filter("quality = 1 and toxic = 0").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().withColumn("good", F.lit(True))
-    marked = d.join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    marked = d.join(good.hint("shuffle_hash"), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     counts = stash(marked.mapInArrow(_count, "key int, n long, good long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "lm-counts")
     table = counts.toPandas()  # 2^24 rows at most, of the byte trigrams that occur
     keys = table["key"].to_numpy(np.int64)

@@ -37,5 +37,6 @@ def hashed_embedding(text: Column, dim: int = 32) -> Column:
     """Counts of lower-case words by crc32 modulo dim, of length 1: an embedder without a model."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
     slots = F.transform(words, lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(dim)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    return unit(counts)
+    # bound as a variable, so that words are cut and hashed once and not for each slot
+    count = lambda found: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(found, lambda s: s == i)).cast("double"))
+    return F.transform(F.array(slots), lambda found: F.transform(F.array(count(found)), unit)[0])[0]

@@ -171,10 +171,11 @@ class DiskQueue:
         return t[o, 0], t[o, 1]
 
 
-def _induce(symbol: np.ndarray, wanted: np.ndarray, run: np.ndarray, given: np.ndarray, given_lcp: np.ndarray, cap: int, memory: int, spill: Spill) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _induce(symbol: np.ndarray, wanted: np.ndarray, run: np.ndarray, back: np.ndarray, given: np.ndarray, given_lcp: np.ndarray, cap: int, memory: int, spill: Spill) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order of all suffixes that are `wanted` or `given`, common prefixes with the one before, and which are wanted.
 
-    symbol: the text's symbols in the order of this sweep; given: suffixes in
+    symbol: the text's symbols in the order of this sweep; run, back: how often
+    a position's symbol follows, itself included, and how often it precedes; given: suffixes in
     order that come after the wanted ones of the same symbol; a suffix in the
     order brings in the one before it in the text, if that is wanted.
     """
@@ -216,6 +217,23 @@ def _induce(symbol: np.ndarray, wanted: np.ndarray, run: np.ndarray, given: np.n
             before = np.minimum.accumulate(target)
             bad = (before[:-1] < c[1:]) | ((before[:-1] == c[1:]) & ~new[1:])
             m = int(bad.argmax()) + 1 if bad.any() else len(c)
+            own = target == c
+            if own.any():  # suffixes that follow their own symbol
+                twin = c[own.argmax()]
+                if twin == c[0]:
+                    used = int(np.searchsorted(key, (twin + 1) << _SHIFT))
+                    at, came, lcp, brings = _with_runs(pos[:used], key[:used] & ((1 << _SHIFT) - 1), back, values, last[2] if last[0] == twin else -1, cap)
+                    i = np.flatnonzero(brings)
+                    i = i[at[i] > 0]
+                    i = i[wanted[at[i] - 1]]
+                    values.append(lcp)
+                    order[n : n + len(at)], is_new[n : n + len(at)] = at, True
+                    last = (int(twin), True, int(came[-1]), int(at[-1]))
+                    key, pos = key[used:], pos[used:]
+                    key, pos = _bring(symbol[at[i] - 1], n + i, at[i] - 1, high, key, pos, queue)
+                    n += len(at)
+                    continue
+                m = min(m, int(np.searchsorted(c, twin)))
             if m < len(c):
                 c, new, at, came, brings, target = c[:m], new[:m], at[:m], came[:m], brings[:m], target[:m]
             # common prefixes
@@ -240,22 +258,56 @@ def _induce(symbol: np.ndarray, wanted: np.ndarray, run: np.ndarray, given: np.n
             used = int(new.sum())
             key, pos, g = key[used:], pos[used:], g + m - used
             i = np.flatnonzero(brings)
-            if len(i):
-                t = np.empty((len(i), 2), np.int64)
-                t[:, 0], t[:, 1] = target[i] << _SHIFT | (n + i), at[i] - 1
-                here = target[i] < high
-                if here.any():
-                    more = t[here]
-                    if len(more) > 1:
-                        more = more[np.argsort(more[:, 0])]
-                    spot = np.searchsorted(key, more[:, 0])
-                    key, pos = np.insert(key, spot, more[:, 0]), np.insert(pos, spot, more[:, 1])
-                    t = t[~here]
-                queue.push(t)
+            key, pos = _bring(target[i], n + i, at[i] - 1, high, key, pos, queue)
             n += m
     return order[:n], values.values[:n].astype(np.int64), is_new[:n]
 
 
+def _bring(target: np.ndarray, rank: np.ndarray, at: np.ndarray, high: int, key: np.ndarray, pos: np.ndarray, queue: DiskQueue) -> tuple[np.ndarray, np.ndarray]:
+    """New tuples: those of the range at hand go into its order, the others wait."""
+    if not len(at):
+        return key, pos
+    t = np.empty((len(at), 2), np.int64)
+    t[:, 0], t[:, 1] = target << _SHIFT | rank, at
+    here = target < high
+    if here.any():
+        more = t[here]
+        if len(more) > 1:
+            more = more[np.argsort(more[:, 0])]
+        spot = np.searchsorted(key, more[:, 0])
+        key, pos = np.insert(key, spot, more[:, 0]), np.insert(pos, spot, more[:, 1])
+        t = t[~here]
+    queue.push(t)
+    return key, pos
+
+
+def _with_runs(at: np.ndarray, came: np.ndarray, back: np.ndarray, values: RangeMinima, before: int, cap: int) -> tuple[np.ndarray, ...]:
+    """A symbol's tuples together with all that they bring in before them in runs of that symbol.
+
+    Suffixes with one more of the symbol come after all with one less, in the
+    same order. before: the rank that the last suffix of this symbol came from,
+    or -1. Returns positions, ranks, common prefixes, and which end their run.
+    """
+    first = np.zeros(len(at), np.int64)
+    if before >= 0:
+        first[0] = min(1 + int(values.query(np.array([before + 1]), came[:1])[0]), cap)
+    first[1:] = np.minimum(1 + values.query(came[:-1] + 1, came[1:]).astype(np.int64), cap)
+    more = back[at]
+    who = np.repeat(np.arange(len(at)), more + 1)
+    level = np.arange(len(who)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+    o = np.argsort(level, kind="stable")
+    who, level = who[o], level[o]
+    between = RangeMinima(len(at), np.int64)
+    between.append(first)
+    lcp = np.empty(len(who), np.int64)
+    lcp[0] = first[0]
+    same = level[1:] == level[:-1]
+    value = level[1:].copy()
+    value[same] += between.query(who[:-1][same] + 1, who[1:][same])
+    lcp[1:] = np.minimum(value, cap)
+    return at[who] - level, came[who], lcp, level == more[who]
+
+
 def _names(text: np.ndarray, rising: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """LMS substrings in order, the name of each in that order, and the depth at which neighbours with different names part."""
     end = np.append(lms[1:], lms[-1])
@@ -299,6 +351,9 @@ def suffix_array(text: np.ndarray, cap: int, spill: Spill, memory: int = 4_000_0
     differs[:-1] = text[:-1] != text[1:]
     next_diff = np.minimum.accumulate(np.where(differs, np.arange(n), n)[::-1])[::-1]
     run = next_diff - np.arange(n) + 1
+    starts = np.ones(n, bool)
+    starts[1:] = differs[:-1]
+    back = np.arange(n) - np.maximum.accumulate(np.where(starts, np.arange(n), 0))
     rising = np.ones(n, bool)
     inner = next_diff < n - 1
     rising[inner] = text[next_diff[inner]] < text[next_diff[inner] + 1]
@@ -328,13 +383,13 @@ def suffix_array(text: np.ndarray, cap: int, spill: Spill, memory: int = 4_000_0
         value = np.full(len(a), cap, np.int64)
         value[short] = np.minimum(tokens[short] + parted(lms[x[short]], lms[y[short]], between.query(reduced[x[short]] + 1, reduced[y[short]])), cap)
         given_lcp[1:] = value
-    up, up_lcp, new = _induce(text, ~rising, run, given, given_lcp, cap, memory, spill)
+    up, up_lcp, new = _induce(text, ~rising, run, back, given, given_lcp, cap, memory, spill)
     falling, falling_lcp = up[new][::-1], up_lcp[new]
     # the value between two neighbours stays theirs when the order is turned round
-    back = np.concatenate([[0], falling_lcp[:0:-1]])
+    turned = np.concatenate([[0], falling_lcp[:0:-1]])
     wanted = rising.copy()
     wanted[-1] = False
-    down, down_lcp, _ = _induce(int(text.max()) - text, wanted, run, falling, back, cap, memory, spill)
+    down, down_lcp, _ = _induce(int(text.max()) - text, wanted, run, back, falling, turned, cap, memory, spill)
     order = np.concatenate([[n - 1], down[::-1]])
     out = np.zeros(n, np.int64)
     out[2:] = down_lcp[:0:-1]

@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,8 @@ from latticework.llm._files import load_array, save_array
 from latticework.session import scratch_path, ship, stash
 
 _OUT = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, verdict string"
-_BLOCK = 256  # terms in a row of partial sums
+_BLOCK = 64  # terms in a row of partial sums
+_GROUP = 64  # parts that are added up at once
 
 
 def passages(w: Words, size: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,21 +152,25 @@ def _sketch(path: str, size: int):
             o = np.argsort(term, kind="stable")
             some, add = times(term[o], back[o], x[o], y)
             total[some] += add
+        group = TaskContext.get().partitionId() // _GROUP
         for k in range(0, len(terms), _BLOCK):
-            yield pa.RecordBatch.from_arrays([pa.array([k // _BLOCK]), pa.array([rows if k == 0 else 0]), pa.array([total[k : k + _BLOCK].astype(np.float32).tobytes()], pa.binary())], ["block", "rows", "sums"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k // _BLOCK]), pa.array([group]), pa.array([rows if k == 0 else 0]), pa.array([total[k : k + _BLOCK].tobytes()], pa.binary())], ["block", "part", "rows", "sums"]
+            )
 
     return run
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, list] = {}
+    """Sums of the same block and part; what is left is a part of the next round."""
+    sums: dict[tuple[int, int], list] = {}
     for b in batches:
-        for k, rows, x in zip(*(c.to_pylist() for c in b.columns)):
-            s = sums.setdefault(k, [0, 0.0])
+        for k, part, rows, x in zip(*(c.to_pylist() for c in b.columns)):
+            s = sums.setdefault((k, part), [0, 0.0])
             s[0] += rows
-            s[1] = s[1] + np.frombuffer(x, np.float32).astype(np.float64)
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([s[0] for s in sums.values()]), pa.array([s[1].tobytes() for s in sums.values()], pa.binary())], ["block", "rows", "sums"])
+            s[1] = s[1] + np.frombuffer(x, np.float64)
+    for (k, part), s in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([part // _GROUP]), pa.array([s[0]]), pa.array([s[1].tobytes()], pa.binary())], ["block", "part", "rows", "sums"])
 
 
 def right_vectors(g: np.ndarray, omega: np.ndarray, rank: int) -> np.ndarray:
@@ -255,8 +261,13 @@ def matches(
     path = scratch_path(spark, "latent")
     for name, x in (("terms", terms), ("idf", idf), ("omega", omega.astype(np.float32))):
         save_array(f"{path}/{name}.npy", x)
-    blocks = d.mapInArrow(_sketch(path, size), "block long, rows long, sums binary")
-    sums = stash(blocks.repartition("block").mapInArrow(_add, "block long, rows long, sums binary"), "sketch").orderBy("block").collect()
+    kind = "block long, part long, rows long, sums binary"
+    sums = d.mapInArrow(_sketch(path, size), kind)
+    parts = d.rdd.getNumPartitions()
+    while parts > 1:  # a tree, so that no task adds up more than _GROUP parts of a block
+        parts = -(-parts // _GROUP)
+        sums = sums.repartition("block", "part").mapInArrow(_add, kind)
+    sums = stash(sums, "sketch").orderBy("block").collect()  # a row for each block of terms
     g = np.concatenate([np.frombuffer(x.sums, np.float64) for x in sums]).reshape(len(terms), width) if sums else np.zeros((len(terms), width))
     # the items' rows, of the same energy as all passages together
     at = np.concatenate([[0], np.cumsum([len(x) for x in items.words])])

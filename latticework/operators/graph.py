@@ -8,12 +8,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.session import scratch_path, ship, stash
 
-#: Directed transitions up to which a walk runs on arrays within tasks.
+#: Directed transitions, and nodes, up to which a walk runs on arrays within tasks.
 LOCAL_EDGES = 5_000_000
 
 
@@ -56,14 +57,14 @@ def pagerank(trans: DataFrame, nodes: DataFrame, seeds: DataFrame, config: WalkC
 
     trans(src, dst, p), nodes(node), seeds(qid, node): repeated seeds count
     once, unknown ones not at all, and a group without a known seed restarts
-    anywhere. Up to local_edges transitions the graph is sent to the tasks once,
+    anywhere. Up to local_edges transitions and nodes the graph is sent to the tasks once,
     as arrays, and groups run in parallel; beyond, walks are joins and
     groupings keyed by (qid, node). Both give the same masses. A group stops
     when its L1 change falls below tol, or after max_iter steps.
     """
     config = config or WalkConfig()
     seeds = seeds.select("qid", "node").distinct()
-    if trans.count() <= local_edges:
+    if trans.count() <= local_edges and nodes.count() <= local_edges:
         return _local(trans, nodes, seeds, config)
     return _distributed(trans, nodes, seeds, config)
 
@@ -139,27 +140,29 @@ def _local(trans: DataFrame, nodes: DataFrame, seeds: DataFrame, config: WalkCon
     groups = seeds.groupBy("qid").agg(F.collect_list("node").alias("seeds"))
     key = groups.schema["qid"].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = None
-        for f in frames:
-            for qid, got, raw in zip(f["qid"], f["seeds"], f["graph"]):
+        for b in batches:
+            for i, got in enumerate(b.column("seeds").to_pylist()):
                 if graph is None:
-                    with np.load(io.BytesIO(raw)) as z:
+                    with np.load(io.BytesIO(b.column("graph")[i].as_py())) as z:
                         graph = {k: z[k] for k in ("src", "dst", "p")}
                         names = str(z["names"]).split("\n") if z["names"].size else []
                     where = {x: i for i, x in enumerate(names)}
+                    nodes = pa.array(names, pa.string())
                 r = np.zeros(len(names))
                 known = [where[x] for x in got if x in where]
                 if known:
                     r[known] = 1 / len(known)
                 else:
                     r[:] = 1 / max(len(names), 1)
-                yield pd.DataFrame({"qid": qid, "node": names, "mass": walk(graph["src"], graph["dst"], graph["p"], r, config)})
+                mass = walk(graph["src"], graph["dst"], graph["p"], r, config)
+                yield pa.RecordBatch.from_arrays([b.column("qid").take(pa.array(np.full(len(names), i))), nodes, pa.array(mass)], ["qid", "node", "mass"])
 
     graph = spark.read.parquet(path)
     parts = max(1, spark.sparkContext.defaultParallelism)
     # the graph is one cell of at most local_edges transitions; every task needs it once
-    return groups.repartition(parts, "qid").join(F.broadcast(graph)).mapInPandas(run, f"qid {key}, node string, mass double")
+    return groups.repartition(parts, "qid").join(F.broadcast(graph)).mapInArrow(run, f"qid {key}, node string, mass double")
 
 
 def induced_subgraph(knn: DataFrame, seeds: DataFrame, hops: int = 2, cap: int = 2000) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.functions.vector import cosine, query_unit, unit
+from latticework.operators.blocks import top_products
+from latticework.session import ship
 
 
 class VectorStore:
@@ -25,6 +27,7 @@ class VectorStore:
                 raise ValueError("documents without a vector; give an embedder")
         self.docs, self.k = docs.withColumn("id", F.col("id").cast("string")), k
         self.units = self.docs.select("id", unit(F.col("vector")).alias("u"))
+        ship(docs.sparkSession)
 
     @classmethod
     def from_documents(cls, docs: DataFrame, embed: Callable[[Column], Column] | None = None, k: int = 10) -> VectorStore:
@@ -43,10 +46,9 @@ class VectorStore:
 
     def search(self, queries: DataFrame, top_k: int = 10) -> DataFrame:
         """queries(qid, vector): (qid, id, similarity, rank from 0), the nearest documents of each query."""
-        q = queries.select("qid", query_unit(F.col("vector")).alias("q"))
-        pairs = self.units.crossJoin(q).select("qid", "id", cosine(F.col("u"), F.col("q")).alias("similarity"))
-        w = Window.partitionBy("qid").orderBy(F.desc("similarity"), "id")
-        return pairs.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < top_k)
+        q = queries.select(F.col("qid").alias("id"), query_unit(F.col("vector")).alias("u"))
+        best = top_products(q, self.units.select(F.col("id").alias("nbr"), F.col("u").alias("v")), top_k)
+        return best.select(F.col("id").alias("qid"), F.col("nbr").alias("id"), F.col("sim").alias("similarity"), (F.col("rank") - 1).alias("rank"))
 
     def get(self, doc_id: str) -> DataFrame:
         return self.docs.filter(F.col("id") == doc_id)
@@ -68,28 +70,27 @@ class VectorStore:
 
     def knn_graph(self, k: int | None = None) -> DataFrame:
         """(id, nbr, rank from 1, sim): the k nearest others of every document, blocks of documents against each other."""
-        a, b = self.units, self.units.select(F.col("id").alias("nbr"), F.col("u").alias("v"))
-        w = Window.partitionBy("id").orderBy(F.desc("sim"), "nbr")
-        pairs = a.join(b, F.col("id") != F.col("nbr")).select("id", "nbr", cosine(F.col("u"), F.col("v")).alias("sim"))
-        return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= (k or self.k))
+        return self._nearest(self.units, k or self.k)
 
     def neighbors(self, ids: DataFrame, k: int | None = None) -> DataFrame:
         """(id, nbr, rank, sim) of some documents."""
-        k = k or self.k
-        a = self.units.join(ids.select(F.col("id").cast("string")), "id", "left_semi")
-        b = self.units.select(F.col("id").alias("nbr"), F.col("u").alias("v"))
-        w = Window.partitionBy("id").orderBy(F.desc("sim"), "nbr")
-        pairs = a.join(b, F.col("id") != F.col("nbr")).select("id", "nbr", cosine(F.col("u"), F.col("v")).alias("sim"))
-        return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-    def approximate_neighbors(self, threshold: float, buckets: float = 0.5, tables: int = 4) -> DataFrame:
-        """(id, nbr, sim) of pairs above a cosine, by locality-sensitive hashing: for stores too large to compare all pairs."""
+        return self._nearest(self.units.join(ids.select(F.col("id").cast("string")), "id", "left_semi"), k or self.k)
+
+    def _nearest(self, some: DataFrame, k: int) -> DataFrame:
+        return top_products(some, self.units.select(F.col("id").alias("nbr"), F.col("u").alias("v")), k, others_only=True)
+
+    def approximate_neighbors(self, threshold: float, buckets: float | None = None, tables: int = 4) -> DataFrame:
+        """(id, nbr, sim) of pairs above a cosine, by locality-sensitive hashing: for stores too large to compare all pairs.
+
+        Buckets are by default 2.25 times as wide as the distance at that
+        cosine, so that 4 tables find 98 % of the pairs there, and more of those closer.
+        """
         from pyspark.ml.feature import BucketedRandomProjectionLSH
         from pyspark.ml.functions import array_to_vector
 
         d = self.units.select("id", array_to_vector("u").alias("features"))
-        lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=buckets, numHashTables=tables, seed=1).fit(d)
         far = (2 - 2 * threshold) ** 0.5
+        lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=buckets or 2.25 * max(far, 1e-3), numHashTables=tables, seed=1).fit(d)
         pairs = lsh.approxSimilarityJoin(d, d, far, "distance").filter("datasetA.id < datasetB.id")
         return pairs.select(F.col("datasetA.id").alias("id"), F.col("datasetB.id").alias("nbr"), (1 - F.col("distance") ** 2 / 2).alias("sim"))
 

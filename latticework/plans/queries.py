@@ -363,7 +363,7 @@ def c8_nearest_centroid(s, d):
 
 @query()
 def c9_lsh_neighbors(s, d):
-    return ST.VectorStore(vectors(s, d)).approximate_neighbors(0.9)
+    return ST.VectorStore(vectors(s, d)).approximate_neighbors(0.4)
 
 
 # D: knowledge graph

@@ -22,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +38,7 @@ def plan(docs: DataFrame, weights: dict[str, int] | None = None, total: int | No
     ship(spark)
     base = stash(
         docs.select(
-            "doc_id",
+            F.col("doc_id").cast("bigint").alias("doc_id"),
             F.coalesce("source", F.lit("(none)")).alias("source"),
             F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).cast("bigint").alias("n_tokens"),
         ).filter("n_tokens > 0"),
@@ -60,7 +60,7 @@ def plan(docs: DataFrame, weights: dict[str, int] | None = None, total: int | No
     rows = base.join(budgets.select("source", "epochs"), "source").select("doc_id", "source", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)).alias("epoch")).withColumn("key", key)
     order = ["source", "epoch", "key", "doc_id", "n_tokens"]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "source", "epoch", "n_tokens", F.spark_partition_id().alias("part"))
-    summed = stash(ranged.mapInPandas(_running, "doc_id long, source string, epoch int, n_tokens long, part int, upto long"), "mix-sums")
+    summed = stash(ranged.mapInArrow(_running, "doc_id long, source string, epoch int, n_tokens long, part int, upto long"), "mix-sums")
     parts = summed.groupBy("source", "part").agg(F.max("upto").alias("here"))
     before = F.coalesce(F.sum("here").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = parts.join(budgets.select("source", "budget"), "source").select("source", "part", "budget", before.alias("offset"))
@@ -72,14 +72,23 @@ def plan(docs: DataFrame, weights: dict[str, int] | None = None, total: int | No
     )
 
 
-def _running(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Prefix sums within a partition, by source; rows come sorted by source."""
-    at: dict[str, int] = {}
-    for f in frames:
-        sums = f.groupby("source", sort=False)["n_tokens"].cumsum().to_numpy(np.int64)
-        f["upto"] = sums + f["source"].map(lambda s: at.get(s, 0)).to_numpy(np.int64) if len(f) else sums
-        at.update(f.groupby("source", sort=False)["upto"].max().to_dict())
-        yield f
+    last, carry = None, 0
+    for b in batches:
+        if not len(b):
+            continue
+        n, code = b.column("n_tokens").to_numpy(), b.column("source").dictionary_encode()
+        of = code.indices.to_numpy()
+        head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        total = np.cumsum(n)
+        before = np.repeat(total[head] - n[head], np.diff(np.append(head, len(n))))
+        upto = total - before
+        names = code.dictionary.to_pylist()
+        if names[of[0]] == last:
+            upto[: head[1] if len(head) > 1 else len(n)] += carry
+        last, carry = names[of[-1]], int(upto[-1])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(upto)], [*b.schema.names, "upto"])
 
 
 def apply(docs: DataFrame, **how) -> DataFrame:

@@ -13,7 +13,7 @@ says nothing against a short text.
 * boilerplate: licence and copyright lines, cookie and script notices.
 
 Defined results: a null or blank text has no lines and is rejected with
-``kept_share`` 0. A text in which every line passes is returned unchanged;
+``kept_share`` 0. A line of closing marks alone passes. A text in which every line passes is returned unchanged;
 otherwise the kept lines are joined by newlines and blank lines go. Rows are
 judged one by one, so repeated rows get equal results and an empty table gives
 an empty result. Other columns, also of names used here, are left out of
@@ -36,30 +36,32 @@ BOILERPLATE = (
 
 
 def _verdicts(text: F.Column, symbol_share: float, separators: int) -> F.Column:
-    def judge(line: F.Column) -> F.Column:
-        t, low = F.trim(line), F.lower(F.trim(line))
-        n = F.length(t)
+    def judge(x: F.Column) -> F.Column:
+        t, low, n = x["t"], x["low"], x["n"]
         lost = lambda chars: n - F.length(F.translate(t, chars, ""))
         code = (
             F.when((lost(SEPARATORS) >= separators) | low.rlike(MENU), 2)
             .when(low.rlike(BOILERPLATE), 3)
             .when(F.length(F.translate(F.substring(t, -1, 1), CLOSING, "")).eqNullSafe(1) & ~t.rlike("[.!?…] "), 1)
             .when(lost(SYMBOLS) > F.lit(symbol_share) * n, 1)
-            .when((n >= 20) & (F.upper(t) == t) & (low != t), 1)
+            .when((n >= 20) & (low != t) & (F.upper(t) == t), 1)
             .otherwise(0)
         )
-        return F.struct(line.alias("line"), code.alias("code"))
+        return F.struct(x["line"].alias("line"), code.alias("code"), F.length(x["line"]).alias("size"))
 
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x) != "")
+    # each step is a transform of its own, so that what a line needs again is computed once
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.struct(x.alias("line"), F.trim(x).alias("t")))
+    lines = F.transform(F.filter(lines, lambda x: x["t"] != ""), lambda x: F.struct(x["line"].alias("line"), x["t"].alias("t"), F.lower(x["t"]).alias("low"), F.length(x["t"]).alias("n")))
     return F.transform(lines, judge)
 
 
 def judge(docs: DataFrame, min_share: float = 0.5, symbol_share: float = 0.1, separators: int = 3) -> DataFrame:
     """One row per document: its cleaned text, what each rule removed, and whether it is kept."""
-    d = docs.select("doc_id", "text").withColumn("marks", _verdicts(F.col("text"), symbol_share, separators))
+    # a generator of one row: the optimiser does not copy the rules into the filters and columns that use their result
+    d = docs.select("doc_id", "text", F.explode(F.array(_verdicts(F.col("text"), symbol_share, separators))).alias("marks"))
     kept = F.filter("marks", lambda m: m["code"] == 0)
     hits = lambda k: F.size(F.filter("marks", lambda m: m["code"] == k)).cast("bigint")
-    chars = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, m: s + F.length(m["line"]))
+    chars = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, m: s + m["size"])
     d = d.select(
         "doc_id",
         "text",

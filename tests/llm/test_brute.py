@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from latticework.llm import decontamination, html_templates, mixing, quality_rules, queries, simhash, suffix_dedup, token_counts
@@ -199,14 +200,15 @@ def test_tokens_equal_whole_encoding(spark, docs):
         got = token_counts.count(d, path, chunk, overlap).collect()
         assert {r.doc_id: r.n_tokens for r in got} == want
         assert {r.doc_id: r.n_chars for r in got} == {i: len(t or "") for i, t in rows}
-        assert any(r.n_chunks > 1 for r in got if chunk < 1000)
+        assert chunk > 1000 or any(r.n_chunks > 1 for r in got)
 
 
 # HTML
 
 
 def test_templates_are_counted_over_the_host(spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    # the given pages repeat little, so each gets the same menu
+    pages = spark.read.parquet(f"{sf}/pages.parquet").withColumn("html", F.regexp_replace("html", "<body>", "<body><div class=menu><a href=/>Home</a> <a href=/all>All</a></div>"))
     rows = pages.collect()
     host = lambda u: (m[1].lower() if (m := re.match(r"[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", u or "")) else "")
     trees = {r.html: html_templates.parse(r.html) for r in rows if r.html}
@@ -254,10 +256,9 @@ def test_pipeline_equals_its_plain_version(spark, sf):
     bad = {r.doc_id for r in decontamination.matches(d, bench).collect()}
     assert bad
     d = d.filter(~d.doc_id.isin(sorted(bad)))
-    d.createOrReplaceTempView("left_documents")
     con = duckdb.connect()
-    table = d.toPandas()  # noqa: F841 - read by the SQL below
-    want = con.execute(mixing.ORACLE.replace("from documents", "from table")).fetchall()
+    mixed = d.toPandas()  # noqa: F841 - read by the SQL below
+    want = con.execute(mixing.ORACLE.replace("from documents", "from mixed")).fetchall()
     got = [tuple(r) for r in corpus_pipeline.run(spark, sf).select("doc_id", "source", "epoch", "n_tokens", "tokens_taken").collect()]
     assert sorted(got) == sorted(want)
 

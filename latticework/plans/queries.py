@@ -572,9 +572,10 @@ def e11_entity_neighbors(s, d):
 
 @query()
 def e12_path_between(s, d):
-    kg, seeds = _seeds(s, d)
-    ends = [r.node for r in seeds.select("node").distinct().orderBy("node").limit(2).collect()]
-    got = G.path_between(kg.edges, kg.nodes, ends[0], ends[-1], max_hops=3) if ends else {"paths": []}
+    kg = K.build(documents(s, d))
+    edges = stash(kg.edges, "edges")
+    ends = edges.filter("kind = 'co_occurs'").orderBy(F.desc("weight"), "src", "dst").select("src", "dst").first()
+    got = G.path_between(edges, kg.nodes, *ends, max_hops=2) if ends else {"paths": []}
     return s.createDataFrame([(p["hops"], p["via_documents"], " > ".join(n["node"] for n in p["nodes"])) for p in got["paths"]], "hops int, via_documents int, path string")
 
 

@@ -600,7 +600,7 @@ def e15_resolve_entities(s, d):
 # F: scores and packing
 
 MM = "case when max({0}) over w - min({0}) over w < 1e-9 then 0.5 else ({0} - min({0}) over w) / nullif(max({0}) over w - min({0}) over w, 0) end"
-LINES = f"li as (select l_orderkey as qid, l_partkey || '/' || l_linenumber as node, l_extendedprice as r, l_quantity as s, case when l_tax > 0.02 then l_discount end as c from lineitem), mm as (select *, {MM.format('r')} as a, {MM.format('s')} as b, coalesce({MM.format('c')}, 0) as e from li window w as (partition by qid))"
+LINES = f"li as (select l_orderkey as qid, l_partkey || '/' || l_linenumber as node, l_extendedprice as r, l_quantity as s, case when l_tax > 0.02 then l_discount end as c from lineitem), mm as (select *, {MM.format('r')} as a, {MM.format('s')} as b, case when c is null then 0 else {MM.format('c')} end as e from li window w as (partition by qid))"
 
 
 def components(s, d):

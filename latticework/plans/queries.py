@@ -645,7 +645,7 @@ def f6_convergence(s, d):
     return S.convergence(x).withColumn("value", F.round("value", 8))
 
 
-@query(f"with li as (select l_orderkey as qid, l_partkey || '/' || l_linenumber as node, l_extendedprice as r from lineitem where l_returnflag <> 'A'), x as (select qid, node, {MM.format('r')} as v from li window w as (partition by qid)) select qid, node, round(v, 6) as value from x")
+@query(f"with li as (select l_orderkey as qid, l_partkey || '/' || l_linenumber as node, l_extendedprice as r from lineitem where (l_orderkey, l_partkey, l_linenumber) not in (select (l_orderkey, l_partkey, l_linenumber) from lineitem where l_returnflag = 'A')), x as (select qid, node, {MM.format('r')} as v from li window w as (partition by qid)) select qid, node, round(v, 6) as value from x")
 def f8_exclude_before(s, d):
     out = table(s, d, "lineitem").filter("l_returnflag = 'A'").select(F.col("l_orderkey").alias("qid"), F.concat_ws("/", "l_partkey", "l_linenumber").alias("node"))
     return components(s, d).join(out, ["qid", "node"], "left_anti").select("qid", "node", F.round(S.minmax(F.col("relevance"), "qid"), 6).alias("value"))

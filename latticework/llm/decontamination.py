@@ -4,22 +4,26 @@
    `size` words, without overlap) the passages of each term are counted. Terms
    on more than `max_df` of the passages are stop words, unless an item has
    fewer than 3 others.
-2. Randomised SVD of the TF-IDF matrix A whose rows are the passages of the
-   corpus and the items, the items weighted so that both halves have the same
-   energy: every task adds up its rows' share of K W, K being A'A and W an
-   orthonormal random matrix; the sum over the tasks gives, by the Nystroem
+2. The items are taken in blocks of `block_rows`, so that `rank` dimensions are
+   enough for each however large the benchmark is. For each block, randomised
+   SVD of the TF-IDF matrix A whose rows are the passages of the corpus and the
+   items, over the block's terms, the items weighted so that both halves have
+   the same energy: every task adds up its rows' share of K W, K being A'A and
+   W an orthonormal random matrix; the sum over the tasks gives, by the Nystroem
    method, the right singular vectors U of A.
 3. Every passage, now with overlaps of half its size, and every item are
-   projected by U. Pairs of which the cosine reaches `min_cosine` are candidates.
+   projected by the U of each block and normalised there. Pairs of which the
+   cosine reaches `min_cosine` are candidates.
 4. For each candidate the longest common subsequence of words is taken between
    the item and the passage widened by the item's length at both ends. A document is
    contaminated by an item if the share of the item's words in it reaches
    `verbatim`; or if it reaches `paraphrase` and the answer check holds, that is,
    the same share of the words of the item's last sentence is in it as well.
 
-Nothing is shuffled but term counts and the tasks' sums, whose size depends on
-the benchmark. The benchmark itself is held by every task; it must have no more
-than `most_terms` different words.
+The corpus is read once for the counts, once for each block and once for the
+search. Nothing is shuffled but term counts and the tasks' sums, whose size
+depends on the benchmark. The benchmark itself is held by every task; it must
+have no more than `most_terms` different words.
 
 Defined results: documents and items without words (null, empty) match nothing.
 Null ids are results like others. Repeated documents are each judged on their
@@ -184,32 +188,45 @@ def right_vectors(g: np.ndarray, omega: np.ndarray, rank: int) -> np.ndarray:
     return u[:, : min(rank, int((s > 0).sum()))]
 
 
-def _search(path: str, ids: list, texts: list, size: int, min_cosine: float, verbatim: float, paraphrase: float):
+def _candidates(blocks: list, row: np.ndarray, term: np.ndarray, n: np.ndarray, idf: np.ndarray, min_cosine: float) -> Iterator[tuple[int, int, float]]:
+    """Passage, item and the cosine of the two in the latent space of a block."""
+    to = np.empty(len(idf), np.int64)
+    for own, u, latent, item in blocks:
+        to[:] = -1
+        to[own] = np.arange(len(own))
+        some = np.flatnonzero(to[term] >= 0)
+        r, t = row[some], to[term[some]]
+        used, y = times(r, t, weigh(r, t, n[some], idf[own]), u)
+        y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
+        for k in range(0, len(used), 8192):
+            cosine = y[k : k + 8192] @ latent
+            p, i = np.nonzero(cosine >= min_cosine)
+            yield from zip(used[k + p].tolist(), item[i].tolist(), cosine[p, i].tolist())
+
+
+def _search(path: str, n_blocks: int, ids: list, texts: list, size: int, min_cosine: float, verbatim: float, paraphrase: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, idf, u, latent = (np.asarray(load_array(f"{path}/{x}.npy")) for x in ("terms", "idf", "u", "latent"))
+        terms, idf = (np.asarray(load_array(f"{path}/{x}.npy")) for x in ("terms", "idf"))
+        blocks = [tuple(np.asarray(load_array(f"{path}/{k}/{x}.npy")) for x in ("own", "u", "latent", "item")) for k in range(n_blocks)]
         items = Items(ids, texts)
         for b in slices(batches, "text"):
             w = split_words(b.column("text"))
             h = w.hashes()
             text, first, end = passages(w, size, size // 2)
             row, term, n = term_rows(h, first, end, terms)
-            used, y = times(row, term, weigh(row, term, n, idf), u)
             best: dict[tuple[int, int], tuple] = {}
-            for k in range(0, len(used), 8192):
-                cosine = y[k : k + 8192] @ latent
-                for p, i in zip(*(x.tolist() for x in np.nonzero(cosine >= min_cosine))):
-                    q = used[k + p]
-                    t, m = int(text[q]), len(items.words[i])
-                    a, z = max(int(first[q]) - m, int(w.at[t])), min(int(end[q]) + m, int(w.at[t + 1]))
-                    near = h[a:z].tolist()
-                    share = lcs(items.masks[i], m, near) / m
-                    if share < paraphrase:
-                        continue
-                    ans = lcs(items.answer_masks[i], len(items.answers[i]), near) / len(items.answers[i]) if items.answers[i] else 1.0
-                    if share >= verbatim or ans >= paraphrase:
-                        one = (share, ans, float(cosine[p, i]))
-                        if (t, i) not in best or one > best[t, i]:
-                            best[t, i] = one
+            for q, i, cosine in _candidates(blocks, row, term, n, idf, min_cosine):
+                t, m = int(text[q]), len(items.words[i])
+                a, z = max(int(first[q]) - m, int(w.at[t])), min(int(end[q]) + m, int(w.at[t + 1]))
+                near = h[a:z].tolist()
+                share = lcs(items.masks[i], m, near) / m
+                if share < paraphrase:
+                    continue
+                ans = lcs(items.answer_masks[i], len(items.answers[i]), near) / len(items.answers[i]) if items.answers[i] else 1.0
+                if share >= verbatim or ans >= paraphrase:
+                    one = (share, ans, cosine)
+                    if (t, i) not in best or one > best[t, i]:
+                        best[t, i] = one
             keys = sorted(best)
             got = [best[x] for x in keys]
             yield pa.RecordBatch.from_arrays(
@@ -225,8 +242,36 @@ def _search(path: str, ids: list, texts: list, size: int, min_cosine: float, ver
     return run
 
 
+def _fit(d: DataFrame, path: str, terms: np.ndarray, idf: np.ndarray, h: np.ndarray, item: np.ndarray, first: np.ndarray, end: np.ndarray, size: int, rank: int, seed: int) -> None:
+    """Save a block: its terms, their right singular vectors, the latent rows h[first:end] and the item of each."""
+    row, term, n = term_rows(h, first, end, terms)
+    own, term = np.unique(term, return_inverse=True)
+    terms, idf = terms[own], idf[own]
+    width = min(rank + 16, len(terms))
+    omega = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(terms), width)))[0]
+    for name, x in (("own", own), ("item", item), ("terms", terms), ("idf", idf), ("omega", omega.astype(np.float32))):
+        save_array(f"{path}/{name}.npy", x)
+    kind = "block long, part long, rows long, sums binary"
+    sums = d.mapInArrow(_sketch(path, size), kind)
+    parts = d.rdd.getNumPartitions()
+    while parts > 1:  # a tree, so that no task adds up more than _GROUP parts of a block
+        parts = -(-parts // _GROUP)
+        sums = sums.repartition("block", "part").mapInArrow(_add, kind)
+    sums = stash(sums, "sketch").orderBy("block").collect()  # a row for each block of terms
+    g = np.concatenate([np.frombuffer(x.sums, np.float64) for x in sums]).reshape(len(terms), width) if sums else np.zeros((len(terms), width))
+    # the items' rows, of the same energy as all passages together
+    rows = np.zeros((len(item), len(terms)), np.float32)
+    rows[row, term] = weigh(row, term, n, idf)
+    weight = max(1.0, sum(r.rows for r in sums) / len(item))
+    u = right_vectors(g + weight * (rows.T @ (rows @ omega)), omega, rank)
+    latent = rows @ u
+    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+    save_array(f"{path}/u.npy", np.ascontiguousarray(u, np.float32))
+    save_array(f"{path}/latent.npy", np.ascontiguousarray(latent.T, np.float32))
+
+
 def matches(
-    docs: DataFrame, benchmark: DataFrame, size: int = 48, rank: int = 256, max_df: float = 0.002, min_cosine: float = 0.3,
+    docs: DataFrame, benchmark: DataFrame, size: int = 48, rank: int = 256, block_rows: int = 512, max_df: float = 0.002, min_cosine: float = 0.3,
     verbatim: float = 0.8, paraphrase: float = 0.6, most_terms: int = 1_000_000, seed: int = 11,
 ) -> DataFrame:
     """(doc_id, item_id, cosine, lcs_share, answer_share, verdict): every contaminated document with each item that it holds."""
@@ -256,32 +301,17 @@ def matches(
         use[own[np.argsort(df[own], kind="stable")[:3]]] = True
     terms, df = terms[use], df[use]
     idf = np.log((total + 1) / (df + 1)) + 1
-    width = min(rank + 16, len(terms))
-    omega = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(terms), width)))[0]
     path = scratch_path(spark, "latent")
-    for name, x in (("terms", terms), ("idf", idf), ("omega", omega.astype(np.float32))):
+    for name, x in (("terms", terms), ("idf", idf)):
         save_array(f"{path}/{name}.npy", x)
-    kind = "block long, part long, rows long, sums binary"
-    sums = d.mapInArrow(_sketch(path, size), kind)
-    parts = d.rdd.getNumPartitions()
-    while parts > 1:  # a tree, so that no task adds up more than _GROUP parts of a block
-        parts = -(-parts // _GROUP)
-        sums = sums.repartition("block", "part").mapInArrow(_add, kind)
-    sums = stash(sums, "sketch").orderBy("block").collect()  # a row for each block of terms
-    g = np.concatenate([np.frombuffer(x.sums, np.float64) for x in sums]).reshape(len(terms), width) if sums else np.zeros((len(terms), width))
-    # the items' rows, of the same energy as all passages together
     at = np.concatenate([[0], np.cumsum([len(x) for x in items.words])])
-    row, term, n = term_rows(np.concatenate(items.words), at[:-1], at[1:], terms)
-    x = weigh(row, term, n, idf)
-    own = np.zeros((len(items.ids), len(terms)), np.float32)
-    own[row, term] = x
-    weight = max(1.0, sum(r.rows for r in sums) / len(items.ids))
-    u = right_vectors(g + weight * (own.T @ (own @ omega)), omega, rank)
-    latent = own @ u
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    save_array(f"{path}/u.npy", np.ascontiguousarray(u, np.float32))
-    save_array(f"{path}/latent.npy", np.ascontiguousarray(latent.T, np.float32))
-    return d.mapInArrow(_search(path, ids, texts, size, min_cosine, verbatim, paraphrase), _OUT)
+    item, first, end = np.arange(len(items.ids)), at[:-1], at[1:]
+    h = np.concatenate(items.words)
+    n_blocks = -(-len(item) // block_rows)
+    for k in range(n_blocks):
+        b = slice(k * len(item) // n_blocks, (k + 1) * len(item) // n_blocks)
+        _fit(d, f"{path}/{k}", terms, idf, h, item[b], first[b], end[b], size, rank, seed + k)
+    return d.mapInArrow(_search(path, n_blocks, ids, texts, size, min_cosine, verbatim, paraphrase), _OUT)
 
 
 def apply(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

@@ -4,16 +4,18 @@
    `size` words, without overlap) the passages of each term are counted. Terms
    on more than `max_df` of the passages are stop words, unless an item has
    fewer than 3 others.
-2. The items are taken in blocks of `block_rows`, so that `rank` dimensions are
+2. An item that is longer than a passage is also cut into passages of the same
+   size, with overlaps of half of it; each is a row that stands for the item.
+   The rows of the items are taken in blocks of `block_rows`, so that `rank` dimensions are
    enough for each however large the benchmark is. For each block, randomised
    SVD of the TF-IDF matrix A whose rows are the passages of the corpus and the
-   items, over the block's terms, the items weighted so that both halves have
+   items' rows, over the block's terms, the latter weighted so that both halves have
    the same energy: every task adds up its rows' share of K W, K being A'A and
    W an orthonormal random matrix; the sum over the tasks gives, by the Nystroem
    method, the right singular vectors U of A.
-3. Every passage, now with overlaps of half its size, and every item are
+3. Every passage, now with overlaps of half its size, and every row of an item are
    projected by the U of each block and normalised there. Pairs of which the
-   cosine reaches `min_cosine` are candidates.
+   cosine reaches `min_cosine` are candidates, the passage and the whole item.
 4. For each candidate the longest common subsequence of words is taken between
    the item and the passage widened by the item's length at both ends. A document is
    contaminated by an item if the share of the item's words in it reaches
@@ -60,6 +62,15 @@ def passages(w: Words, size: int, step: int) -> tuple[np.ndarray, np.ndarray, np
     return text, first, np.minimum(first + size, w.at[text + 1])
 
 
+def item_rows(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Item, first and end word of the rows of each: the whole, and its passages where it is longer than one."""
+    n = np.diff(at)
+    count = np.where(n > size, 2 + -(-np.maximum(n - size, 0) // (size // 2)), 1)
+    item, k = np.repeat(np.arange(len(n)), count), ragged(count)
+    first = at[item] + np.maximum(k - 1, 0) * (size // 2)
+    return item, first, np.where(k > 0, np.minimum(first + size, at[item + 1]), at[item + 1])
+
+
 def term_rows(h: np.ndarray, first: np.ndarray, end: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Passage, term and count of the terms in each passage, ordered by passage."""
     at = np.minimum(np.searchsorted(terms, h), max(len(terms) - 1, 0))
@@ -201,7 +212,11 @@ def _candidates(blocks: list, row: np.ndarray, term: np.ndarray, n: np.ndarray,
         for k in range(0, len(used), 8192):
             cosine = y[k : k + 8192] @ latent
             p, i = np.nonzero(cosine >= min_cosine)
-            yield from zip(used[k + p].tolist(), item[i].tolist(), cosine[p, i].tolist())
+            c = cosine[p, i]
+            p, i = used[k + p], item[i]
+            o = np.lexsort((-c, i, p))  # of several rows of an item the nearest
+            o = o[np.concatenate([[True], (np.diff(p[o]) != 0) | (np.diff(i[o]) != 0)])[: len(o)]]
+            yield from zip(p[o].tolist(), i[o].tolist(), c[o].tolist())
 
 
 def _search(path: str, n_blocks: int, ids: list, texts: list, size: int, min_cosine: float, verbatim: float, paraphrase: float):
@@ -305,8 +320,8 @@ def matches(
     for name, x in (("terms", terms), ("idf", idf)):
         save_array(f"{path}/{name}.npy", x)
     at = np.concatenate([[0], np.cumsum([len(x) for x in items.words])])
-    item, first, end = np.arange(len(items.ids)), at[:-1], at[1:]
     h = np.concatenate(items.words)
+    item, first, end = item_rows(at, size)
     n_blocks = -(-len(item) // block_rows)
     for k in range(n_blocks):
         b = slice(k * len(item) // n_blocks, (k + 1) * len(item) // n_blocks)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from latticework.llm import decontamination
@@ -32,3 +33,16 @@ def test_recall_of_several_thousand_items(spark, changed, least):
     # an item of which fewer words are left than the threshold of a paraphrase asks for is no match
     same = lambda d, t: decontamination.lcs(decontamination.place_masks(t), len(t), texts[d]) / len(t)
     assert found(spark, texts, [(d, t) for d, t in items if same(d, t) >= 0.8]) >= least
+
+
+def test_item_rows_cover_long_items():
+    item, first, end = decontamination.item_rows(np.array([0, 20, 68, 168]), 48)
+    assert list(zip(item.tolist(), first.tolist(), end.tolist())) == [(0, 0, 20), (1, 20, 68), (2, 68, 168), (2, 68, 116), (2, 92, 140), (2, 116, 164), (2, 140, 168)]
+
+
+def test_recall_of_long_items(spark):
+    texts, rng, items = corpus(60, 1200, 7), random.Random(8), []
+    for d in range(len(texts)):
+        at = rng.randrange(500)
+        items.append((d, [x if rng.random() >= 0.15 else f"other{rng.randrange(9999)}" for x in texts[d][at : at + 700]]))
+    assert found(spark, texts, items) == 1

@@ -80,27 +80,31 @@ def embedding_links(mentions: DataFrame, embed: Callable[[Column], Column], thre
     """Greedy leader clustering of canonicals, longest first: (mention, canonical).
 
     Each joins the first leader whose cosine reaches the threshold. The result
-    depends on that order, so the clustering runs in one task over the distinct canonicals.
+    depends on that order, so the clustering runs in one task over the distinct
+    canonicals, which are streamed to it; it holds the leaders.
     """
     m = mentions.select("mention", canonicalize(F.col("mention")).alias("c")).filter("c <> ''").distinct()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = pd.concat(list(frames)) if frames else pd.DataFrame(columns=["c", "v"])
-        f = f.sort_values("c").assign(n=lambda x: -x["c"].str.len()).sort_values("n", kind="stable")
-        leaders, names, out = np.zeros((0, 0)), [], []
-        for c, v in zip(f["c"], f["v"]):
-            v = np.asarray(v, float)
-            v = v / max(np.linalg.norm(v), 1e-12)
-            near = np.flatnonzero(leaders @ v >= threshold) if names else []
-            if len(near):
-                out.append((c, names[near[0]]))
-            else:
-                leaders = np.vstack([leaders, v]) if names else v[None]
+        leaders, names = np.zeros((0, 0)), []
+        for f in frames:
+            out = []
+            for c, v in zip(f["c"], f["v"]):
+                v = np.asarray(v, float)
+                v = v / max(np.linalg.norm(v), 1e-12)
+                near = np.flatnonzero(leaders[: len(names)] @ v >= threshold) if names else []
+                if len(near):
+                    out.append((c, names[near[0]]))
+                    continue
+                if len(names) == len(leaders):  # doubled, so that rows are copied a few times at most
+                    leaders = np.concatenate([leaders, np.zeros_like(leaders)]) if names else np.zeros((64, len(v)))
+                leaders[len(names)] = v
                 names.append(c)
                 out.append((c, c))
-        yield pd.DataFrame(out, columns=["c", "canonical"])
+            yield pd.DataFrame(out, columns=["c", "canonical"])
 
-    links = m.select("c").distinct().select("c", embed(F.col("c")).alias("v")).coalesce(1).mapInPandas(run, "c string, canonical string")
+    names = m.select("c").distinct().repartition(1).sortWithinPartitions(F.length("c").desc(), "c")
+    links = names.select("c", embed(F.col("c")).alias("v")).mapInPandas(run, "c string, canonical string")
     return m.join(links, "c").select("mention", "canonical")
 
 

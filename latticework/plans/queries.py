@@ -386,7 +386,7 @@ def d3_substring_links(s, d):
 
 @query()
 def d4_embedding_links(s, d):
-    return K.embedding_links(K.query_mentions(items(s, d), K.rule_extractor()), lambda t: V.hashed_embedding(F.regexp_replace(t, "(?<=.)", " ")))
+    return K.embedding_links(K.extract_mentions(documents(s, d), K.rule_extractor()), lambda t: V.hashed_embedding(F.regexp_replace(t, "(?<=.)", " ")))
 
 
 LINKED = f"with {MENTIONS}, l as (select mention, substring(c, 1, 6) as k from mc group by all), x as (select distinct doc_id, 'ent:' || k as node from m join l using (mention))"

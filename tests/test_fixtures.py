@@ -174,6 +174,22 @@ def test_embedding_links_join_the_first_leader(spark):
     assert got["Color Works"] == got["Colour Works"] == "colour works" and got["Bakery"] == "bakery"
 
 
+def test_embedding_links_are_taken_over_the_documents(spark, sf):
+    """A brute-force greedy clustering of every name that the documents mention."""
+    from latticework.plans import queries as Q
+
+    names = K.extract_mentions(Q.documents(spark, sf), K.rule_extractor()).select("mention", T.canonicalize(F.col("mention")).alias("c")).filter("c <> ''").distinct()
+    embed = V.hashed_embedding(F.regexp_replace("c", "(?<=.)", " "))
+    vectors = {r.c: np.array(r.v) / max(np.linalg.norm(r.v), 1e-12) for r in names.select("c").distinct().select("c", embed.alias("v")).collect()}
+    leaders, head = [], {}
+    for c in sorted(vectors, key=lambda c: (-len(c), c)):
+        head[c] = next((x for x in leaders if vectors[x] @ vectors[c] >= 0.82), c)
+        if head[c] == c:
+            leaders.append(c)
+    want = sorted((r.mention, head[r.c]) for r in names.collect())
+    assert len(want) > 64 and sorted((r.mention, r.canonical) for r in Q.QUERIES["d4_embedding_links"](spark, sf).collect()) == want
+
+
 def test_model_triples_and_cache(spark):
     d = spark.createDataFrame([("d1", "Alice founded Acme."), ("d2", "Acme is in Boston."), ("d3", "broken"), ("d4", "  ")], "id string, text string")
 

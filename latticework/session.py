@@ -9,11 +9,13 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
-_stashes: list[tuple[str, str]] = []
+_open: list[list[str]] = []
 
 
 def get_session(app: str = "latticework", master: str | None = None, partitions: int = 8) -> SparkSession:
@@ -34,22 +36,37 @@ def get_session(app: str = "latticework", master: str | None = None, partitions:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, which every executor can reach.
 
-    Only where the setting is empty (tests, local runs) a folder of this
-    process is made and set as checkpoint folder.
+    Where the setting is empty, a folder of this process is made and set as
+    checkpoint folder, for a local master only: on a cluster the executors could
+    not read it, so there an error is raised.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="latticework-")
         atexit.register(shutil.rmtree, path[7:], True)
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
-    """A new path in the shared folder; release() removes it unless it is to be kept."""
+@contextmanager
+def gathering() -> Iterator[list[str]]:
+    """The paths of scratch tables made inside; delete() removes them once nothing reads them any more."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.remove(made)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, noted for the innermost gathering()."""
     path = f"{shared_dir(spark)}/lw-{uuid.uuid4().hex[:12]}-{name}"
-    if not keep:
-        _stashes.append((spark.sparkContext.applicationId, path))
+    if _open:
+        _open[-1].append(path)
     return path
 
 
@@ -61,17 +78,12 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables made so far by this application.
-
-    Results that still read from them must have been written before.
-    """
-    app, sc = spark.sparkContext.applicationId, spark.sparkContext
-    for a, path in list(_stashes):
-        if a == app:
-            p = sc._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-        _stashes.remove((a, path))
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of the shared folder; what still reads them must have been written before."""
+    sc = spark.sparkContext
+    for path in paths:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def ship(spark: SparkSession) -> None:

@@ -1,9 +1,8 @@
 """Operator 1, quality rules: line-first cleaning.
 
 Each line of a document is tried against three kinds of rules; lines that fail
-are removed, and a document that loses too much of its text is rejected. The
-share that is kept is taken of the text besides boilerplate, as a licence line
-says nothing against a short text.
+are removed, and a document that loses too much of its text, by whichever rule,
+is rejected.
 
 * punctuation: the line ends without a closing mark and holds no finished
   sentence; or symbols make up more than `symbol_share` of it; or it is
@@ -12,8 +11,10 @@ says nothing against a short text.
   but a menu word such as "next" or "log in".
 * boilerplate: licence and copyright lines, cookie and script notices.
 
+Menu words and notices are those of English, German, French and Spanish pages.
+
 Defined results: a null or blank text has no lines and is rejected with
-``kept_share`` 0. A line of closing marks alone passes. A text in which every line passes is returned unchanged;
+``kept_share`` 0. Texts and lines of any length are judged whole. A line of closing marks alone passes. A text in which every line passes is returned unchanged;
 otherwise the kept lines are joined by newlines and blank lines go. Rows are
 judged one by one, so repeated rows get equal results and an empty table gives
 an empty result. Other columns, also of names used here, are left out of
@@ -22,17 +23,30 @@ an empty result. Other columns, also of names used here, are left out of
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SYMBOLS = "#$%&*+<=>@[]^_`{|}~\\"
 CLOSING = ".!?…\"'”’»)]:;。！？"
 SEPARATORS = "|»›·•>"
-MENU = r"^(home|menu|log ?in|sign (in|up)|search|contact( us)?|about( us)?|next( page)?|previous|back to top|read more|share|subscribe|sitemap|skip to content)[ .!]*$"
+_MENU_WORDS = (
+    "home|menu|log ?in|sign (in|up)|search|contact( us)?|about( us)?|next( page)?|previous|back to top|read more|share|subscribe|sitemap|skip to content"
+    "|startseite|anmelden|abmelden|registrieren|suchen?|kontakt|impressum|datenschutz|über uns|weiter(lesen)?|zurück|nach oben|mehr (lesen|erfahren)|teilen|abonnieren"
+    "|accueil|(se )?connexion|se connecter|s.inscrire|rechercher?|contactez[- ]nous|à propos|suivant|précédent|retour en haut|lire la suite|partager|s.abonner|plan du site|mentions légales"
+    "|inicio|iniciar sesión|registrarse|buscar|contacto|acerca de|siguiente|anterior|volver arriba|leer más|compartir|suscribirse|mapa del sitio|aviso legal"
+)
+MENU = rf"^({_MENU_WORDS})[ .!]*$"
 BOILERPLATE = (
     r"all rights reserved|(licensed|released|distributed) under|copyright (©|\(c\))|©|(cookie|privacy) policy|terms of (use|service)"
-    r"|(enable|requires|disabled) javascript|javascript (is|must be) |we use cookies|lorem ipsum"
+    r"|(enable|requires|disabled) javascript|javascript (is|must be) |(we|this site) uses? cookies|lorem ipsum"
+    r"|alle rechte vorbehalten|(lizenziert|veröffentlicht) unter|cookie-richtlinie|datenschutz(erklärung|richtlinie|bestimmungen)|nutzungsbedingungen|verwende[nt] cookies|javascript (aktivieren|erforderlich)"
+    r"|tous droits réservés|sous licence|politique de confidentialité|conditions (générales )?d.utilisation|utilis(e|ons) des cookies|activer javascript"
+    r"|todos los derechos reservados|bajo (la )?licencia|política de (privacidad|cookies)|términos (y condiciones|de uso|de servicio)|utiliza(mos)? cookies|activar javascript"
 )
+#: One of these is in every line that BOILERPLATE finds; the pattern is tried on such lines alone.
+_HINTS = ("©", "cookie", "javascript", "lorem ipsum", "rights reserved", "under", "copyright", "privacy policy", "terms of", "unter", "datenschutz", "nutzungsbedingungen", "rechte vorbehalten", "licenc", "réservés", "confidentialité", "utilisation", "reservados", "política de", "términos")
 
 
 def _verdicts(text: F.Column, symbol_share: float, separators: int) -> F.Column:
@@ -41,7 +55,7 @@ def _verdicts(text: F.Column, symbol_share: float, separators: int) -> F.Column:
         lost = lambda chars: n - F.length(F.translate(t, chars, ""))
         code = (
             F.when((lost(SEPARATORS) >= separators) | low.rlike(MENU), 2)
-            .when(low.rlike(BOILERPLATE), 3)
+            .when(reduce(lambda a, b: a | b, (F.contains(low, F.lit(x)) for x in _HINTS)) & low.rlike(BOILERPLATE), 3)
             .when(F.length(F.translate(F.substring(t, -1, 1), CLOSING, "")).eqNullSafe(1) & ~t.rlike("[.!?…] "), 1)
             .when(lost(SYMBOLS) > F.lit(symbol_share) * n, 1)
             .when((n >= 20) & (low != t) & (F.upper(t) == t), 1)
@@ -71,10 +85,8 @@ def judge(docs: DataFrame, min_share: float = 0.5, symbol_share: float = 0.1, se
         hits(2).alias("n_navigation"),
         hits(3).alias("n_boilerplate"),
         chars(F.col("marks")).alias("chars_in"),
-        chars(F.filter("marks", lambda m: m["code"] == 3)).alias("chars_boilerplate"),
     ).withColumn("chars_kept", chars(F.col("kept")))
-    own = F.col("chars_in") - F.col("chars_boilerplate")
-    share = F.when(own > 0, F.col("chars_kept") / own).otherwise(F.lit(0.0))
+    share = F.when(F.col("chars_in") > 0, F.col("chars_kept") / F.col("chars_in")).otherwise(F.lit(0.0))
     return d.select(
         "doc_id",
         "n_lines",
@@ -112,12 +124,11 @@ m as (select doc_id, text, list_transform(lines, lambda x: {{'line': x, 'code':
 k as (select doc_id, text, list_filter(marks, lambda x: x.code = 0) as kept, len(marks) as n_lines,
   len(list_filter(marks, lambda x: x.code = 1)) as n_punctuation, len(list_filter(marks, lambda x: x.code = 2)) as n_navigation,
   len(list_filter(marks, lambda x: x.code = 3)) as n_boilerplate,
-  coalesce(list_sum(list_transform(marks, lambda x: length(x.line))), 0)::bigint as chars_in,
-  coalesce(list_sum(list_transform(list_filter(marks, lambda x: x.code <> 3), lambda x: length(x.line))), 0)::bigint as own from m),
+  coalesce(list_sum(list_transform(marks, lambda x: length(x.line))), 0)::bigint as chars_in from m),
 s as (select *, coalesce(list_sum(list_transform(kept, lambda x: length(x.line))), 0)::bigint as chars_kept from k)
 select doc_id, n_lines, n_punctuation, n_navigation, n_boilerplate, chars_in, chars_kept,
-  round(case when own > 0 then chars_kept::double / own else 0 end, 6) as kept_share,
-  chars_kept > 0 and chars_kept::double / greatest(own, 1) >= 0.5 as keep,
+  round(case when chars_in > 0 then chars_kept::double / chars_in else 0 end, 6) as kept_share,
+  chars_kept > 0 and chars_kept::double / greatest(chars_in, 1) >= 0.5 as keep,
   case when len(kept) = n_lines then coalesce(text, '') else array_to_string(list_transform(kept, lambda x: x.line), chr(10)) end as clean_text
 from s
 """

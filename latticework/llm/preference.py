@@ -6,10 +6,10 @@ of each side is rendered as its completion, with a loss mask given as character
 spans [start, end) of what assistant turns say, their closing tag included.
 
 Defined results: turns are ordered by `turn`, then role and text, and repeated
-rows count once; a null role counts as "user" and a null text as empty. Where
+rows count once; a null turn comes before all others; a null role counts as "user" and a null text as empty. Where
 both sides are equal, both completions are empty and `common_turns` is their
 length. A pair that has only one side gets an empty other side. A null `conv_id`
-gives no pair; an empty table gives an empty result; further columns are ignored.
+gives no pair; texts of any length are rendered whole; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -81,18 +81,18 @@ def pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def echo_rejections(chosen: DataFrame) -> DataFrame:
-    """Rejected sides for data that has none: the last assistant turn only repeats the turn before it.
+    """Rejected sides for data that has none: one assistant turn only repeats the turn before it.
 
-    Turns after it stay. Conversations without an assistant turn that follows
-    another turn have no rejected side.
+    Of the assistant turns that follow another turn it is number conv_id modulo
+    their count, so that sides part early, late and in between; the turns after
+    it stay. Conversations without such a turn have no rejected side.
     """
-    roles = F.transform("chosen", lambda x: x["role"])
-    last = F.size("chosen") - F.array_position(F.reverse(roles), "assistant") + 1  # one-based; past the end if there is none
-    d = chosen.withColumn("last", last.cast("int")).filter("last between 2 and size(chosen)")
-    echo = F.array(F.struct(F.lit("assistant").alias("role"), F.concat(F.lit("You said: "), F.col("chosen")[F.col("last") - 2]["text"]).alias("text")))
+    spots = F.filter(F.transform("chosen", lambda x, i: F.when((x["role"] == "assistant") & (i > 0), i + 1)), lambda i: i.isNotNull())
+    d = chosen.withColumn("spots", spots).filter("size(spots) > 0").withColumn("at", F.expr("spots[cast(pmod(conv_id, size(spots)) as int)]"))
+    echo = F.array(F.struct(F.lit("assistant").alias("role"), F.concat(F.lit("You said: "), F.col("chosen")[F.col("at") - 2]["text"]).alias("text")))
     return d.select(
         "conv_id",
-        F.concat(F.slice("chosen", F.lit(1), F.col("last") - 1), echo, F.slice("chosen", F.col("last") + 1, F.size("chosen"))).alias("rejected"),
+        F.concat(F.slice("chosen", F.lit(1), F.col("at") - 1), echo, F.slice("chosen", F.col("at") + 1, F.size("chosen"))).alias("rejected"),
     )
 
 
@@ -105,9 +105,9 @@ def from_conversations(conversations: DataFrame) -> DataFrame:
 
 ORACLE = """
 with t as (select distinct conv_id, turn, coalesce(role, 'user') as role, coalesce(text, '') as text from conversations where conv_id is not null),
-n as (select *, row_number() over (partition by conv_id order by turn, role, text) as k, count(*) over (partition by conv_id) as total from t),
-l as (select conv_id, max(k) as last from n where role = 'assistant' group by conv_id having max(k) >= 2),
-e as (select n.conv_id, k, last, role, text, case when k = last then 'You said: ' || lag(text) over (partition by n.conv_id order by k) else text end as other
+n as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as k, count(*) over (partition by conv_id) as total from t),
+l as (select conv_id, list(k order by k) as ks from n where role = 'assistant' and k >= 2 group by conv_id),
+e as (select n.conv_id, k, role, text, case when k = ks[1 + ((n.conv_id % len(ks)) + len(ks)) % len(ks)] then 'You said: ' || lag(text) over (partition by n.conv_id order by k) else text end as other
   from n join l using (conv_id)),
 s as (select conv_id, k, role, text, other, min(case when text <> other then k end) over (partition by conv_id) as first_diff from e),
 f as (select conv_id, k, role, coalesce(first_diff, 1000000000) as d, '<|im_start|>' || role || chr(10) as head, text || '<|im_end|>' || chr(10) as c, other || '<|im_end|>' || chr(10) as r from s),

@@ -8,11 +8,13 @@ every other by exclusive-or and bit counts, tile by tile. Two tiles, or strips,
 whose population counts differ by more than the radius can hold no pair and are
 skipped; nothing else is, so all pairs within the radius are found. The
 documents of a connected component form a group, of which the smallest doc_id
-stays.
+stays. A document is named by doc_id and text: different texts of one doc_id are
+different documents, and of those in a group the one with the smaller text hash
+comes first.
 
 Defined results: texts without a word (null, empty, symbols alone) and rows with
-a null doc_id take no part and stay. Rows that repeat a doc_id count as one
-document; `apply` leaves one of them. Ties of a bit's sum count as 0. Documents
+a null doc_id take no part and stay. Rows that repeat doc_id and text are one
+document; `apply` leaves one of them, the first as JSON. Ties of a bit's sum count as 0. Documents
 of any length are hashed whole. An empty table gives an empty result. Other
 columns are not read by `removed` and kept by `apply`.
 """
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm._arrow import mix, slices, split_words
@@ -57,7 +59,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "text"):
         bits, words = fingerprints(b.column("text"))
         bits = bits.view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(bits[:, 0]), pa.array(bits[:, 1])], ["doc_id", "h0", "h1"]).filter(pa.array(words > 0))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(bits[:, 0]), pa.array(bits[:, 1])], ["doc_id", "text_key", "h0", "h1"]).filter(pa.array(words > 0))
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool, rows: int = 32, columns: int = 4096) -> tuple[np.ndarray, np.ndarray, int]:
@@ -100,7 +102,7 @@ def _compare(path: str, radius: int):
         t = read_table(f"{path}/strip={k}")
         h = np.stack([t.column(c).to_numpy() for c in ("h0", "h1")], axis=1).view(np.uint64) if len(t) else np.zeros((0, 2), np.uint64)
         order = np.argsort(np.bitwise_count(h).sum(1, dtype=np.int64), kind="stable")
-        return h[order], t.column("rep").to_numpy()[order]
+        return h[order], t.column("node").to_numpy()[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
@@ -119,42 +121,50 @@ def _compare(path: str, radius: int):
 
 def removed(docs: DataFrame, radius: int = 22, strip_rows: int = 16384) -> DataFrame:
     """(doc_id, kept_id) of every document that is a copy or near copy of one that stays."""
-    return _removed(_signed(docs), radius, strip_rows)
+    return _removed(_signed(docs), radius, strip_rows).select("doc_id", "kept_id").distinct()
 
 
 def _signed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, h0, h1) of each document: doc_id and text name it."""
     ship(docs.sparkSession)
-    d = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    signed = d.mapInArrow(_sign, "doc_id long, h0 long, h1 long")
-    return stash(signed.withColumn("rep", F.min("doc_id").over(Window.partitionBy("h0", "h1"))), "simhash")
+    d = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return stash(d.mapInArrow(_sign, "doc_id long, text_key long, h0 long, h1 long"), "simhash")
 
 
 def _removed(signed: DataFrame, radius: int, strip_rows: int) -> DataFrame:
+    """(doc_id, text_key, kept_id), a row for each row of `signed` whose document goes."""
     spark = signed.sparkSession
-    reps = signed.filter("doc_id = rep").select("rep", "h0", "h1").distinct()
+    # the first document of each fingerprint; grouping adds up within tasks first, so that no group meets in one
+    first = F.min(F.struct("doc_id", "text_key")).alias("first")
+    reps = stash(signed.groupBy("h0", "h1").agg(first).withColumn("node", F.xxhash64("h0", "h1")), "simhash-reps")
     pop = F.bit_count("h0") + F.bit_count("h1")
     strips = max(1, -(-reps.count() // strip_rows))
     path = scratch_path(spark, "simhash-strips")
-    ranged = reps.withColumn("pop", pop).repartitionByRange(strips, "pop", "h0", "h1").withColumn("strip", F.spark_partition_id())
+    ranged = reps.select("node", "h0", "h1", pop.alias("pop")).repartitionByRange(strips, "pop", "h0", "h1").withColumn("strip", F.spark_partition_id())
     ranged.write.partitionBy("strip").parquet(path)
-    made = spark.read.schema("rep long, h0 long, h1 long, pop int, strip int").parquet(path)
+    made = spark.read.schema("node long, h0 long, h1 long, pop int, strip int").parquet(path)
     ends = stash(made.groupBy("strip").agg(F.min("pop").alias("low"), F.max("pop").alias("high")), "simhash-ends")
     x, y = ends.select(F.col("strip").alias("x"), F.col("high").alias("x_high")), ends.select(F.col("strip").alias("y"), F.col("low").alias("y_low"))
     pairs = x.join(y, (F.col("x") <= F.col("y")) & (F.col("y_low") - F.col("x_high") <= radius)).select("x", "y")
     tasks = max(1, min(strips * (strips + 1) // 2, 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     edges = pairs.repartition(tasks, "x", "y").sortWithinPartitions("x", "y").mapInArrow(_compare(path, radius), "a long, b long")
     label = components(edges)
-    kept = F.coalesce("label", "rep")
-    return signed.join(label, signed["rep"] == label["node"], "left").filter(F.col("doc_id") != kept).select("doc_id", kept.alias("kept_id")).distinct()
+    grouped = reps.join(label, "node", "left").select("h0", "h1", "first", F.coalesce("label", "node").alias("label"))
+    kept = grouped.groupBy("label").agg(F.min("first").alias("kept"))
+    # a frequent fingerprint's rows are split by the adaptive skew join
+    of = stash(grouped.join(kept, "label").select("h0", "h1", "kept"), "simhash-kept")
+    return signed.join(of, ["h0", "h1"]).filter(F.struct("doc_id", "text_key") != F.col("kept")).select("doc_id", "text_key", F.col("kept")["doc_id"].alias("kept_id"))
 
 
 def apply(docs: DataFrame, radius: int = 22, strip_rows: int = 16384) -> DataFrame:
     """Documents without the copies; one document of each group stays."""
+    names = docs.columns
     signed = _signed(docs)
-    gone = stash(_removed(signed, radius, strip_rows).select("doc_id"), "simhash-gone")
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = stash(signed.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "simhash-again")
+    gone = stash(_removed(signed, radius, strip_rows).select("doc_id", "text_key").distinct(), "simhash-gone")
+    again = stash(signed.groupBy("doc_id", "text_key").count().filter("count > 1").select("doc_id", "text_key"), "simhash-again")
+    row = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), docs["doc_id"].cast("bigint").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_key"))
+    left = row.join(gone, ["doc_id", "text_key"], "left_anti")
     if again.isEmpty():
-        return left
-    once = left.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+        return left.select("row.*")
+    once = left.join(again, ["doc_id", "text_key"], "left_semi").groupBy("doc_id", "text_key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return left.join(again, ["doc_id", "text_key"], "left_anti").select("row.*").unionByName(once.select("row.*"))

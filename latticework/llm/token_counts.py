@@ -175,7 +175,8 @@ def count(docs: DataFrame, path: str, chunk: int = 32768, overlap: int = 512) ->
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     out = "doc_id long, n_tokens long, n_chars long, n_chunks long"
     whole = d.filter(F.coalesce(F.length("text"), F.lit(0)) <= chunk).mapInArrow(_small(path), out)
-    huge = d.filter(F.length("text") > chunk).withColumn("uid", F.monotonically_increasing_id())
+    # stashed, as ids hold for one run of a plan only
+    huge = stash(d.filter(F.length("text") > chunk).withColumn("uid", F.monotonically_increasing_id()), "tokens-huge")
     done = []
     while True:
         pieces = huge.mapInArrow(_cut(chunk, overlap), "uid long, doc_id long, n_chars long, k int, n_chunks long, text string, left int, right int")
@@ -187,7 +188,6 @@ def count(docs: DataFrame, path: str, chunk: int = 32768, overlap: int = 512) ->
         failed = got.filter("n_tokens is null").select("uid")
         if failed.isEmpty():
             break
-        # stashed, as ids hold for one plan only
         huge = stash(huge.join(failed, "uid", "left_semi"), "tokens-again")
         chunk, overlap = 2 * chunk, 2 * overlap
     for x in done:

@@ -9,8 +9,8 @@ switch, then gives the best sequence of languages, and runs of one language are
 the spans. Words of digits alone say nothing for or against a language.
 
 The trigram tables are fitted on a sample of at most `train_docs` documents per
-language label, those whose hashed doc_id comes first; this bound is the only
-one. Every document is labelled over its whole text.
+language label, those whose hashed doc_id comes first (of texts with one doc_id
+the smallest); this bound is the only one. Every document is labelled over its whole text.
 
 Viterbi runs over blocks of words at once: first the best score from each state
 before a block to each state at its end, then the best states at the block ends
@@ -257,14 +257,31 @@ def _label(model: Model, penalty: float):
     return run
 
 
+def sample(docs: DataFrame, train_docs: int) -> DataFrame:
+    """(lang, text): at most train_docs documents of each label, those whose hashed doc_id comes first.
+
+    Hashes that begin with many zero bits come first. One pass counts, per label
+    and number of such bits, the different hashes; a second one takes the texts
+    from the least number of bits on that leaves enough, some times train_docs.
+    No task ever holds more than that of a label.
+    """
+    d = docs.filter("lang is not null and length(text) > 0").select("lang", F.xxhash64("doc_id").alias("h"), "text")
+    # the hash as a number from 0 up, and the zero bits that it begins with
+    d = d.withColumn("h", F.expr("h & 9223372036854775807")).withColumn("zeros", F.expr("63 - length(bin(h))"))
+    levels = d.groupBy("lang", "zeros").agg(F.approx_count_distinct("h", 0.05).alias("n"))
+    up = Window.partitionBy("lang").orderBy(F.desc("zeros")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # 64 rows at most of each label
+    enough = levels.withColumn("upto", F.sum("n").over(up)).groupBy("lang").agg(F.coalesce(F.max(F.when(F.col("upto") >= 1.3 * train_docs + 20, F.col("zeros"))), F.lit(0)).alias("least"))
+    few = d.join(enough, "lang").filter("zeros >= least").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    w = Window.partitionBy("lang").orderBy("h")
+    return few.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= train_docs).select("lang", "text")
+
+
 def fit(docs: DataFrame, train_docs: int = 500) -> Model:
     """Trigram tables from at most train_docs documents of each language label."""
     ship(docs.sparkSession)
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    d = docs.filter("lang is not null and length(text) > 0").select("doc_id", "lang", "text")
-    sample = d.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= train_docs).select("lang", "text")
     counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    rows: pd.DataFrame = sample.mapInArrow(_fit_counts, "lang string, cells binary, scripts binary").toPandas()
+    rows: pd.DataFrame = sample(docs, train_docs).mapInArrow(_fit_counts, "lang string, cells binary, scripts binary").toPandas()
     for lang, cells, script in rows.itertuples(index=False):
         c, s = np.frombuffer(cells, np.int64), np.frombuffer(script, np.int64)
         old = counts.get(lang, (0, 0))

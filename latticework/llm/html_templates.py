@@ -10,7 +10,8 @@ elements on lines of their own.
 Defined results: null or empty HTML gives an empty text and takes no part in
 the counts. A null or odd URL has host "". Pages are told apart by their
 content, so repeated rows and copies of a page count once; each row gets its own
-result. Unclosed and badly nested tags are mended: an end tag closes all that
+result. Pages of any length are parsed whole. An element that reaches both bounds
+exactly is a template. Unclosed and badly nested tags are mended: an end tag closes all that
 was opened since, and is ignored if nothing matches it. Text of script, style,
 noscript, template, head (but not title) is not visible. Columns other than
 page_id, url and html are not read. An empty table gives an empty result.
@@ -169,20 +170,19 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, min_pages: int = 3, min_share: float = 0.05, broadcast_limit: int = 1_000_000, salts: int = 64) -> DataFrame:
     """(page_id, host, text, removed) for every page.
 
-    Up to broadcast_limit hosts and template hashes (8 MB) the templates are
+    Every page is parsed twice, as its tree is larger than its HTML. Up to broadcast_limit hosts and template hashes (8 MB) the templates are
     sent to the pages; beyond, both are shuffled by host and salt.
     """
     ship(pages.sparkSession)
     p = pages.select(F.col("page_id").cast("bigint").alias("page_id"), _host().alias("host"), "html")
     seen = p.filter("length(html) > 0").select("host", "html").mapInArrow(_count, "host string, subtree long, page long")
-    counts = seen.groupBy("host", "subtree").agg(F.countDistinct("page").alias("pages"))
+    # counted in two steps, of which the first spreads the pages of one element over all tasks
+    counts = stash(seen.groupBy("host", "subtree").agg(F.countDistinct("page").alias("pages")).filter((F.col("pages") >= min_pages) | F.col("subtree").isNull()), "html-counts")
     # the row whose subtree is null holds the host's number of pages
-    site = counts.groupBy("host").agg(
-        F.max(F.when(F.col("subtree").isNull(), F.col("pages"))).alias("all"),
-        F.collect_list(F.when((F.col("pages") >= min_pages) & F.col("subtree").isNotNull(), F.struct("subtree", "pages"))).alias("many"),
-    )
-    site = site.select("host", F.transform(F.filter("many", lambda x: x["pages"] >= F.col("all") * min_share), lambda x: x["subtree"]).alias("templates"))
-    site = stash(site, "html-templates")
+    hosts = counts.filter("subtree is null").select("host", F.col("pages").alias("all"))
+    many = counts.filter("subtree is not null").join(hosts, "host").filter(F.col("pages") >= F.col("all") * min_share)
+    # a host has few templates: a page has 1 / min_share times fewer elements than its host has templates
+    site = stash(many.groupBy("host").agg(F.collect_list("subtree").alias("templates")), "html-templates")
     size = site.agg(F.count("*"), F.coalesce(F.sum(F.size("templates")), F.lit(0))).first()
     if sum(size) <= broadcast_limit:
         joined = p.join(F.broadcast(site), "host", "left")

@@ -259,8 +259,12 @@ def test_pipeline_equals_its_plain_version(spark, sf):
     con = duckdb.connect()
     mixed = d.toPandas()  # noqa: F841 - read by the SQL below
     want = con.execute(mixing.ORACLE.replace("from documents", "from mixed")).fetchall()
-    got = [tuple(r) for r in corpus_pipeline.run(spark, sf).select("doc_id", "source", "epoch", "n_tokens", "tokens_taken").collect()]
-    assert sorted(got) == sorted(want)
+    rows = corpus_pipeline.run(spark, sf).collect()
+    assert sorted((r.doc_id, r.source, r.epoch, r.epochs, r.n_tokens, r.tokens_taken) for r in rows) == sorted(want)
+    texts = {i: t for i, t, _ in cut}
+    for r in rows:
+        assert len(r.text.split()) * r.epochs == r.tokens_taken and r.n_chars == len(r.text)
+        assert r.text == texts[r.doc_id] or texts[r.doc_id].lstrip().startswith(r.text)
 
 
 def test_budgets_are_met_exactly(spark, docs):

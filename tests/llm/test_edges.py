@@ -87,6 +87,15 @@ def test_empty_tables(spark, empty, benchmark, labels):
 
 def test_quality(odd, clashing):
     by = {r.doc_id: r for r in quality_rules.judge(odd).collect()}
+    licence = "This file is licensed under the Some License, version 2.\n" * 50 + "It works well."
+    foreign = "Alle Rechte vorbehalten.\nWir verwenden Cookies, um die Seite zu verbessern.\nStartseite\nAnmelden.\nWeiterlesen."
+    french = "Tous droits réservés.\nAccueil\nLire la suite\nC'est le texte."
+    spanish = "Todos los derechos reservados.\nInicio\nLeer más\nEste es el texto."
+    judged = quality_rules.judge(odd.sparkSession.createDataFrame([(1, licence), (2, foreign), (3, french), (4, spanish)], "doc_id long, text string")).collect()
+    got = {r.doc_id: r for r in judged}
+    assert not any(r.keep for r in judged) and got[1].kept_share < 0.01 and got[2].chars_kept == 0
+    assert (got[3].n_boilerplate, got[3].n_navigation, got[3].clean_text) == (1, 2, "C'est le texte.")
+    assert (got[4].n_boilerplate, got[4].n_navigation, got[4].clean_text) == (1, 2, "Este es el texto.")
     assert by[1].keep and by[1].clean_text == PROSE * 3 and by[6].keep
     assert not by[3].keep and by[3].kept_share == 0 and not by[4].keep
     kept = quality_rules.apply(clashing)
@@ -101,6 +110,15 @@ def test_simhash(odd, clashing):
     assert sorted(r.doc_id or -1 for r in left.select("doc_id").collect()) == [-1, -1, 1, 3, 4, 5, 6]
 
 
+def test_simhash_of_texts_that_share_a_doc_id(spark):
+    other = "Seven bridges cross the canal, and the oldest of them carries nothing but a narrow garden path."
+    rows = [(1, PROSE * 3, "b"), (1, other, "x"), (1, PROSE * 3, "a"), (2, other, "y"), (3, PROSE * 3, "z"), (3, "Nothing like the others was ever said about lighthouses.", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag string")
+    assert sorted((r.doc_id, r.kept_id) for r in simhash.removed(docs).collect()) == [(2, 1), (3, 1)]
+    left = sorted((r.doc_id, r.text, r.tag) for r in simhash.apply(docs).collect())
+    assert left == sorted([(1, PROSE * 3, "a"), (1, other, "x"), (3, rows[5][1], "w")])
+
+
 def test_scores_of_nothing(odd, labels):
     by = {r.doc_id: r for r in lm_scoring.score(odd, labels).collect() if r.doc_id}
     assert by[3].n_tokens == by[4].n_tokens == 0 and by[3].loss_target is None and by[4].loss_difference is None
@@ -126,15 +144,27 @@ def test_suffixes(spark, clashing):
 
 def test_mixing(odd, clashing):
     for docs in (odd, clashing):
-        rows = mixing.plan(docs, {"a": 1, "b": 2}, total=90).collect()
-        taken = {}
-        for r in rows:
-            taken[r.source] = taken.get(r.source, 0) + r.tokens_taken
-        assert taken == {"a": 30, "b": 60}
-        assert any(r.epoch > 0 for r in rows if r.source == "b")
+        for limit in (100_000, 0):
+            rows = mixing.plan(docs, {"a": 1, "b": 2}, total=90, broadcast_limit=limit, salts=3).collect()
+            taken = {}
+            for r in rows:
+                taken[r.source] = taken.get(r.source, 0) + r.tokens_taken
+            assert taken == {"a": 30, "b": 60}
+            assert any(r.epoch > 0 for r in rows if r.source == "b")
+    spark = odd.sparkSession
     big = 2**60 + 1
-    ids = odd.sparkSession.createDataFrame([(big, "a b", "s"), (None, "c d", "s")], "doc_id long, text string, source string")
+    ids = spark.createDataFrame([(big, "a b", "s"), (None, "c d", "s")], "doc_id long, text string, source string")
     assert {r.doc_id for r in mixing.plan(ids).collect()} == {big, None}
+    # a source of two tokens that has to fill fifty thousand million
+    two = spark.createDataFrame([(1, "a b", "tiny"), (2, " c d e\n f ", "more"), (3, "g", "more"), (3, "g", "more")], "doc_id long, text string, source string")
+    rows = mixing.plan(two, total=100_000_000_001).collect()
+    by = {}
+    for r in rows:
+        by[r.source] = by.get(r.source, 0) + r.tokens_taken
+    assert by == {"tiny": 50_000_000_000, "more": 50_000_000_000} and len(rows) <= 8
+    cut = mixing.apply(two.withColumn("epochs", F.lit("x")), {"more": 1}, total=3).collect()
+    assert sum(r.tokens_taken for r in cut) == sum(len(r.text.split()) for r in cut) == 3
+    assert all(two.filter(F.col("text").contains(r.text)).count() for r in cut)
 
 
 def test_tokens_and_languages(odd, clashing):
@@ -158,6 +188,8 @@ def test_preference(spark):
             for a, b in zip(r[f"{side}_mask_start"], r[f"{side}_mask_end"]):
                 assert r[side][a:b].endswith("<|im_end|>\n")
     assert by[3].chosen[by[3].chosen_mask_start[0] :].startswith("z" * 100_000)
+    late = [(5, 1, "user", "one", "x", "y"), (5, None, "user", "zero", "x", "y"), (5, 2, "assistant", "two", "x", "y")]
+    assert preference.from_conversations(spark.createDataFrame(late, c)).first().prompt.index("zero") < 20  # a null turn is the first
     one = spark.createDataFrame([(1, [("user", "a")]), (2, [("user", "b")])], "conv_id long, chosen array<struct<role:string,text:string>>")
     two = spark.createDataFrame([(1, [("user", "a")])], "conv_id long, rejected array<struct<role:string,text:string>>")
     got = {r.conv_id: r for r in preference.pairs(one, two).collect()}

@@ -2,12 +2,21 @@
 
 Each stage takes (spark, docs, sf_dir) and works on every row that the stage
 before it left. All but the last return the columns of documents; the last
-returns what is taken of each document (doc_id, source, epoch, n_tokens,
-tokens_taken). Scratch tables of a stage go when the next one begins, as its
-result is written by then.
-
-Defined results: as the operators state them. Rows with a null doc_id pass the
-stages that compare documents; extra columns are kept until mixing.
+returns these too, the text cut to what is taken of it, and how a document is
+taken (epoch, epochs, n_tokens, tokens_taken).
+
+Scratch tables of a stage go when the next one begins, as its result is written
+by then; a stage's own table goes when the next one's is written. What the last
+result reads, the table before it and its scratch, stays in the shared folder.
+
+Defined results. Nulls: a null or blank text is rejected by the first stage;
+rows with a null doc_id pass the three stages that compare documents; a null
+source is mixed as "(none)". Very long texts go through whole. Rows that repeat
+doc_id and text become one; different texts of one doc_id are different documents
+but for benchmark leaks, where all rows of a doc_id go with one of them. Ties are
+broken as the operators state. Empty tables give empty results at every stage.
+Extra columns are kept, also under names that the operators use inside; the last
+stage replaces those named epoch, epochs, n_tokens and tokens_taken.
 """
 
 from __future__ import annotations
@@ -15,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from latticework.llm import decontamination, mixing, quality_rules, simhash, suffix_dedup
-from latticework.session import release, scratch_path
+from latticework.session import delete, gathering, scratch_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,16 +48,24 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every source gets the same budget of tokens."""
+    """Every source gets the same budget of tokens; texts are cut to what is taken."""
     return mixing.apply(docs)
 
 
+#: By application, the scratch tables of the stage that ran last.
+_left: dict[str, list[str]] = {}
+
+
 def _fresh(stage):
-    """A stage that first drops the scratch tables of the one before it."""
+    """A stage that first drops the scratch tables of the one before it, and no others."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark)
-        return stage(spark, docs, sf_dir)
+        app = spark.sparkContext.applicationId
+        delete(spark, _left.pop(app, []))
+        with gathering() as made:
+            out = stage(spark, docs, sf_dir)
+        _left[app] = made
+        return out
 
     return run
 
@@ -67,11 +84,15 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other; each result is written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    _left.pop(spark.sparkContext.applicationId, None)  # an earlier result may still be read from these
+    for _, stage in STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        path = scratch_path(spark, "pipeline", keep=True)
+        path = scratch_path(spark, "pipeline")
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        delete(spark, before)
+        before = [path]
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    _left.pop(spark.sparkContext.applicationId, None)
+    return out

@@ -23,6 +23,17 @@ def read_table(path: str, columns: list[str] | None = None) -> pa.Table:
     return pa.concat_tables([pq.read_table(f, filesystem=fs, columns=columns, partitioning=None) for f in files])
 
 
+def write_file(path: str, table: pa.Table) -> None:
+    fs, at = resolve(path)
+    fs.create_dir(at.rpartition("/")[0], recursive=True)
+    pq.write_table(table, at, filesystem=fs, compression="zstd")
+
+
+def read_file(path: str) -> pa.Table:
+    fs, at = resolve(path)
+    return pq.read_table(at, filesystem=fs, partitioning=None)
+
+
 def save_array(path: str, array: np.ndarray) -> None:
     fs, at = resolve(path)
     fs.create_dir(at.rpartition("/")[0], recursive=True)
@@ -41,4 +52,4 @@ def load_array(path: str) -> np.ndarray:
         return np.load(io.BytesIO(f.read()))
 
 
-__all__ = ["load_array", "read_table", "resolve", "save_array"]
+__all__ = ["load_array", "read_file", "read_table", "resolve", "save_array", "write_file"]

@@ -1,145 +1,270 @@
 """Operator 4, LM scoring by cross-entropy difference.
 
-Two trigram models over the bytes of the texts share one vocabulary, the bytes
-that occur anywhere in the corpus. The target model is trained on all documents
+Two bigram models over the words of the texts share one vocabulary, that of the
+whole corpus, which grows with it. The target model is trained on the documents
 labelled good (quality 1, toxic 0), the background model on all documents; they
 are matched: same order, same smoothing, and counts of the background scaled to
-the target's size. With n the counts, V the vocabulary and k the strength:
-
-    P(c)    = (n(c) + 1) / (N + V)
-    P(c|b)  = (n(bc) + k P(c)) / (n(b.) + k)
-    P(c|ab) = (n(abc) + k P(c|b)) / (n(ab.) + k)
-
-A document's score is the mean, over its bytes, of -ln P_target + ln P_background:
-the lower, the more it is like the target. Counting and scoring cover every byte
-of every document. The tables that tasks read have V^3 cells, 2^24 at most,
-however large the corpus is.
-
-Defined results: a null or empty text has 0 tokens and null losses. Contexts at
-the start of a text are filled with byte 0. Repeated rows count as often as they
-occur, and each is scored; repeated labels of a doc_id count as good if any is.
-Without a good document all target counts are 0 and its model is uniform. An
-empty table gives an empty result. Other columns are not read.
+the target's size. A document is scored by models that have not seen it: its own
+counts are taken off first. With n the counts, V the vocabulary, b the word
+before c (or the start of the text) and k the strength:
+
+    P(c)   = (n(c) + 1) / (N + V)
+    P(c|b) = (n(bc) + k P(c)) / (n(b.) + k)
+
+A document's score is the mean, over its words, of -ln P_target + ln P_background:
+the lower, the more it is like the target.
+
+1. Texts are written to files of about `part_bytes` in the shared folder. A part
+   counts its words, contexts and bigrams and sends the counts, sorted by hash
+   and cut into `shards` ranges of hashes, on their way.
+2. A shard adds up the counts of its range over all parts, and answers every part
+   with the totals, in the order in which it asked.
+3. A part reads its texts again and scores them with its totals.
+
+So a frequent bigram meets as one row of each part, not of each document, no task
+holds more than a part or a shard, and no model goes to the driver but the
+numbers N and V. Texts are not shuffled.
+
+Defined results: words are as in _arrow; a null or empty text has 0 tokens and
+null losses. Repeated rows count as often as they occur (a copy's own counts are
+those of one row), and each is scored; repeated labels of a doc_id count as good
+if any is. Rows with a null doc_id are scored and not good. Without a good
+document all target counts are 0 and its model is uniform. A text of any length
+is scored whole, in a part of its own if it is longer than that. An empty table
+gives an empty result. Other columns are not read. Hashes have 62 bits.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm._arrow import raw_bytes, slices
-from latticework.llm._files import load_array, save_array
+from latticework.llm._arrow import mix, slices, split_words
+from latticework.llm._files import read_file, write_file
 from latticework.session import scratch_path, ship, stash
 
+_START = np.uint64(0x3C79AC492BA7B653)
+_SALTS = tuple(np.uint64(x) for x in (0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x8CB92BA72F3D8DD7))
+_WORD, _CONTEXT, _BIGRAM = range(3)
+_OUT = "doc_id long, n_tokens long, loss_target double, loss_background double, loss_difference double"
+
+
+def _spool(path: str, part_bytes: int, part_rows: int):
+    """Write the texts to files; a row (part, path, doc_id) for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = made = 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal size, made
+            t = pa.Table.from_batches(held).combine_chunks()
+            file = f"{path}/{uuid.uuid4().hex}.parquet"
+            write_file(file, t)
+            part = TaskContext.get().partitionId() << 24 | made
+            held.clear()
+            size, made = 0, made + 1
+            doc = t.column("doc_id").combine_chunks()
+            return pa.RecordBatch.from_arrays([pa.array([part] * len(t), pa.int64()), pa.array([file] * len(t)), doc], ["part", "path", "doc_id"])
+
+        for b in slices(batches, "text", min(part_bytes, 2_000_000)):
+            held.append(b)
+            size += b.column("text").nbytes
+            if size >= part_bytes or sum(map(len, held)) >= part_rows:
+                yield close()
+        if held:
+            yield close()
+
+    return run
+
+
+def keys(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(3, n words): hash of each word, of the context before it, and of both; and the texts' offsets. The last two bits tell which."""
+    parts, sizes = [], [np.zeros(1, np.int64)]
+    for b in slices(iter(pa.table({"text": texts}).to_batches()), "text"):
+        w = split_words(b.column("text"))
+        h = w.hashes()
+        before = np.empty_like(h)
+        before[1:] = h[:-1]
+        before[w.at[:-1][np.diff(w.at) > 0]] = _START
+        with np.errstate(over="ignore"):
+            k = np.stack([mix(h ^ _SALTS[0]), mix(before ^ _SALTS[1]), mix(before * _SALTS[2] + h)])
+        parts.append(k & ~np.uint64(3) | np.arange(3, dtype=np.uint64)[:, None])
+        sizes.append(np.diff(w.at))
+    none = np.zeros((3, 0), np.uint64)
+    return np.concatenate([none, *parts], axis=1), np.cumsum(np.concatenate(sizes))
+
 
-def contexts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each byte of the texts, the one before it and the one before that; offsets of the texts."""
-    c, at = raw_bytes(pc.fill_null(texts, ""))
-    b, a = np.zeros_like(c), np.zeros_like(c)
-    b[1:], a[2:] = c[:-1], c[:-2]
-    first = at[:-1][at[:-1] < len(c)]
-    b[first] = a[first] = 0
-    a[np.minimum(first + 1, len(c) - 1)] = 0  # at the end of a text of one byte this is the next one's first
-    return a, b, c, at
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, alls, goods = [], [], []
-    for batch in slices(batches, "text"):
-        a, b, c, at = contexts(batch.column("text"))
-        if not len(c):
-            continue
-        present = np.flatnonzero(np.bincount(c, minlength=256) + (np.arange(256) == 0))
-        to = np.zeros(256, np.int32)
-        to[present] = np.arange(len(present))
-        v = len(present)
-        key = (to[a] * v + to[b]) * v + to[c]
-        good = np.repeat(np.asarray(batch.column("good")).astype(bool), np.diff(at))
-        n = np.bincount(key, minlength=v**3)
-        found = np.flatnonzero(n)
-        keys.append((present[found // (v * v)] << 16) | (present[found // v % v] << 8) | present[found % v])
-        alls.append(n[found])
-        goods.append(np.bincount(key[good], minlength=v**3)[found])
-    if keys:
-        u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        n, g = (np.bincount(inverse, weights=np.concatenate(x)).astype(np.int64) for x in (alls, goods))
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int32()), pa.array(n), pa.array(g)], ["key", "n", "good"])
-
-
-def log_probabilities(keys: np.ndarray, counts: np.ndarray, symbols: np.ndarray, vocabulary: int, k: float) -> np.ndarray:
-    """ln P(c|ab) for all a, b, c of `symbols`, from counts of keys a << 16 | b << 8 | c."""
-    s = len(symbols)
-    to = np.zeros(256, np.int64)
-    to[symbols] = np.arange(s)
-    n3 = np.bincount((to[keys >> 16] * s + to[keys >> 8 & 255]) * s + to[keys & 255], weights=counts, minlength=s**3).reshape(s, s, s)
-    n2 = n3.sum(0)
-    n1 = n2.sum(0)
-    p1 = (n1 + 1) / (n1.sum() + vocabulary)
-    p2 = (n2 + k * p1) / (n2.sum(1, keepdims=True) + k)
-    return np.log((n3 + k * p2) / (n3.sum(2, keepdims=True) + k))
-
-
-def _score(path: str, symbols: np.ndarray):
+def pack(x: np.ndarray) -> bytes:
+    """64-bit numbers byte plane by byte plane, which compresses well where they are small."""
+    return np.ascontiguousarray(x.astype(np.int64, copy=False).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack(data: pa.Scalar) -> np.ndarray:
+    x = np.frombuffer(data.as_buffer(), np.uint8)
+    return np.ascontiguousarray(x.reshape(8, -1).T).view(np.int64).reshape(-1)
+
+
+def _good(t: pa.Table, goods: pa.Scalar) -> np.ndarray:
+    """Which documents of a part are good."""
+    return np.asarray(pc.fill_null(pc.is_in(t.column("doc_id"), value_set=goods.values, skip_nulls=True), False))
+
+
+def _count(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, background = load_array(f"{path}/target.npy").reshape(-1), load_array(f"{path}/background.npy").reshape(-1)
-        s, to = len(symbols), np.zeros(256, np.int32)
-        to[symbols] = np.arange(s)
-        for batch in slices(batches, "text"):
-            a, b, c, at = contexts(batch.column("text"))
-            key = (to[a] * s + to[b]) * s + to[c]
-            n = np.diff(at)
-            some = n > 0
-            means = []
-            for table in (target, background):
-                mean = np.full(len(n), np.nan)
-                if some.any():
-                    mean[some] = -np.add.reduceat(table[key], at[:-1][some]) / n[some]
-                means.append(mean)
-            columns = [batch.column("doc_id"), pa.array(n), *(pa.array(x, from_pandas=True) for x in (*means, means[0] - means[1]))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "loss_target", "loss_background", "loss_difference"])
+        for batch in batches:
+            for part, path, goods in zip(batch.column("part").to_pylist(), batch.column("path").to_pylist(), batch.column("goods")):
+                t = read_file(path)
+                k, at = keys(t.column("text"))
+                good = np.repeat(_good(t, goods), np.diff(at))
+                flat = k.reshape(-1)
+                found, index, n = np.unique(flat, return_inverse=True, return_counts=True)
+                g = np.bincount(index, weights=np.tile(good, 3), minlength=len(found)).astype(np.int64)
+                # equal ranges of hashes
+                of = ((found >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+                cut = np.searchsorted(of, np.arange(shards + 1, dtype=np.uint64))
+                some = np.flatnonzero(np.diff(cut)).tolist()
+                rows = [slice(cut[s], cut[s + 1]) for s in some]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(some, pa.int32()),
+                        pa.array([part] * len(some), pa.int64()),
+                        pa.array([pack(np.diff(found[r].view(np.int64), prepend=0)) for r in rows], pa.binary()),
+                        *(pa.array([pack(x[r]) for r in rows], pa.binary()) for x in (n, g)),
+                    ],
+                    ["shard", "part", "keys", "n", "g"],
+                )
+
+    return run
+
+
+def _total(t: pa.Table) -> pa.Table:
+    """The totals of a shard's keys, for each part those that it has; and the shard's share of the vocabulary and of all tokens."""
+    ks = [np.cumsum(unpack(x)) for x in t.column("keys")]
+    key = np.concatenate(ks).view(np.uint64)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    group = np.empty(len(key), np.int64)
+    group[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(key))))
+    sums = []
+    for c in ("n", "g"):
+        x = np.concatenate([unpack(x) for x in t.column(c)])
+        sums.append(np.add.reduceat(x[order], head))
+    words = (key[head] & np.uint64(3)) == _WORD
+    ends = np.cumsum([len(x) for x in ks])
+    rows = [group[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+    first = lambda x: pa.array([int(x)] + [0] * (len(rows) - 1), pa.int64())
+    return pa.table(
+        {
+            "part": t.column("part"),
+            "shard": t.column("shard"),
+            **{c: pa.array([pack(x[r]) for r in rows], pa.binary()) for c, x in zip(("n", "g"), sums)},
+            "vocabulary": first(words.sum()),
+            "all_n": first(sums[0][words].sum()),
+            "all_g": first(sums[1][words].sum()),
+        }
+    )
+
+
+def own_counts(index: np.ndarray, owner: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """How often the document of each row has that row's key itself; total: how often the corpus has it."""
+    out = np.ones(len(index), np.int64)
+    some = np.flatnonzero(total > 1)
+    pair = owner[some] << 32 | index[some]
+    order = np.argsort(pair, kind="stable")
+    pair = pair[order]
+    head = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+    n = np.diff(np.append(head, len(pair)))
+    out[some[order]] = np.repeat(n, n)
+    return out
+
+
+def _score(k: float, vocabulary: int, all_n: int, all_g: int):
+    scale = all_g / all_n if all_n else 0.0
+
+    def run(values: pa.Table, part: pa.Table) -> pa.Table:
+        values = values.sort_by("shard")
+        totals = [np.concatenate([np.zeros(0, np.int64), *(unpack(x) for x in values.column(c))]) for c in ("n", "g")]
+        t = read_file(part.column("path")[0].as_py())
+        hashes, at = keys(t.column("text"))
+        size = np.diff(at)
+        good = _good(t, part.column("goods")[0])
+        owner = np.repeat(np.arange(len(size)), size)
+        _, index = np.unique(hashes.reshape(-1), return_inverse=True)
+        index = index.reshape(3, -1)
+        of_good = good[owner]
+        n, g = [], []
+        for x in index:
+            all_ = totals[0][x]
+            own = own_counts(x, owner, all_)
+            n.append(all_ - own)
+            g.append(totals[1][x] - own * of_good)
+        some = size > 0
+        means = []
+        for x, everything in ((g, all_g - size * good), ([scale * y for y in n], scale * (all_n - size))):
+            p = (x[_WORD] + 1) / (everything[owner] + vocabulary)
+            loss = -np.log((x[_BIGRAM] + k * p) / (x[_CONTEXT] + k))
+            mean = np.full(len(size), np.nan)
+            if some.any():
+                mean[some] = np.add.reduceat(loss, at[:-1][some]) / size[some]
+            means.append(mean)
+        cols = [t.column("doc_id"), pa.array(size), *(pa.array(x, from_pandas=True) for x in (*means, means[0] - means[1]))]
+        return pa.Table.from_arrays(cols, ["doc_id", "n_tokens", "loss_target", "loss_background", "loss_difference"])
 
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, k: float = 4.0) -> DataFrame:
-    """(doc_id, n_tokens, loss_target, loss_background, loss_difference) for every document."""
+def score(docs: DataFrame, labels: DataFrame, k: float = 4.0, part_bytes: int = 12_000_000, part_rows: int = 100_000, shards: int | None = None) -> DataFrame:
+    """(doc_id, n_tokens, loss_target, loss_background, loss_difference) for every document.
+
+    shards: ranges of hashes, of which each is one task's; by default as many as
+    there are parts.
+    """
     spark = docs.sparkSession
     ship(spark)
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     good = labels.filter("quality = 1 and toxic = 0").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().withColumn("good", F.lit(True))
-    marked = d.join(good.hint("shuffle_hash"), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    counts = stash(marked.mapInArrow(_count, "key int, n long, good long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "lm-counts")
-    table = counts.toPandas()  # 2^24 rows at most, of the byte trigrams that occur
-    keys = table["key"].to_numpy(np.int64)
-    n, g = table["n"].to_numpy(np.float64), table["good"].to_numpy(np.float64)
-    vocabulary = len(np.unique(keys & 255))
-    symbols = np.unique(np.concatenate([keys & 255, np.zeros(1, np.int64)]))
-    path = scratch_path(spark, "lm-models")
-    scale = g.sum() / n.sum() if len(n) else 0.0
-    for name, x in (("target", g), ("background", n * scale)):
-        save_array(f"{path}/{name}.npy", log_probabilities(keys, x, symbols, max(vocabulary, 1), k))
-    out = d.mapInArrow(_score(path, symbols), "doc_id long, n_tokens long, loss_target double, loss_background double, loss_difference double")
+    ids = stash(d.mapInArrow(_spool(scratch_path(spark, "lm-texts"), part_bytes, part_rows), "part long, path string, doc_id long"), "lm-ids")
+    marked = ids.distinct().join(good, "doc_id", "left")
+    # a part has part_rows documents, and what one more slice holds, at most
+    parts = stash(marked.groupBy("part", "path").agg(F.collect_list(F.when(F.col("good"), F.col("doc_id"))).alias("goods")), "lm-parts")
+    made = max(1, parts.count())
+    shards = shards or made
+    busy = 3 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counts = parts.repartition(min(made, busy), "part").mapInArrow(_count(shards), "shard int, part long, keys binary, n binary, g binary")
+    totals = stash(
+        counts.repartition(min(shards, busy), "shard").groupBy("shard").applyInArrow(_total, "part long, shard int, n binary, g binary, vocabulary long, all_n long, all_g long"), "lm-totals"
+    )
+    sums = totals.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("vocabulary", "all_n", "all_g"))).first()
+    values = totals.select("part", "shard", "n", "g").repartition(min(made, busy), "part").groupBy("part")
+    out = values.cogroup(parts.repartition(min(made, busy), "part").groupBy("part")).applyInArrow(_score(k, max(sums[0], 1), sums[1], sums[2]), _OUT)
     return out.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("loss_target", "loss_background", "loss_difference")))
 
 
-ORACLE = """
-with d as (select row_number() over () as row, doc_id, coalesce(text, '') as text from documents),
+ORACLE = r"""
+with d as (select row_number() over () as row, doc_id, text from documents),
 good as (select distinct doc_id from labels where quality = 1 and toxic = 0),
-h as (select row, doc_id, text, octet_length(encode(text)) as n_tokens, doc_id in (select doc_id from good) as good from d),
-w as (select row, good, unnest(regexp_extract_all(hex(encode(text)), '..')) as c, generate_subscripts(regexp_extract_all(hex(encode(text)), '..'), 1) as i from h where n_tokens > 0),
-u as (select row, good, coalesce(lag(c, 2) over o, '00') || coalesce(lag(c) over o, '00') || c as key from w window o as (partition by row order by i)),
-c as (select key, count(*) as n, count(*) filter (where good) as g from u group by key),
-z as (select sum(g)::double / sum(n) as scale, count(distinct substring(key, 5, 2)) as v from c),
-m as (select key, unnest([0, 1]) as model, unnest([g::double, n * (select scale from z)]) as n from c),
-q as (select model, key, n, (select v from z) as v, sum(n) over (partition by model, substring(key, 1, 4)) as ab, sum(n) over (partition by model, substring(key, 3, 4)) as bc,
-  sum(n) over (partition by model, substring(key, 3, 2)) as b, sum(n) over (partition by model, substring(key, 5, 2)) as c, sum(n) over (partition by model) as total from m),
-p as (select model, key, -ln((n + 4.0::double * (bc + 4.0::double * (c + 1) / (total + v)) / (b + 4.0::double)) / (ab + 4.0::double)) as loss from q),
-k as (select a.key, a.loss as t, b.loss as b from p a join p b using (key) where a.model = 0 and b.model = 1),
-s as (select row, avg(t) as t, avg(b) as b from u join k using (key) group by row)
-select doc_id, n_tokens::bigint as n_tokens, round(t, 6) as loss_target, round(b, 6) as loss_background, round(t - b, 6) as loss_difference from h left join s using (row)
+h as (select row, doc_id, coalesce(doc_id in (select doc_id from good where doc_id is not null), false) as good, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-/:-`{-\x7f]+'), lambda x: x <> '') as w from d),
+u as (select row, good, unnest(w) as c, generate_subscripts(w, 1) as i from h),
+t as (select row, good, c, coalesce(lag(c) over (partition by row order by i), '') as b from u),
+n1 as (select c, count(*) as n, count(*) filter (where good) as g from t group by c),
+nb as (select b, count(*) as n, count(*) filter (where good) as g from t group by b),
+n2 as (select b, c, count(*) as n, count(*) filter (where good) as g from t group by b, c),
+z as (select count(*) as v, coalesce(sum(n), 0) as n, coalesce(sum(g), 0) as g, coalesce(sum(g) / sum(n), 0)::double as scale from n1),
+o as (select *, count(*) over (partition by row) as own, count(*) over (partition by row, c) as own1, count(*) over (partition by row, b) as ownb, count(*) over (partition by row, b, c) as own2 from t),
+x as (select row, unnest([0, 1]) as model, v, unnest([(z.g - case when good then own else 0 end)::double, scale * (z.n - own)]) as total,
+    unnest([(n1.g - case when good then own1 else 0 end)::double, scale * (n1.n - own1)]) as c1, unnest([(nb.g - case when good then ownb else 0 end)::double, scale * (nb.n - ownb)]) as cb,
+    unnest([(n2.g - case when good then own2 else 0 end)::double, scale * (n2.n - own2)]) as c2
+  from o join n1 on n1.c = o.c join nb on nb.b = o.b join n2 on n2.b = o.b and n2.c = o.c, z),
+l as (select row, model, avg(-ln((c2 + 4.0::double * (c1 + 1) / (total + v)) / (cb + 4.0::double))) as loss from x group by row, model),
+s as (select row, max(loss) filter (where model = 0) as t, max(loss) filter (where model = 1) as b from l group by row)
+select doc_id, len(w)::bigint as n_tokens, round(t, 6) as loss_target, round(b, 6) as loss_background, round(t - b, 6) as loss_difference from h left join s using (row)
 """

@@ -82,7 +82,7 @@ def test_empty_tables(spark, empty, benchmark, labels):
     assert preference.from_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
     assert html_templates.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     # no good document: the target model is uniform
-    assert lm_scoring.score(full, no_labels).first().n_tokens == len(PROSE)
+    assert lm_scoring.score(full, no_labels).first().n_tokens == 14
 
 
 def test_quality(odd, clashing):
@@ -116,13 +116,16 @@ def test_simhash_of_texts_that_share_a_doc_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, tag string")
     assert sorted((r.doc_id, r.kept_id) for r in simhash.removed(docs).collect()) == [(2, 1), (3, 1)]
     left = sorted((r.doc_id, r.text, r.tag) for r in simhash.apply(docs).collect())
+    assert left == sorted((r.doc_id, r.text, r.tag) for r in simhash.apply(docs, broadcast_limit=0).collect())
     assert left == sorted([(1, PROSE * 3, "a"), (1, other, "x"), (3, rows[5][1], "w")])
 
 
 def test_scores_of_nothing(odd, labels):
     by = {r.doc_id: r for r in lm_scoring.score(odd, labels).collect() if r.doc_id}
     assert by[3].n_tokens == by[4].n_tokens == 0 and by[3].loss_target is None and by[4].loss_difference is None
-    assert by[6].n_tokens == len(long_text())
+    assert by[6].n_tokens == 60_000
+    spread = lm_scoring.score(odd, labels, part_bytes=300, part_rows=2, shards=5).collect()
+    assert sorted(map(str, spread)) == sorted(map(str, lm_scoring.score(odd, labels).collect()))
 
 
 def test_decontamination(odd, clashing, benchmark):

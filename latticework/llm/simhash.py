@@ -156,15 +156,20 @@ def _removed(signed: DataFrame, radius: int, strip_rows: int) -> DataFrame:
     return signed.join(of, ["h0", "h1"]).filter(F.struct("doc_id", "text_key") != F.col("kept")).select("doc_id", "text_key", F.col("kept")["doc_id"].alias("kept_id"))
 
 
-def apply(docs: DataFrame, radius: int = 22, strip_rows: int = 16384) -> DataFrame:
-    """Documents without the copies; one document of each group stays."""
+def apply(docs: DataFrame, radius: int = 22, strip_rows: int = 16384, broadcast_limit: int = 500_000) -> DataFrame:
+    """Documents without the copies; one document of each group stays.
+
+    Up to broadcast_limit names of documents that go (8 MB) are sent to the
+    documents; with more of them, both are shuffled.
+    """
     names = docs.columns
     signed = _signed(docs)
     gone = stash(_removed(signed, radius, strip_rows).select("doc_id", "text_key").distinct(), "simhash-gone")
     again = stash(signed.groupBy("doc_id", "text_key").count().filter("count > 1").select("doc_id", "text_key"), "simhash-again")
     row = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), docs["doc_id"].cast("bigint").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_key"))
-    left = row.join(gone, ["doc_id", "text_key"], "left_anti")
+    left = row.join(F.broadcast(gone) if gone.count() <= broadcast_limit else gone, ["doc_id", "text_key"], "left_anti")
     if again.isEmpty():
         return left.select("row.*")
+    again = F.broadcast(again) if again.count() <= broadcast_limit else again
     once = left.join(again, ["doc_id", "text_key"], "left_semi").groupBy("doc_id", "text_key").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return left.join(again, ["doc_id", "text_key"], "left_anti").select("row.*").unionByName(once.select("row.*"))

@@ -7,24 +7,32 @@ that repeats cover are the repeated passages, whose first occurrence stays.
 1. Every window is keyed by the smallest hash of the `gram`-word sequences in
    it. Equal windows have equal keys, wherever they are. Windows in a row with
    one key form a segment; a segment's row holds its key and a hash of its words.
-2. Rows meet by key. A key with one segment cannot hold a repeat (unless its
-   sequence recurs inside of the segment). Of segments with equal words the
-   first stands for all.
-3. Where a key has several different segments, their words are fetched, and the
-   suffixes of each shard of keys are sorted with their common-prefix values by
-   external induced sorting (see _induced). Suffixes that share at least
-   min_words words are neighbours in that order; the first of them by (doc_id,
-   position) is the original, the others are repeats.
+2. Rows meet by key, in the order of Spark's external sort, and go by as a stream.
+   A key with one segment cannot hold a repeat (unless its sequence recurs inside
+   of the segment). Of segments with equal words the first stands for all.
+3. Where a key has several different segments, their words are fetched, again in
+   order of keys, and cut into shards of whole keys. The suffixes of each shard
+   are sorted with their common-prefix values by external induced sorting (see
+   _induced). Suffixes that share at least min_words words are neighbours in that
+   order; the first of them by (doc_id, position) is the original, the others are
+   repeats.
+4. A key with more than `hot_rows` segments, such as a site's notice inside of
+   many different pages, is split: its windows are keyed by the hash of all their
+   words, so that only equal windows have one key, and the first of these is the
+   original.
 
 All repeats are found, however the corpus is cut into shards, as equal windows
-always share a shard. A shard holds words as ranks, its queue of suffix tuples
-spills to the shared folder, and its size is bounded by the number of shuffle
-partitions, not by memory.
+always share a shard, or a key of their own. A shard ends with the key with which
+it reaches `shard_words`, and a key that is not split has hot_rows times
+(2 min_words - gram) words at most, so what a task holds is bounded by these
+parameters, not by its partition; the queue of suffix tuples spills beyond
+`memory` of them to the shared folder.
 
 Defined results: words are as in _arrow; texts shorter than min_words words
 (null, empty) have no repeats. Rows with a null doc_id take no part and stay as
 they are. Rows that repeat doc_id and text are one document: both get the same
-result, and they are no repeats of each other. A passage may repeat inside of
+result, and they are no repeats of each other. Different texts of one doc_id are
+different documents, of which `repeats` gives a row each. A passage may repeat inside of
 one document. Other columns are not read by `repeats` and kept by `apply`; an
 empty table gives an empty result. Words are compared by 64-bit hashes.
 """
@@ -35,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,35 +111,62 @@ def _segment_rows(min_words: int, gram: int):
     return run
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    """All rows of a partition, which holds a share of the keys."""
-    got = [b for b in batches if len(b)]
-    return pa.Table.from_batches(got) if got else None
+def keyed(batches: Iterator[pa.RecordBatch], least: int, weight: str | None = None) -> Iterator[pa.Table]:
+    """Rows that come ordered by key, as tables of whole keys with `least` rows, or words in a column, or somewhat more."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        if not len(b):
+            continue
+        key = b.column("key").to_numpy()
+        while len(b):
+            if size >= least:
+                # the rest of the last key, then a new table
+                last = held[-1].column("key")[-1].as_py()
+                n = int(np.searchsorted(key != last, True)) if key[0] == last else 0
+                n = len(b) if n == 0 and (key == last).all() else n
+                if n:
+                    held.append(b.slice(0, n))
+                    b, key = b.slice(n), key[n:]
+                if len(b):
+                    yield pa.Table.from_batches(held)
+                    held, size = [], 0
+                continue
+            if weight:
+                w = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(weight)), 0)).astype(np.int64) // 8 + 1)
+                n = min(len(b), int(np.searchsorted(w, least - size)) + 1)
+                size += int(w[n - 1])
+            else:
+                n = min(len(b), least - size)
+                size += n
+            held.append(b.slice(0, n))
+            b, key = b.slice(n), key[n:]
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep rows whose key may hold repeats; `of` numbers the first segment with the same words, `sort` says that its words are needed."""
-    t = _whole(batches)
-    if t is None:
-        return
-    c = {x: t.column(x).to_numpy() for x in t.column_names}
-    o = np.lexsort((c["text_key"], c["first"], c["doc_id"], c["body"], c["key"]))
-    c = {x: y[o] for x, y in c.items()}
-    new_body = np.ones(len(o), bool)
-    new_body[1:] = (c["key"][1:] != c["key"][:-1]) | (c["body"][1:] != c["body"][:-1])
-    again = np.zeros(len(o), bool)  # the same place of a repeated row
-    again[1:] = ~new_body[1:] & (c["doc_id"][1:] == c["doc_id"][:-1]) & (c["first"][1:] == c["first"][:-1]) & (c["text_key"][1:] == c["text_key"][:-1])
-    c, new_body = {x: y[~again] for x, y in c.items()}, new_body[~again]
-    new_key = np.ones(len(new_body), bool)
-    new_key[1:] = c["key"][1:] != c["key"][:-1]
-    key_of = np.cumsum(new_key) - 1
-    bodies, rows = np.bincount(key_of, weights=new_body), np.bincount(key_of)
-    recurs = np.maximum.reduceat(c["recurs"].astype(np.int8), np.flatnonzero(new_key)) > 0
-    sort = ((bodies > 1) | recurs)[key_of]
-    keep = sort | (rows > 1)[key_of]
-    lead = np.flatnonzero(new_body)[np.cumsum(new_body) - 1]
-    out = {x: c[x] for x in ("key", "body", "doc_id", "text_key", "first", "windows")} | {"lead_doc": c["doc_id"][lead], "is_lead": new_body, "sort": sort}
-    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in out.values()], list(out))
+    """Keep rows whose key may hold repeats; `lead_doc` has the first segment with the same words, `sort` says that its words are needed.
+
+    Rows come ordered by (key, body, doc_id, first, text_key).
+    """
+    for t in keyed(batches, 100_000):
+        c = {x: t.column(x).to_numpy() for x in t.column_names}
+        new_body = np.ones(len(t), bool)
+        new_body[1:] = (c["key"][1:] != c["key"][:-1]) | (c["body"][1:] != c["body"][:-1])
+        again = np.zeros(len(t), bool)  # the same place of a repeated row
+        again[1:] = ~new_body[1:] & (c["doc_id"][1:] == c["doc_id"][:-1]) & (c["first"][1:] == c["first"][:-1]) & (c["text_key"][1:] == c["text_key"][:-1])
+        c, new_body = {x: y[~again] for x, y in c.items()}, new_body[~again]
+        new_key = np.ones(len(new_body), bool)
+        new_key[1:] = c["key"][1:] != c["key"][:-1]
+        key_of = np.cumsum(new_key) - 1
+        bodies, rows = np.bincount(key_of, weights=new_body), np.bincount(key_of)
+        recurs = np.maximum.reduceat(c["recurs"].astype(np.int8), np.flatnonzero(new_key)) > 0
+        sort = ((bodies > 1) | recurs)[key_of]
+        keep = sort | (rows > 1)[key_of]
+        lead = np.flatnonzero(new_body)[np.cumsum(new_body) - 1]
+        out = {x: c[x] for x in ("key", "body", "doc_id", "text_key", "first", "windows")} | {"lead_doc": c["doc_id"][lead], "is_lead": new_body, "sort": sort}
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in out.values()], list(out))
 
 
 def _fetch(min_words: int):
@@ -153,11 +189,31 @@ def _fetch(min_words: int):
     return run
 
 
-def _sort(min_words: int, folder: str, memory: int):
+def _window_hashes(min_words: int):
+    """(key, doc_id, text_key, first): the hash of all words of each wanted window."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _whole(batches)
-        if t is None:
-            return
+        for b in slices(batches, "text"):
+            w = split_words(b.column("text"))
+            grams = Grams(w.hashes())
+            wanted = b.column("wanted")
+            row = np.repeat(np.arange(len(b)), np.asarray(wanted.value_lengths()))
+            x = wanted.flatten()
+            first, windows = np.asarray(x.field("first")).astype(np.int64), np.asarray(x.field("windows")).astype(np.int64)
+            at = np.repeat(w.at[row] + first, windows) + ragged(windows)
+            row = pa.array(np.repeat(row, windows))
+            key = grams.of(at, min_words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), b.column("doc_id").take(row), b.column("text_key").take(row), pa.array(at - w.at[np.asarray(row)])], ["key", "doc_id", "text_key", "first"])
+
+    return run
+
+
+def _sort(min_words: int, folder: str, memory: int, shard_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in keyed(batches, shard_words, "words"):
+            yield from shard(t)
+
+    def shard(t: pa.Table) -> Iterator[pa.RecordBatch]:
         c = {x: t.column(x).to_numpy() for x in t.column_names if x != "words"}
         has = np.asarray(t.column("words").is_valid())
         lead, copies = np.flatnonzero(has), np.flatnonzero(~has)
@@ -166,7 +222,7 @@ def _sort(min_words: int, folder: str, memory: int):
         once = np.ones(len(lead), bool)  # a repeated row's words come twice
         once[1:] = (c["key"][lead][1:] != c["key"][lead][:-1]) | (c["body"][lead][1:] != c["body"][lead][:-1])
         lead = lead[once]
-        words = t.column("words").combine_chunks()
+        words = t.column("words").cast(pa.large_binary()).combine_chunks()
         del t
         parts = [np.frombuffer(words[i].as_buffer(), np.uint64) for i in lead.tolist()]
         size = np.array([len(x) for x in parts], np.int64)
@@ -251,24 +307,41 @@ def _runs(own: np.ndarray, offset: np.ndarray, source: np.ndarray, rows: np.ndar
     )
 
 
-def windows(docs: DataFrame, min_words: int = 50, gram: int = 16, memory: int = 4_000_000) -> DataFrame:
+def windows(docs: DataFrame, min_words: int = 50, gram: int = 16, memory: int = 4_000_000, shard_words: int = 400_000, hot_rows: int = 10_000) -> DataFrame:
     """(doc_id, text_key, first, windows, source): runs of repeated windows; rows may overlap."""
     if not 0 < gram <= min_words:
         raise ValueError("gram must be between 1 and min_words")
     spark = docs.sparkSession
     ship(spark)
     d = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    rows = d.mapInArrow(_segment_rows(min_words, gram), "key long, body long, doc_id long, text_key long, first int, windows int, recurs boolean")
+    rows = stash(d.mapInArrow(_segment_rows(min_words, gram), "key long, body long, doc_id long, text_key long, first int, windows int, recurs boolean"), "suffix-rows")
+    # rows with equal words lie in one shard as one, so a key is as large as its different segments
+    hot = stash(rows.groupBy("key", "body").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("bodies"), F.sum("n").alias("n")).filter(F.col("n") > hot_rows).select("key"), "suffix-hot")
+    some_hot = not hot.isEmpty()
+    usual = rows.join(hot, "key", "left_anti") if some_hot else rows
+    order = ["key", "body", "doc_id", "first", "text_key"]
     met = stash(
-        rows.repartition("key").mapInArrow(_meet, "key long, body long, doc_id long, text_key long, first int, windows int, lead_doc long, is_lead boolean, sort boolean"), "suffix-keys"
+        usual.repartition("key").sortWithinPartitions(*order).mapInArrow(_meet, "key long, body long, doc_id long, text_key long, first int, windows int, lead_doc long, is_lead boolean, sort boolean"),
+        "suffix-keys",
     )
-    plain = met.filter("not sort and not is_lead").select("doc_id", "text_key", F.col("first").cast("bigint").alias("first"), F.col("windows").cast("bigint").alias("windows"), F.col("lead_doc").alias("source"))
+    out = met.filter("not sort and not is_lead").select("doc_id", "text_key", F.col("first").cast("bigint").alias("first"), F.col("windows").cast("bigint").alias("windows"), F.col("lead_doc").alias("source"))
     need = met.filter("sort and is_lead").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("key", "body", "first", "windows")).alias("wanted"))
     body = "key long, body long, doc_id long, text_key long, first int, windows int, words binary"
-    words = d.join(need.hint("shuffle_hash"), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "wanted").mapInArrow(_fetch(min_words), body)
+
+    def texts(need: DataFrame) -> DataFrame:
+        return d.join(need.hint("shuffle_hash"), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "wanted")
+
     copies = met.filter("sort and not is_lead").select("key", "body", "doc_id", "text_key", "first", "windows", F.lit(None).cast("binary").alias("words"))
-    sorted_ = words.unionByName(copies).repartition("key").mapInArrow(_sort(min_words, shared_dir(spark), memory), _SPAN)
-    return plain.unionByName(sorted_)
+    shards = texts(need).mapInArrow(_fetch(min_words), body).unionByName(copies).repartition("key").sortWithinPartitions("key")
+    out = out.unionByName(shards.mapInArrow(_sort(min_words, shared_dir(spark), memory, shard_words), _SPAN))
+    if some_hot:
+        need = rows.join(hot, "key").select("doc_id", "text_key", "first", "windows").distinct().groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "windows")).alias("wanted"))
+        at = stash(texts(need).mapInArrow(_window_hashes(min_words), "key long, doc_id long, text_key long, first long").distinct(), "suffix-windows")
+        # added up within tasks first; a frequent window's rows are split by the adaptive skew join
+        first = at.groupBy("key").agg(F.min(F.struct("doc_id", "first", "text_key")).alias("lead"), F.count("*").alias("n")).filter("n > 1").select("key", "lead")
+        more = at.join(first, "key").filter(F.struct("doc_id", "first", "text_key") != F.col("lead"))
+        out = out.unionByName(more.select("doc_id", "text_key", "first", F.lit(1).cast("bigint").alias("windows"), F.col("lead")["doc_id"].alias("source")))
+    return out
 
 
 def _merged(found: DataFrame, min_words: int) -> DataFrame:
@@ -280,9 +353,9 @@ def _merged(found: DataFrame, min_words: int) -> DataFrame:
     return d.groupBy("doc_id", "text_key", "island").agg(F.min("first").alias("first_word"), F.max("end").alias("end_word"), F.min("source").alias("source_doc"))
 
 
-def repeats(docs: DataFrame, min_words: int = 50, gram: int = 16, memory: int = 4_000_000) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = 50, gram: int = 16, memory: int = 4_000_000, shard_words: int = 400_000, hot_rows: int = 10_000) -> DataFrame:
     """(doc_id, first_word, end_word, source_doc): every repeated passage but its first occurrence."""
-    return _merged(windows(docs, min_words, gram, memory), min_words).select("doc_id", "first_word", "end_word", "source_doc")
+    return _merged(windows(docs, min_words, gram, memory, shard_words, hot_rows), min_words).select("doc_id", "first_word", "end_word", "source_doc")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,10 +380,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
 
-def apply(docs: DataFrame, min_words: int = 50, gram: int = 16, memory: int = 4_000_000) -> DataFrame:
+def apply(docs: DataFrame, min_words: int = 50, gram: int = 16, memory: int = 4_000_000, shard_words: int = 400_000, hot_rows: int = 10_000) -> DataFrame:
     """Documents without their repeated passages; a document of which no word is left goes."""
     names = docs.columns
-    spans = _merged(windows(docs, min_words, gram, memory), min_words)
+    spans = _merged(windows(docs, min_words, gram, memory, shard_words, hot_rows), min_words)
     spans = spans.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("first_word", "end_word"))).alias("spans"))
     spans = stash(spans, "suffix-spans")
     row = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), F.col("doc_id").cast("bigint").alias("k0"), F.xxhash64("text").alias("k1"), F.col("text"))

@@ -167,10 +167,10 @@ def brute_repeats(rows, size):
     return sorted(out)
 
 
-@pytest.mark.parametrize("min_words,gram,memory", [(50, 16, 4_000_000), (12, 5, 300)])
-def test_suffix_repeats(spark, docs, min_words, gram, memory):
+@pytest.mark.parametrize("min_words,gram,memory,shard,hot", [(50, 16, 4_000_000, 400_000, 10_000), (12, 5, 300, 400, 5)])
+def test_suffix_repeats(spark, docs, min_words, gram, memory, shard, hot):
     rows = [(r.doc_id, r.text) for r in docs.filter("text is not null").select("doc_id", "text").collect()]
-    got = sorted(tuple(r) for r in suffix_dedup.repeats(docs, min_words, gram, memory).collect())
+    got = sorted(tuple(r) for r in suffix_dedup.repeats(docs, min_words, gram, memory, shard, hot).collect())
     assert got == brute_repeats(rows, min_words)
 
 
@@ -181,8 +181,21 @@ def test_suffix_repeats_of_periodic_texts(spark):
         unit = [f"u{rng.randrange(4)}" for _ in range(rng.choice([1, 2, 7]))]
         rows.append((d, " ".join((unit * 60)[: rng.randrange(5, 90)] + [f"x{rng.randrange(3)}"] + unit * rng.randrange(12))))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(tuple(r) for r in suffix_dedup.repeats(docs, 10, 4).collect())
-    assert got == brute_repeats(rows, 10)
+    for shard, hot in ((400_000, 10_000), (50, 3), (1, 1)):
+        got = sorted(tuple(r) for r in suffix_dedup.repeats(docs, 10, 4, 1000, shard, hot).collect())
+        assert got == brute_repeats(rows, 10)
+
+
+def test_shards_end_with_keys():
+    key = np.sort(np.random.default_rng(5).integers(0, 40, 500))
+    words = pa.array([b"x" * 8 * (k % 5) if k % 3 else None for k in range(500)], pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(key), words], ["key", "words"])
+    for least, weight in ((1, None), (17, None), (9, "words"), (10_000, "words")):
+        for step in (1, 7, 500):
+            tables = list(suffix_dedup.keyed((batch.slice(a, step) for a in range(0, 500, step)), least, weight))
+            assert np.concatenate([t.column("key").to_numpy() for t in tables]).tolist() == key.tolist()
+            assert len({k for t in tables for k in set(t.column("key").to_pylist())}) == sum(len(set(t.column("key").to_pylist())) for t in tables)
+            assert least > 5000 or len(tables) > 5
 
 
 # tokens

@@ -31,7 +31,7 @@ those of one row), and each is scored; repeated labels of a doc_id count as good
 if any is. Rows with a null doc_id are scored and not good. Without a good
 document all target counts are 0 and its model is uniform. A text of any length
 is scored whole, in a part of its own if it is longer than that. An empty table
-gives an empty result. Other columns are not read. Hashes have 62 bits.
+gives an empty result. Other columns are not read. Hashes have 64 bits.
 """
 
 from __future__ import annotations
@@ -85,21 +85,31 @@ def _spool(path: str, part_bytes: int, part_rows: int):
     return run
 
 
-def keys(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(3, n words): hash of each word, of the context before it, and of both; and the texts' offsets. The last two bits tell which."""
-    parts, sizes = [], [np.zeros(1, np.int64)]
+def word_hashes(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of each word, that of the word before it, and the texts' offsets."""
+    parts, before, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
     for b in slices(iter(pa.table({"text": texts}).to_batches()), "text"):
         w = split_words(b.column("text"))
         h = w.hashes()
-        before = np.empty_like(h)
-        before[1:] = h[:-1]
-        before[w.at[:-1][np.diff(w.at) > 0]] = _START
-        with np.errstate(over="ignore"):
-            k = np.stack([mix(h ^ _SALTS[0]), mix(before ^ _SALTS[1]), mix(before * _SALTS[2] + h)])
-        parts.append(k & ~np.uint64(3) | np.arange(3, dtype=np.uint64)[:, None])
+        last = np.empty_like(h)
+        last[1:] = h[:-1]
+        last[w.at[:-1][np.diff(w.at) > 0]] = _START
+        parts.append(h)
+        before.append(last)
         sizes.append(np.diff(w.at))
-    none = np.zeros((3, 0), np.uint64)
-    return np.concatenate([none, *parts], axis=1), np.cumsum(np.concatenate(sizes))
+    return np.concatenate(parts), np.concatenate(before), np.cumsum(np.concatenate(sizes))
+
+
+def keys(kind: int, h: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """A hash of the word, of its context, or of both."""
+    with np.errstate(over="ignore"):
+        return mix(h ^ _SALTS[0]) if kind == _WORD else mix(before ^ _SALTS[1]) if kind == _CONTEXT else mix(before * _SALTS[2] + h)
+
+
+def shards_of(kind: int, shards: int) -> tuple[int, int]:
+    """First shard and number of shards of a kind; there are far fewer words than bigrams."""
+    few = -(-shards // 8)
+    return (0, few) if kind == _WORD else (few, few) if kind == _CONTEXT else (2 * few, shards)
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -122,31 +132,41 @@ def _count(shards: int):
         for batch in batches:
             for part, path, goods in zip(batch.column("part").to_pylist(), batch.column("path").to_pylist(), batch.column("goods")):
                 t = read_file(path)
-                k, at = keys(t.column("text"))
+                h, before, at = word_hashes(t.column("text"))
                 good = np.repeat(_good(t, goods), np.diff(at))
-                flat = k.reshape(-1)
-                found, index, n = np.unique(flat, return_inverse=True, return_counts=True)
-                g = np.bincount(index, weights=np.tile(good, 3), minlength=len(found)).astype(np.int64)
-                # equal ranges of hashes
-                of = ((found >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-                cut = np.searchsorted(of, np.arange(shards + 1, dtype=np.uint64))
-                some = np.flatnonzero(np.diff(cut)).tolist()
-                rows = [slice(cut[s], cut[s + 1]) for s in some]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(some, pa.int32()),
-                        pa.array([part] * len(some), pa.int64()),
-                        pa.array([pack(np.diff(found[r].view(np.int64), prepend=0)) for r in rows], pa.binary()),
-                        *(pa.array([pack(x[r]) for r in rows], pa.binary()) for x in (n, g)),
-                    ],
-                    ["shard", "part", "keys", "n", "g"],
-                )
+                for kind in (_WORD, _CONTEXT, _BIGRAM):
+                    found, index, n = np.unique(keys(kind, h, before), return_inverse=True, return_counts=True)
+                    g = np.bincount(index[good], minlength=len(found))
+                    # equal ranges of hashes
+                    start, most = shards_of(kind, shards)
+                    of = ((found >> np.uint64(32)) * np.uint64(most)) >> np.uint64(32)
+                    cut = np.searchsorted(of, np.arange(most + 1, dtype=np.uint64))
+                    some = np.flatnonzero(np.diff(cut))
+                    rows = [slice(cut[s], cut[s + 1]) for s in some.tolist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(some + start, pa.int32()),
+                            pa.array([part] * len(some), pa.int64()),
+                            pa.array([pack(np.diff(found[r].view(np.int64), prepend=0)) for r in rows], pa.binary()),
+                            *(pa.array([pack(x[r]) for r in rows], pa.binary()) for x in (n, g)),
+                        ],
+                        ["shard", "part", "keys", "n", "g"],
+                    )
 
     return run
 
 
-def _total(t: pa.Table) -> pa.Table:
+def _total(shards: int):
     """The totals of a shard's keys, for each part those that it has; and the shard's share of the vocabulary and of all tokens."""
+    word_shards = shards_of(_WORD, shards)[1]
+
+    def run(t: pa.Table) -> pa.Table:
+        return _totals(t, t.column("shard")[0].as_py() < word_shards)
+
+    return run
+
+
+def _totals(t: pa.Table, words: bool) -> pa.Table:
     ks = [np.cumsum(unpack(x)) for x in t.column("keys")]
     key = np.concatenate(ks).view(np.uint64)
     order = np.argsort(key, kind="stable")
@@ -158,7 +178,6 @@ def _total(t: pa.Table) -> pa.Table:
     for c in ("n", "g"):
         x = np.concatenate([unpack(x) for x in t.column(c)])
         sums.append(np.add.reduceat(x[order], head))
-    words = (key[head] & np.uint64(3)) == _WORD
     ends = np.cumsum([len(x) for x in ks])
     rows = [group[a:b] for a, b in zip([0, *ends[:-1]], ends)]
     first = lambda x: pa.array([int(x)] + [0] * (len(rows) - 1), pa.int64())
@@ -167,9 +186,9 @@ def _total(t: pa.Table) -> pa.Table:
             "part": t.column("part"),
             "shard": t.column("shard"),
             **{c: pa.array([pack(x[r]) for r in rows], pa.binary()) for c, x in zip(("n", "g"), sums)},
-            "vocabulary": first(words.sum()),
-            "all_n": first(sums[0][words].sum()),
-            "all_g": first(sums[1][words].sum()),
+            "vocabulary": first(len(head) if words else 0),
+            "all_n": first(sums[0].sum() if words else 0),
+            "all_g": first(sums[1].sum() if words else 0),
         }
     )
 
@@ -187,29 +206,29 @@ def own_counts(index: np.ndarray, owner: np.ndarray, total: np.ndarray) -> np.nd
     return out
 
 
-def _score(k: float, vocabulary: int, all_n: int, all_g: int):
-    scale = all_g / all_n if all_n else 0.0
+def _score(k: float, vocabulary: int, corpus_n: int, corpus_g: int):
+    scale = corpus_g / corpus_n if corpus_n else 0.0
 
     def run(values: pa.Table, part: pa.Table) -> pa.Table:
         values = values.sort_by("shard")
         totals = [np.concatenate([np.zeros(0, np.int64), *(unpack(x) for x in values.column(c))]) for c in ("n", "g")]
         t = read_file(part.column("path")[0].as_py())
-        hashes, at = keys(t.column("text"))
+        h, before, at = word_hashes(t.column("text"))
         size = np.diff(at)
         good = _good(t, part.column("goods")[0])
         owner = np.repeat(np.arange(len(size)), size)
-        _, index = np.unique(hashes.reshape(-1), return_inverse=True)
-        index = index.reshape(3, -1)
         of_good = good[owner]
-        n, g = [], []
-        for x in index:
-            all_ = totals[0][x]
-            own = own_counts(x, owner, all_)
-            n.append(all_ - own)
-            g.append(totals[1][x] - own * of_good)
+        n, g, done = [], [], 0
+        for kind in (_WORD, _CONTEXT, _BIGRAM):
+            found, index = np.unique(keys(kind, h, before), return_inverse=True)
+            all_n, good_n = (x[done : done + len(found)][index] for x in totals)
+            done += len(found)
+            own = own_counts(index, owner, all_n)
+            n.append(all_n - own)
+            g.append(good_n - own * of_good)
         some = size > 0
         means = []
-        for x, everything in ((g, all_g - size * good), ([scale * y for y in n], scale * (all_n - size))):
+        for x, everything in ((g, corpus_g - size * good), ([scale * y for y in n], scale * (corpus_n - size))):
             p = (x[_WORD] + 1) / (everything[owner] + vocabulary)
             loss = -np.log((x[_BIGRAM] + k * p) / (x[_CONTEXT] + k))
             mean = np.full(len(size), np.nan)
@@ -222,11 +241,12 @@ def _score(k: float, vocabulary: int, all_n: int, all_g: int):
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, k: float = 4.0, part_bytes: int = 12_000_000, part_rows: int = 100_000, shards: int | None = None) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, k: float = 4.0, part_bytes: int = 6_000_000, part_rows: int = 100_000, shards: int | None = None) -> DataFrame:
     """(doc_id, n_tokens, loss_target, loss_background, loss_difference) for every document.
 
-    shards: ranges of hashes, of which each is one task's; by default as many as
-    there are parts.
+    shards: ranges of hashes for the bigrams; by default as many as there are
+    parts. Parts times shards rows are shuffled, so both should be as large as the
+    memory of a task lets them be: some 25 bytes for each byte of a part.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -241,7 +261,7 @@ def score(docs: DataFrame, labels: DataFrame, k: float = 4.0, part_bytes: int =
     busy = 3 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     counts = parts.repartition(min(made, busy), "part").mapInArrow(_count(shards), "shard int, part long, keys binary, n binary, g binary")
     totals = stash(
-        counts.repartition(min(shards, busy), "shard").groupBy("shard").applyInArrow(_total, "part long, shard int, n binary, g binary, vocabulary long, all_n long, all_g long"), "lm-totals"
+        counts.repartition(min(2 * shards, busy), "shard").groupBy("shard").applyInArrow(_total(shards), "part long, shard int, n binary, g binary, vocabulary long, all_n long, all_g long"), "lm-totals"
     )
     sums = totals.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("vocabulary", "all_n", "all_g"))).first()
     values = totals.select("part", "shard", "n", "g").repartition(min(made, busy), "part").groupBy("part")

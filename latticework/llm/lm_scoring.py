@@ -112,14 +112,15 @@ def shards_of(kind: int, shards: int) -> tuple[int, int]:
     return (0, few) if kind == _WORD else (few, few) if kind == _CONTEXT else (2 * few, shards)
 
 
-def pack(x: np.ndarray) -> bytes:
-    """64-bit numbers byte plane by byte plane, which compresses well where they are small."""
-    return np.ascontiguousarray(x.astype(np.int64, copy=False).view(np.uint8).reshape(-1, 8).T).tobytes()
+def pack(x: np.ndarray, kind: type = np.int64) -> bytes:
+    """Numbers byte plane by byte plane, which compresses well where they are small."""
+    x = x.astype(kind, copy=False)
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
 
 
-def unpack(data: pa.Scalar) -> np.ndarray:
+def unpack(data: pa.Scalar, kind: type = np.int64) -> np.ndarray:
     x = np.frombuffer(data.as_buffer(), np.uint8)
-    return np.ascontiguousarray(x.reshape(8, -1).T).view(np.int64).reshape(-1)
+    return np.ascontiguousarray(x.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
 
 def _good(t: pa.Table, goods: pa.Scalar) -> np.ndarray:
@@ -148,7 +149,7 @@ def _count(shards: int):
                             pa.array(some + start, pa.int32()),
                             pa.array([part] * len(some), pa.int64()),
                             pa.array([pack(np.diff(found[r].view(np.int64), prepend=0)) for r in rows], pa.binary()),
-                            *(pa.array([pack(x[r]) for r in rows], pa.binary()) for x in (n, g)),
+                            *(pa.array([pack(x[r], np.int32) for r in rows], pa.binary()) for x in (n, g)),  # of one part
                         ],
                         ["shard", "part", "keys", "n", "g"],
                     )
@@ -176,7 +177,7 @@ def _totals(t: pa.Table, words: bool) -> pa.Table:
     group[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(key))))
     sums = []
     for c in ("n", "g"):
-        x = np.concatenate([unpack(x) for x in t.column(c)])
+        x = np.concatenate([unpack(x, np.int32) for x in t.column(c)]).astype(np.int64)
         sums.append(np.add.reduceat(x[order], head))
     ends = np.cumsum([len(x) for x in ks])
     rows = [group[a:b] for a, b in zip([0, *ends[:-1]], ends)]
@@ -245,7 +246,7 @@ def score(docs: DataFrame, labels: DataFrame, k: float = 4.0, part_bytes: int =
     """(doc_id, n_tokens, loss_target, loss_background, loss_difference) for every document.
 
     shards: ranges of hashes for the bigrams; by default as many as there are
-    parts. Parts times shards rows are shuffled, so both should be as large as the
+    parts, 256 at least. Parts times shards rows are shuffled, so both should be as large as the
     memory of a task lets them be: some 25 bytes for each byte of a part.
     """
     spark = docs.sparkSession
@@ -257,7 +258,7 @@ def score(docs: DataFrame, labels: DataFrame, k: float = 4.0, part_bytes: int =
     # a part has part_rows documents, and what one more slice holds, at most
     parts = stash(marked.groupBy("part", "path").agg(F.collect_list(F.when(F.col("good"), F.col("doc_id"))).alias("goods")), "lm-parts")
     made = max(1, parts.count())
-    shards = shards or made
+    shards = shards or max(made, 256)
     busy = 3 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     counts = parts.repartition(min(made, busy), "part").mapInArrow(_count(shards), "shard int, part long, keys binary, n binary, g binary")
     totals = stash(

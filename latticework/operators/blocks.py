@@ -1,69 +1,115 @@
 """Exact top-k of dot products between two tables of vectors, block against block.
 
-Vectors are packed into blocks, every pair of blocks is one matrix product in
-Arrow batches, and only the best of each row in a block leave the task: what is
-shuffled grows with rows x blocks, not with all pairs.
+Each table is written once to the shared folder as blocks, ordered by name. What
+Spark shuffles after that are numbers of blocks: a task takes one block of the
+left side and a range of blocks of the right side, reads them, and keeps the best
+of each row while it goes through the range. Only these leave the task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from latticework import blobs
+from latticework.session import scratch_path, ship
+
 #: Decimals to which similarities are compared, so that equal vectors tie whatever the order of their sums.
 DECIMALS = 12
 
 
-def _pack(d: DataFrame, key: str, vector: str, blocks: int, name: str) -> DataFrame:
-    at = F.pmod(F.xxhash64(key), F.lit(blocks))
-    return d.filter(F.col(vector).isNotNull()).groupBy(at.alias(f"{name}_block")).agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vector).alias("v"))).alias(name))
-
-
-def _matrix(cell: pa.ListScalar) -> tuple[pa.Array, np.ndarray]:
-    rows = cell.values
-    flat = rows.field("v").flatten().to_numpy(zero_copy_only=False)
-    return rows.field("k"), flat.reshape(len(rows), -1)
-
-
-def best_of(a: np.ndarray, b: np.ndarray, k: int, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, columns and values of the k greatest products of each row, and all that tie with the last of them; pairs in `apart` don't count."""
-    s = np.round(a @ b.T, DECIMALS)
-    if apart is not None:
-        s[apart] = -np.inf
-    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if k < s.shape[1] else np.full(len(s), -np.inf)
-    row, col = np.nonzero((s >= least[:, None]) & (s > -np.inf))
-    return row, col, s[row, col]
-
-
-def top_products(left: DataFrame, right: DataFrame, k: int, others_only: bool = False, rows: int = 4096) -> DataFrame:
-    """left(id, u), right(nbr, v): (id, nbr, sim, rank from 1), the k greatest products for each id, ties by nbr.
-
-    others_only: a row is not compared with the one of its own name. Vectors
-    have one length; rows without a vector take no part.
-    """
-    spread = max(1, left.sparkSession.sparkContext.defaultParallelism)
-    n, m = left.count(), right.count()
-    few = lambda x: max(1, -(-x // max(256, min(rows, -(-x // spread)))))
-    kinds = {c: d.schema[c].dataType.simpleString() for d, c in ((left, "id"), (right, "nbr"))}
-    pairs = _pack(left, "id", "u", few(n), "a").crossJoin(_pack(right, "nbr", "v", few(m), "b"))
-
+@dataclass(frozen=True)
+class Blocks:
+    """A folder with a file for each block, of columns k and v, ordered by k within and across files."""
+
+    path: str
+    kind: str
+    files: int
+
+    @classmethod
+    def of(cls, d: DataFrame, key: str, vector: str, rows: int = 4096) -> Blocks:
+        """Rows with a vector; of one length all."""
+        spark = d.sparkSession
+        ship(spark)
+        spread = spark.sparkContext.defaultParallelism
+        d = d.filter(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+        n = d.count()
+        path = scratch_path(spark, "blocks")
+        blocks = max(1, -(-n // max(256, min(rows, -(-n // spread)))))
+        d.repartitionByRange(blocks, "k").sortWithinPartitions("k").write.parquet(path)
+        return cls(path, d.schema["k"].dataType.simpleString(), len(blobs.parts(path)))
+
+
+def load(file: str) -> tuple[pa.Array, np.ndarray]:
+    t = blobs.read(file)
+    v = t.column("v").combine_chunks()
+    return t.column("k").combine_chunks(), v.flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+
+
+def best_of(s: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k greatest of each row, in order; of equals the first."""
+    n = s.shape[1]
+    if k < n:
+        least = np.partition(s, n - k, axis=1)[:, n - k, None]
+        over = s > least
+        tie = s == least
+        room = k - over.sum(1, keepdims=True)
+        some = np.flatnonzero(tie.sum(1) > room[:, 0])
+        if len(some):
+            tie[some] &= np.cumsum(tie[some], axis=1) <= room[some]
+        at = np.nonzero(over | tie)[1].reshape(len(s), k)
+    else:
+        at = np.broadcast_to(np.arange(n), s.shape)
+    order = np.argsort(-np.take_along_axis(s, at, 1), axis=1, kind="stable")
+    return np.take_along_axis(at, order, 1)
+
+
+def _search(left: str, right: str, k: int, others_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, theirs = blobs.parts(left), blobs.parts(right)
         for batch in batches:
-            for x, y in zip(batch.column("a"), batch.column("b")):
-                (ids, u), (nbrs, v) = _matrix(x), _matrix(y)
-                apart = None
-                if others_only:
-                    names = {name: j for j, name in enumerate(nbrs.to_pylist())}
-                    same = [(i, names[name]) for i, name in enumerate(ids.to_pylist()) if name in names]
-                    apart = tuple(np.array(same, np.int64).reshape(-1, 2).T)
-                row, col, s = best_of(u, v, k, apart)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), nbrs.take(pa.array(col)), pa.array(s)], ["id", "nbr", "sim"])
-
-    tasks = max(1, min(few(n) * few(m), 4 * spread))
-    found = pairs.repartition(tasks, "a_block", "b_block").select("a", "b").mapInArrow(run, f"id {kinds['id']}, nbr {kinds['nbr']}, sim double")
+            for a, low, high in zip(*(c.to_pylist() for c in batch.columns)):
+                ids, u = load(mine[a])
+                best, names = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+                held: list[pa.Array] = []
+                start = 0
+                for b in range(low, high):
+                    nbrs, v = load(theirs[b])
+                    s = np.round(u @ v.T, DECIMALS)
+                    if others_only:
+                        at = pc.fill_null(pc.index_in(ids, value_set=nbrs), -1).to_numpy()
+                        s[np.flatnonzero(at >= 0), at[at >= 0]] = -np.inf
+                    held.append(nbrs)
+                    at = best_of(s, k)
+                    # of equals those of earlier blocks, which come first by name
+                    s, at = np.concatenate([best, np.take_along_axis(s, at, 1)], axis=1), np.concatenate([names, at + start], axis=1)
+                    o = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                    best, names = np.take_along_axis(s, o, 1), np.take_along_axis(at, o, 1)
+                    start += len(nbrs)
+                row, col = np.nonzero(best > -np.inf)
+                every = pa.chunked_array(held).combine_chunks() if held else ids.slice(0, 0)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), every.take(pa.array(names[row, col])), pa.array(best[row, col])], ["id", "nbr", "sim"])
+
+    return run
+
+
+def top_products(left: Blocks, right: Blocks, k: int, spark, others_only: bool = False) -> DataFrame:
+    """(id, nbr, sim, rank from 1): the k greatest products for each key of left, ties by that of right.
+
+    others_only: a row is not compared with the one of its own name.
+    """
+    ship(spark)
+    busy = 2 * spark.sparkContext.defaultParallelism
+    ranges = max(1, min(right.files, -(-busy // max(1, left.files))))
+    ends = [right.files * i // ranges for i in range(ranges + 1)]
+    rows = [(a, low, high) for a in range(left.files) for low, high in zip(ends, ends[1:])] if right.files else []
+    pairs = spark.createDataFrame(rows, "a int, low int, high int").repartition(max(1, min(len(rows), 2 * busy)), "a", "low")
+    found = pairs.mapInArrow(_search(left.path, right.path, k, others_only), f"id {left.kind}, nbr {right.kind}, sim double")
     w = Window.partitionBy("id").orderBy(F.desc("sim"), "nbr")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.functions.vector import cosine, query_unit, unit
-from latticework.operators.blocks import top_products
-from latticework.session import ship
+from latticework.operators.blocks import Blocks, top_products
 
 
 class VectorStore:
@@ -27,7 +26,14 @@ class VectorStore:
                 raise ValueError("documents without a vector; give an embedder")
         self.docs, self.k = docs.withColumn("id", F.col("id").cast("string")), k
         self.units = self.docs.select("id", unit(F.col("vector")).alias("u"))
-        ship(docs.sparkSession)
+        self._blocks: Blocks | None = None
+
+    @property
+    def blocks(self) -> Blocks:
+        """The unit vectors in the shared folder, written once for all searches."""
+        if self._blocks is None:
+            self._blocks = Blocks.of(self.units, "id", "u")
+        return self._blocks
 
     @classmethod
     def from_documents(cls, docs: DataFrame, embed: Callable[[Column], Column] | None = None, k: int = 10) -> VectorStore:
@@ -46,8 +52,8 @@ class VectorStore:
 
     def search(self, queries: DataFrame, top_k: int = 10) -> DataFrame:
         """queries(qid, vector): (qid, id, similarity, rank from 0), the nearest documents of each query."""
-        q = queries.select(F.col("qid").alias("id"), query_unit(F.col("vector")).alias("u"))
-        best = top_products(q, self.units.select(F.col("id").alias("nbr"), F.col("u").alias("v")), top_k)
+        q = Blocks.of(queries.select(F.col("qid").alias("id"), query_unit(F.col("vector")).alias("u")), "id", "u")
+        best = top_products(q, self.blocks, top_k, self.docs.sparkSession)
         return best.select(F.col("id").alias("qid"), F.col("nbr").alias("id"), F.col("sim").alias("similarity"), (F.col("rank") - 1).alias("rank"))
 
     def get(self, doc_id: str) -> DataFrame:
@@ -70,14 +76,12 @@ class VectorStore:
 
     def knn_graph(self, k: int | None = None) -> DataFrame:
         """(id, nbr, rank from 1, sim): the k nearest others of every document, blocks of documents against each other."""
-        return self._nearest(self.units, k or self.k)
+        return top_products(self.blocks, self.blocks, k or self.k, self.docs.sparkSession, others_only=True)
 
     def neighbors(self, ids: DataFrame, k: int | None = None) -> DataFrame:
         """(id, nbr, rank, sim) of some documents."""
-        return self._nearest(self.units.join(ids.select(F.col("id").cast("string")), "id", "left_semi"), k or self.k)
-
-    def _nearest(self, some: DataFrame, k: int) -> DataFrame:
-        return top_products(some, self.units.select(F.col("id").alias("nbr"), F.col("u").alias("v")), k, others_only=True)
+        some = Blocks.of(self.units.join(ids.select(F.col("id").cast("string")).distinct(), "id", "left_semi"), "id", "u")
+        return top_products(some, self.blocks, k or self.k, self.docs.sparkSession, others_only=True)
 
     def approximate_neighbors(self, threshold: float, buckets: float | None = None, tables: int = 4) -> DataFrame:
         """(id, nbr, sim) of pairs above a cosine, by locality-sensitive hashing: for stores too large to compare all pairs.

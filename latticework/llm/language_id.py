@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.llm._arrow import Words, slices, split_words
-from latticework.session import ship
+from latticework.session import ship, stash
 
 #: First code point, script, usual language of a script.
 _RANGES = [
@@ -257,13 +257,14 @@ def _label(model: Model, penalty: float):
     return run
 
 
-def sample(docs: DataFrame, train_docs: int) -> DataFrame:
+def sample(docs: DataFrame, train_docs: int, broadcast_limit: int = 100_000, salts: int = 64) -> DataFrame:
     """(lang, text): at most train_docs documents of each label, those whose hashed doc_id comes first.
 
     Hashes that begin with many zero bits come first. One pass counts, per label
     and number of such bits, the different hashes; a second one takes the texts
     from the least number of bits on that leaves enough, some times train_docs.
-    No task ever holds more than that of a label.
+    No task ever holds more than that of a label. Up to broadcast_limit labels are
+    sent to the texts.
     """
     d = docs.filter("lang is not null and length(text) > 0").select("lang", F.xxhash64("doc_id").alias("h"), "text")
     # the hash as a number from 0 up, and the zero bits that it begins with
@@ -272,7 +273,13 @@ def sample(docs: DataFrame, train_docs: int) -> DataFrame:
     up = Window.partitionBy("lang").orderBy(F.desc("zeros")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # 64 rows at most of each label
     enough = levels.withColumn("upto", F.sum("n").over(up)).groupBy("lang").agg(F.coalesce(F.max(F.when(F.col("upto") >= 1.3 * train_docs + 20, F.col("zeros"))), F.lit(0)).alias("least"))
-    few = d.join(enough, "lang").filter("zeros >= least").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    enough = stash(enough, "languages")
+    if enough.count() <= broadcast_limit:
+        near = d.join(F.broadcast(enough), "lang")
+    else:  # the texts of one label are spread over `salts` tasks
+        enough = enough.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        near = d.withColumn("salt", F.pmod(F.col("h"), F.lit(salts)).cast("int")).join(enough, ["lang", "salt"])
+    few = near.filter("zeros >= least").groupBy("lang", "h").agg(F.min("text").alias("text"))
     w = Window.partitionBy("lang").orderBy("h")
     return few.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= train_docs).select("lang", "text")
 

@@ -84,3 +84,18 @@ def test_empty_table_and_clashing_columns(spark):
     assert L.spans(empty).count() == 0
     odd = spark.createDataFrame([(1, "the cat", "en", 5, "x"), (1, "the cat", "en", 5, "x")], LONG + ", span long, char_start string")
     assert [r.lang for r in L.spans(odd).collect()] == ["en", "en"]
+
+
+def test_sample_is_the_first_hashes_of_each_label(spark):
+    rows = [(k % 900, ["en", "de", None][k % 3 if k % 7 else 0], f"text {k}" if k % 11 else "") for k in range(3000)]
+    docs = spark.createDataFrame(rows + [(5, "en", "text again")] * 500, "doc_id long, lang string, text string")
+    h = {r.doc_id: r.h for r in docs.select("doc_id", F.expr("xxhash64(doc_id) & 9223372036854775807").alias("h")).distinct().collect()}
+    want = []
+    for lang in ("en", "de"):
+        first = {}
+        for i, x, t in [*rows, (5, "en", "text again")]:
+            if x == lang and t:
+                first[h[i]] = min(first.get(h[i], t), t)
+        want += [(lang, first[k]) for k in sorted(first)[:40]]
+    for limit in (10, 0):
+        assert sorted(tuple(r) for r in L.sample(docs, 40, limit, 3).collect()) == sorted(want)

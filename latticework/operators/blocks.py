@@ -49,7 +49,7 @@ class Blocks:
 def load(file: str) -> tuple[pa.Array, np.ndarray]:
     t = blobs.read(file)
     v = t.column("v").combine_chunks()
-    return t.column("k").combine_chunks(), v.flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+    return t.column("k").combine_chunks(), v.flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1 if len(t) else 0)
 
 
 def best_of(s: np.ndarray, k: int) -> np.ndarray:
@@ -76,11 +76,15 @@ def _search(left: str, right: str, k: int, others_only: bool):
         for batch in batches:
             for a, low, high in zip(*(c.to_pylist() for c in batch.columns)):
                 ids, u = load(mine[a])
+                if not len(ids):
+                    continue
                 best, names = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
                 held: list[pa.Array] = []
                 start = 0
                 for b in range(low, high):
                     nbrs, v = load(theirs[b])
+                    if not len(nbrs):
+                        continue
                     s = np.round(u @ v.T, DECIMALS)
                     if others_only:
                         at = pc.fill_null(pc.index_in(ids, value_set=nbrs), -1).to_numpy()

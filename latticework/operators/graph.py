@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticework.session import scratch_path, ship, stash
+from latticework.operators import net
+from latticework.operators.net import WalkConfig
+from latticework.session import stash
 
-#: Directed transitions, and nodes, up to which a walk runs on arrays within tasks.
+#: Directed transitions, and nodes, up to which a graph is kept as arrays: some 200 MB in each task.
 LOCAL_EDGES = 5_000_000
 
 
@@ -43,29 +40,20 @@ def transitions(edges: DataFrame, hub_discount: float = 0.0) -> DataFrame:
     return merged.select("src", "dst", (F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).alias("p"))
 
 
-@dataclass
-class WalkConfig:
-    alpha: float = 0.15
-    max_iter: int = 50
-    tol: float = 1e-6
-    #: Mass of nodes without an edge: "leak", or "restart" to give it back to the seeds.
-    dangling: str = "leak"
-
-
 def pagerank(trans: DataFrame, nodes: DataFrame, seeds: DataFrame, config: WalkConfig | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """Personalised PageRank of many seed groups at once: (qid, node, mass).
+    """Personalised PageRank of many seed groups at once: (qid, node, mass), rows of mass 0 left out.
 
     trans(src, dst, p), nodes(node), seeds(qid, node): repeated seeds count
     once, unknown ones not at all, and a group without a known seed restarts
-    anywhere. Up to local_edges transitions and nodes the graph is sent to the tasks once,
-    as arrays, and groups run in parallel; beyond, walks are joins and
-    groupings keyed by (qid, node). Both give the same masses. A group stops
-    when its L1 change falls below tol, or after max_iter steps.
+    anywhere. Up to local_edges transitions and nodes the graph is kept as
+    arrays that tasks map, and groups run in parallel; beyond, walks are joins
+    and groupings keyed by (qid, node). Both give the same masses: a group
+    stops after the first step whose L1 change is below tol, or after max_iter.
     """
     config = config or WalkConfig()
     seeds = seeds.select("qid", "node").distinct()
     if trans.count() <= local_edges and nodes.count() <= local_edges:
-        return _local(trans, nodes, seeds, config)
+        return net.walks(net.of_edges(trans, nodes), seeds, config)
     return _distributed(trans, nodes, seeds, config)
 
 
@@ -84,85 +72,27 @@ def _distributed(trans: DataFrame, nodes: DataFrame, seeds: DataFrame, config: W
     trans = stash(trans, "trans")
     ends = trans.select("src").distinct()
     going = restart.select("qid", "node", F.col("r").alias("mass"))
-    done = None
-    for step in range(config.max_iter):
-        moved = going.join(trans, going["node"] == trans["src"]).select("qid", F.col("dst").alias("node"), (F.col("mass") * F.col("p") * (1 - config.alpha)).alias("m"))
-        parts = moved.unionByName(restart.join(going.select("qid").distinct(), "qid", "left_semi").select("qid", "node", (F.col("r") * config.alpha).alias("m")))
+    done: list[DataFrame] = []
+    none = F.lit(0.0)
+    for _ in range(config.max_iter):
+        moved = going.join(trans, going["node"] == trans["src"]).select("qid", F.col("dst").alias("node"), (F.col("mass") * F.col("p") * (1 - config.alpha)).alias("m"), none.alias("old"))
+        parts = moved.unionByName(restart.join(going.select("qid").distinct(), "qid", "left_semi").select("qid", "node", (F.col("r") * config.alpha).alias("m"), none.alias("old")))
+        parts = parts.unionByName(going.select("qid", "node", none.alias("m"), F.col("mass").alias("old")))
         if config.dangling == "restart":
             lost = going.join(ends, going["node"] == ends["src"], "left_anti").groupBy("qid").agg(F.sum("mass").alias("lost"))
-            parts = parts.unionByName(restart.join(lost, "qid").select("qid", "node", (F.col("r") * F.col("lost") * (1 - config.alpha)).alias("m")))
-        new = parts.groupBy("qid", "node").agg(F.sum("m").alias("mass"))
-        if step % 5 == 4 or step == config.max_iter - 1 or step < 2:
-            new = stash(new, "walk")
-        both = new.select("qid", "node", F.col("mass").alias("a")).join(going.select("qid", "node", F.col("mass").alias("b")), ["qid", "node"], "full_outer")
-        if step % 5 == 4:
-            change = both.groupBy("qid").agg(F.sum(F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0)))).alias("change"))
-            still = stash(change.filter(F.col("change") >= config.tol).select("qid"), "still")
-            ended = new.join(still, "qid", "left_anti")
-            done = ended if done is None else done.unionByName(ended)
-            new = new.join(still, "qid", "left_semi")
-            if still.isEmpty():
-                going = None
+            parts = parts.unionByName(restart.join(lost, "qid").select("qid", "node", (F.col("r") * F.col("lost") * (1 - config.alpha)).alias("m"), none.alias("old")))
+        new = stash(parts.groupBy("qid", "node").agg(F.sum("m").alias("mass"), F.sum("old").alias("old")), "walk")
+        change = stash(new.groupBy("qid").agg(F.sum(F.abs(F.col("mass") - F.col("old"))).alias("change")), "walk-change")
+        ended = change.filter(F.col("change") < config.tol).select("qid")
+        going = new.filter("mass <> 0").select("qid", "node", "mass")
+        if not ended.isEmpty():
+            done.append(going.join(ended, "qid", "left_semi"))
+            going = going.join(ended, "qid", "left_anti")
+            if change.filter(F.col("change") >= config.tol).isEmpty():
                 break
-        going = new
-    out = done if going is None else going if done is None else done.unionByName(going)
-    every = seeds.select("qid").distinct().crossJoin(nodes.select("node"))
-    return every.join(out, ["qid", "node"], "left").select("qid", "node", F.coalesce("mass", F.lit(0.0)).alias("mass"))
-
-
-def walk(src: np.ndarray, dst: np.ndarray, p: np.ndarray, r: np.ndarray, config: WalkConfig) -> np.ndarray:
-    """Power iteration for one restart vector; edges as node numbers."""
-    n = len(r)
-    mass, loose = r.copy(), np.ones(n, bool)
-    loose[src] = False
-    for _ in range(config.max_iter):
-        new = (1 - config.alpha) * np.bincount(dst, weights=p * mass[src], minlength=n) + config.alpha * r
-        if config.dangling == "restart":
-            new += (1 - config.alpha) * mass[loose].sum() * r
-        change = np.abs(new - mass).sum()
-        mass = new
-        if change < config.tol:
-            break
-    return mass
-
-
-def _local(trans: DataFrame, nodes: DataFrame, seeds: DataFrame, config: WalkConfig) -> DataFrame:
-    spark = trans.sparkSession
-    ship(spark)
-    path = scratch_path(spark, "walk")
-    names = np.array(sorted(r[0] for r in nodes.select("node").distinct().toLocalIterator()), dtype=object)
-    t = trans.toPandas()
-    place = pd.Index(names)
-    data = io.BytesIO()
-    np.savez(data, src=place.get_indexer(t["src"]), dst=place.get_indexer(t["dst"]), p=t["p"].to_numpy(float), names=np.array("\n".join(names)))
-    # a table of one cell: any file system that Spark writes can hold it
-    spark.createDataFrame([(bytearray(data.getvalue()),)], "graph binary").write.parquet(path)
-    groups = seeds.groupBy("qid").agg(F.collect_list("node").alias("seeds"))
-    key = groups.schema["qid"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = None
-        for b in batches:
-            for i, got in enumerate(b.column("seeds").to_pylist()):
-                if graph is None:
-                    with np.load(io.BytesIO(b.column("graph")[i].as_py())) as z:
-                        graph = {k: z[k] for k in ("src", "dst", "p")}
-                        names = str(z["names"]).split("\n") if z["names"].size else []
-                    where = {x: i for i, x in enumerate(names)}
-                    nodes = pa.array(names, pa.string())
-                r = np.zeros(len(names))
-                known = [where[x] for x in got if x in where]
-                if known:
-                    r[known] = 1 / len(known)
-                else:
-                    r[:] = 1 / max(len(names), 1)
-                mass = walk(graph["src"], graph["dst"], graph["p"], r, config)
-                yield pa.RecordBatch.from_arrays([b.column("qid").take(pa.array(np.full(len(names), i))), nodes, pa.array(mass)], ["qid", "node", "mass"])
-
-    graph = spark.read.parquet(path)
-    parts = max(1, spark.sparkContext.defaultParallelism)
-    # the graph is one cell of at most local_edges transitions; every task needs it once
-    return groups.repartition(parts, "qid").join(F.broadcast(graph)).mapInArrow(run, f"qid {key}, node string, mass double")
+    for x in done:
+        going = going.unionByName(x)
+    return going
 
 
 def induced_subgraph(knn: DataFrame, seeds: DataFrame, hops: int = 2, cap: int = 2000) -> tuple[DataFrame, DataFrame]:
@@ -184,19 +114,23 @@ def induced_subgraph(knn: DataFrame, seeds: DataFrame, hops: int = 2, cap: int =
 
 
 def communities(edges: DataFrame, rounds: int = 10, seed: int = 0) -> DataFrame:
-    """(node, community) of a subgraph by moving nodes between communities for the greatest modularity (Louvain), in one task.
+    """(qid, node, community) of subgraphs edges(qid, src, dst), by moving nodes between communities for the greatest modularity (Louvain).
 
-    Communities are numbered by their first node. The input is a subgraph of
-    bounded size, such as induced_subgraph gives.
+    Without qid all edges are one subgraph. Each is of bounded size, such as
+    induced_subgraph gives, and is one task's; communities are numbered by their
+    first node.
     """
+    own = "qid" in edges.columns
+    d = edges.select(*(["qid"] if own else [F.lit(0).alias("qid")]), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+    kind = d.schema["qid"].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = pd.concat(list(frames))
-        names = sorted({*f["src"], *f["dst"]})
-        part = louvain(len(names), [(names.index(a), names.index(b)) for a, b in zip(f["src"], f["dst"])], rounds, seed)
-        yield pd.DataFrame({"node": names, "community": part})
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        names, at = np.unique(np.concatenate([f["src"], f["dst"]]), return_inverse=True)
+        part = louvain(len(names), list(zip(at[: len(f)].tolist(), at[len(f) :].tolist())), rounds, seed)
+        return pd.DataFrame({"qid": f["qid"].iloc[0], "node": names, "community": part})
 
-    return edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).coalesce(1).mapInPandas(run, "node string, community int")
+    found = d.groupBy("qid").applyInPandas(run, f"qid {kind}, node string, community int")
+    return found if own else found.drop("qid")
 
 
 def louvain(n: int, edges: list[tuple[int, int]], rounds: int = 10, seed: int = 0) -> list[int]:
@@ -245,19 +179,9 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, targets: DataFrame, max_h
     Every node keeps its first discoverer: at the first step the seed of the
     smallest position, later the smallest node. Stops when all targets are found.
     """
-    both = stash(symmetric(edges).select("src", "dst").distinct(), "bfs-edges")
-    w = Window.partitionBy("qid", "node").orderBy("pos")
-    front = seeds.withColumn("k", F.row_number().over(w)).filter("k = 1").select("qid", "node", "pos", F.array("node").alias("path"))
-    seen = front
-    for hop in range(1, max_hops + 1):
-        key = F.struct("pos") if hop == 1 else F.struct(F.col("node"))
-        step = front.join(both, front["node"] == both["src"]).groupBy("qid", "dst").agg(F.min_by(F.struct("path", "pos"), key).alias("from"))
-        new = step.join(seen.select("qid", F.col("node").alias("dst")), ["qid", "dst"], "left_anti")
-        front = stash(new.select("qid", F.col("dst").alias("node"), F.col("from.pos").alias("pos"), F.concat("from.path", F.array("dst")).alias("path")), "bfs")
-        seen = seen.unionByName(front)
-        if targets.join(seen, ["qid", "node"], "left_anti").isEmpty() or front.isEmpty():
-            break
-    return targets.join(seen, ["qid", "node"]).select("qid", F.col("node").alias("target"), "path", (F.size("path") - 1).alias("hops"))
+    trans = symmetric(edges).select("src", "dst").distinct().withColumn("p", F.lit(1.0))
+    nodes = trans.select(F.col("src").alias("node")).union(seeds.select("node")).distinct()
+    return net.all_paths(net.of_edges(trans, nodes), seeds, targets, max_hops)
 
 
 def reasoning_paths(paths: DataFrame, ppr: DataFrame, max_paths: int = 5) -> DataFrame:
@@ -280,37 +204,34 @@ def neighbors_of(edges: DataFrame, nodes: DataFrame, asked: DataFrame, limit: in
     return near.withColumn("rank", k).filter(F.col("rank") <= limit).select("qid", "kind", "neighbor", "label", "weight", "rank")
 
 
-def simple_paths(edges: DataFrame, a: str, b: str, max_hops: int = 4, limit: int = 50) -> DataFrame:
-    """Up to `limit` simple paths between two nodes, shortest first, ties by names: (path, hops)."""
-    both = stash(symmetric(edges).select("src", "dst").distinct(), "sp-edges")
+def distinct_routes(paths: DataFrame, k_paths: int = 3) -> DataFrame:
+    """paths(qid, path, hops, k) of net.all_routes: those kept, `rank` from 1. One whose intermediates include all of a kept one's is a detour, and dropped."""
+    most = max(1, min(k_paths, 10))
+    inner = lambda p: F.slice(p, F.lit(2), F.greatest(F.size(p) - 2, F.lit(0)))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("k", "path"))), lambda x: x["path"])
+
+    def keep(kept: Column, path: Column) -> Column:
+        detour = F.exists(kept, lambda p: (F.size(inner(p)) > 0) & (F.size(F.array_except(inner(p), inner(path))) == 0))
+        return F.when(detour | (F.size(kept) >= most), kept).otherwise(F.concat(kept, F.array(path)))
+
+    kept = paths.groupBy("qid").agg(in_order.alias("all")).select("qid", F.posexplode(F.aggregate("all", F.array().cast("array<array<string>>"), keep)).alias("rank", "path"))
+    documents = F.size(F.filter("path", lambda n: n.startswith("doc:")))
+    return kept.select("qid", (F.col("rank") + 1).alias("rank"), "path", (F.size("path") - 1).alias("hops"), documents.alias("via_documents"))
+
+
+def path_between(edges: DataFrame, nodes: DataFrame, a: str, b: str, k_paths: int = 3) -> dict:
+    """Distinct routes of any length between two nodes, shortest first, from the first 50 simple paths; KeyError for an unknown node."""
     spark = edges.sparkSession
-    front = spark.createDataFrame([(a, [a])], "at string, path array<string>")
-    found = None
-    for hop in range(1, max_hops + 1):
-        step = front.join(both, front["at"] == both["src"]).filter(~F.array_contains("path", F.col("dst")))
-        step = stash(step.select(F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path")), "sp")
-        hit = step.filter(F.col("at") == b).select("path", F.lit(hop).alias("hops"))
-        found = hit if found is None else found.unionByName(hit)
-        if found.count() >= limit:
-            break
-        front = step.filter(F.col("at") != b)
-    return found.orderBy("hops", "path").limit(limit)
-
-
-def path_between(edges: DataFrame, nodes: DataFrame, a: str, b: str, k_paths: int = 3, max_hops: int = 4) -> dict:
-    """Distinct routes between two nodes: one whose intermediates include all of a kept one's is a detour, and dropped."""
-    k = max(1, min(k_paths, 10))
-    kept: list[list[str]] = []
-    for r in simple_paths(edges, a, b, max_hops).collect():  # 50 at most
-        mids = set(r.path[1:-1])
-        if any(set(p[1:-1]) and set(p[1:-1]) <= mids for p in kept):
-            continue
-        kept.append(r.path)
-        if len(kept) == k:
-            break
-    labels = {r.node: r.label for r in nodes.filter(F.col("node").isin(sorted({x for p in kept for x in p}))).collect()} if kept else {}
+    known = {r.node for r in nodes.filter(F.col("node").isin(a, b)).select("node").collect()}
+    for x in (a, b):
+        if x not in known:
+            raise KeyError(x)
+    trans = symmetric(edges).select("src", "dst").distinct().withColumn("p", F.lit(1.0))
+    pair = spark.createDataFrame([(0, a, b)], "qid int, a string, b string")
+    kept = distinct_routes(net.all_routes(net.of_edges(trans, nodes), pair), k_paths).orderBy("rank").collect()  # 10 at most
+    labels = {r.node: r.label for r in nodes.filter(F.col("node").isin(sorted({x for p in kept for x in p.path}))).collect()} if kept else {}
     show = lambda n: {"node": n, "label": n[4:] if n.startswith("doc:") else labels.get(n) or n}
-    return {"connected": bool(kept), "paths": [{"nodes": [show(n) for n in p], "hops": len(p) - 1, "via_documents": sum(n.startswith("doc:") for n in p)} for p in kept]}
+    return {"connected": bool(kept), "paths": [{"nodes": [show(n) for n in p.path], "hops": p.hops, "via_documents": p.via_documents} for p in kept]}
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame, top: int = 10) -> DataFrame:

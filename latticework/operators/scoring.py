@@ -62,6 +62,7 @@ def convergence(per_seed: DataFrame) -> DataFrame:
     return per_seed.groupBy("qid", "node").agg(F.exp(F.avg(F.log(F.lit(1e-12) + F.col("mass")))).alias("value"))
 
 
-def ranked(scored: DataFrame) -> DataFrame:
-    """Adds `rank` from 0 by falling score, ties by node."""
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "node")) - 1)
+def ranked(scored: DataFrame, decimals: int | None = None) -> DataFrame:
+    """Adds `rank` from 0 by falling score, rounded where decimals are given, ties by node."""
+    by = F.round("score", decimals) if decimals else F.col("score")
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(by.desc(), "node")) - 1)

@@ -69,7 +69,8 @@ class CorpusManager:
         report = {}
         for meta in self.list() if corpora else []:
             try:
-                self.planner(meta["name"]).trans.count()
+                planner = self.planner(meta["name"])
+                _ = planner.net if planner._small() else planner.trans.count()  # noqa: SLF001
                 report[meta["name"]] = "ready"
             except Exception as e:  # noqa: BLE001 - a report, whatever went wrong
                 report[meta["name"]] = f"failed: {type(e).__name__}"

@@ -8,6 +8,7 @@ from latticework.functions import text as T
 from latticework.functions import vector as V
 from latticework.operators import graph as G
 from latticework.operators import kg as K
+from latticework.operators import net as N
 from latticework.operators import packing as P
 from latticework.operators import scoring as S
 from latticework.operators import store as ST
@@ -103,7 +104,7 @@ def test_walks(spark, kg):
     assert abs(sum(v for (q, _), v in one.items() if q == "a") - 1) < 1e-4
     far = masses(G.pagerank(trans, nodes, seeds, G.WalkConfig(max_iter=50, tol=1e-6), local_edges=0))
     assert one.keys() == far.keys()
-    assert max(abs(one[k] - far[k]) for k in one) < 1e-5
+    assert max(abs(one[k] - far[k]) for k in one) < 1e-12
     alone = masses(G.pagerank(trans, nodes, seeds.filter("qid = 'b'")))
     assert max(abs(one[k] - alone[k]) for k in alone) < 1e-6
     hub = masses(G.pagerank(G.transitions(kg.edges, 1.0), nodes, seeds.filter("qid = 'a'")))
@@ -249,6 +250,62 @@ def test_path_between(kg):
     assert hops == sorted(hops)
     assert all(p["nodes"][0]["node"] == "ent:voxel" and p["nodes"][-1]["node"] == "ent:tromso" for p in got["paths"])
     assert not G.path_between(kg.edges, kg.nodes, "ent:voxel", "ent:harvard")["connected"]
+    with pytest.raises(KeyError):
+        G.path_between(kg.edges, kg.nodes, "ent:voxel", "ent:nobody")
+
+
+def all_simple_paths(links, a, b):
+    out, todo = [], [[a]]
+    while todo:
+        p = todo.pop()
+        if p[-1] == b:
+            out.append(p)
+            continue
+        todo += [[*p, x] for x in links[p[-1]] if x not in p]
+    return sorted(out, key=lambda p: (len(p), p))
+
+
+def test_routes_are_all_simple_paths_shortest_first(spark):
+    rng = np.random.default_rng(4)
+    docs = [(f"d{i}", sorted({f"ent:e{k}" for k in rng.integers(0, 7, rng.integers(1, 4))})) for i in range(6)]
+    mentions = spark.createDataFrame([(d, e) for d, es in docs for e in es], "doc_id string, node string")
+    edges = K.cooccurrence(mentions).select("src", "dst").union(mentions.select(F.concat(F.lit("doc:"), "doc_id"), "node"))
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    links = {}
+    for r in edges.collect():
+        links.setdefault(r.src, set()).add(r.dst)
+        links.setdefault(r.dst, set()).add(r.src)
+    names = sorted(links)
+    pairs = [(i, a, b) for i, (a, b) in enumerate([(a, b) for a in names for b in names if a < b][::5])]
+    both = spark.createDataFrame(pairs, "qid int, a string, b string")
+    trans = G.transitions(edges)
+    got = {}
+    for path in (N.of_edges(trans, nodes), N.of_mentions(nodes, mentions)):
+        got = {}
+        for r in N.all_routes(path, both).orderBy("qid", "k").collect():
+            got.setdefault(r.qid, []).append(list(r.path))
+        assert got == {i: p[:50] for i, a, b in pairs if (p := all_simple_paths(links, a, b))}
+    chain = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(9)], "src string, dst string")
+    ends = chain.select(F.col("src").alias("node")).union(chain.select("dst")).distinct().withColumn("label", F.lit(None).cast("string"))
+    assert G.path_between(chain, ends, "n0", "n9")["paths"][0]["hops"] == 9
+
+
+@pytest.mark.parametrize("gamma", [0.0, 1.0])
+def test_walks_on_mentions_equal_those_on_edges(spark, gamma):
+    rng = np.random.default_rng(7)
+    rows = sorted({(f"d{d}", f"ent:e{e}") for d, e in zip(rng.integers(0, 20, 90).tolist(), rng.integers(0, 12, 90).tolist())})
+    mentions = spark.createDataFrame(rows, "doc_id string, node string")
+    edges = K.cooccurrence(mentions).select("src", "dst", "weight").union(mentions.select(F.concat(F.lit("doc:"), "doc_id"), "node", F.lit(1).cast("bigint")))
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).union(spark.createDataFrame([("doc:none",)], "node string")).distinct()
+    seeds = spark.createDataFrame([("a", "ent:e1"), ("a", "ent:e5"), ("b", "doc:d3"), ("c", "nobody")], "qid string, node string")
+    for config in (G.WalkConfig(tol=0.0), G.WalkConfig(alpha=0.6, tol=1e-4, dangling="restart")):
+        want = masses(G.pagerank(G.transitions(edges, gamma), nodes, seeds, config))
+        got = masses(N.walks(N.of_mentions(nodes, mentions, G.degrees(edges), gamma), seeds, config))
+        far = masses(G.pagerank(G.transitions(edges, gamma), nodes, seeds, config, local_edges=0))
+        assert want.keys() == got.keys() == far.keys()
+        assert max(abs(want[k] - got[k]) for k in want) < 1e-12 and max(abs(want[k] - far[k]) for k in want) < 1e-12
+    way = [(r.qid, r.target, tuple(r.path)) for p in (N.of_mentions(nodes, mentions), N.of_edges(G.transitions(edges), nodes)) for r in N.all_paths(p, seeds.withColumn("pos", F.length("node")), None, 3).orderBy("qid", "target").collect()]
+    assert way[: len(way) // 2] == way[len(way) // 2 :] and len(way) > 30
 
 
 def test_packing():
@@ -294,11 +351,12 @@ def test_approximate_neighbours_find_nine_in_ten(spark, sf):
 def test_ties_in_blocks():
     from latticework.operators.blocks import best_of
 
-    a, b = np.array([[1.0, 0.0]]), np.array([[0.5, 0.0], [1.0, 0.0], [0.5, 0.0], [0.1, 0.0]])
-    row, col, s = best_of(a, b, 2)
-    assert col.tolist() == [0, 1, 2] and s.tolist() == [0.5, 1.0, 0.5]
-    assert best_of(a, b, 9)[1].tolist() == [0, 1, 2, 3]
-    assert best_of(a, b, 9, (np.array([0]), np.array([1])))[1].tolist() == [0, 2, 3]
+    s = np.array([[0.5, 1.0, 0.5, 0.1], [0.2, 0.2, 0.2, 0.2], [-np.inf, 0.3, 0.1, 0.3]])
+    assert best_of(s, 2).tolist() == [[1, 0], [0, 1], [1, 3]]
+    assert best_of(s, 9)[:2].tolist() == [[1, 0, 2, 3], [0, 1, 2, 3]]
+    rng = np.random.default_rng(1)
+    s = rng.integers(0, 4, (50, 30)).astype(float)
+    assert best_of(s, 7).tolist() == [sorted(range(30), key=lambda j: (-x[j], j))[:7] for x in s.tolist()]
 
 
 def test_corpora(spark, docs, kg, tmp_path):

@@ -1,10 +1,19 @@
-"""Vector expressions: everything is reduced in double precision, in the JVM."""
+"""Vector expressions: everything is reduced in double precision, in the JVM but for the hashed embedder."""
 
 from __future__ import annotations
 
+import re
+import zlib
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What Java's \\s is.
+_BLANK = re.compile(r"[ \t\n\x0b\f\r]+")
+
 
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -34,9 +43,23 @@ def cosine(unit_a: Column, unit_b: Column) -> Column:
 
 
 def hashed_embedding(text: Column, dim: int = 32) -> Column:
-    """Counts of lower-case words by crc32 modulo dim, of length 1: an embedder without a model."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    slots = F.transform(words, lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(dim)).cast("int"))
-    # bound as a variable, so that words are cut and hashed once and not for each slot
-    count = lambda found: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(found, lambda s: s == i)).cast("double"))
-    return F.transform(F.array(slots), lambda found: F.transform(F.array(count(found)), unit)[0])[0]
+    """Counts of lower-case words by crc32 modulo dim, of length 1: an embedder without a model.
+
+    Arrow batches: as expressions this takes a pass over the words for each
+    dimension. A null text has a zero vector.
+    """
+    return _hashed(dim)(F.lower(text))
+
+
+@lru_cache
+def _hashed(dim: int):
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            slots = [zlib.crc32(w.encode("utf-8", "replace")) % dim for w in _BLANK.split(t or "") if w]
+            n = np.bincount(np.array(slots, np.int64), minlength=dim).astype(float)
+            out.append(n / max(np.linalg.norm(n), 1e-300))
+        return pd.Series(out, dtype=object)
+
+    return embed

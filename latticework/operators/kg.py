@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.functions.text import canonicalize, content_key, doc_node, entity_node, fill_prompt, parse_triples, strip, token_contained
+from latticework.session import stash
 
 LABELS = ("PERSON", "ORG", "GPE", "LOC", "NORP", "FAC", "PRODUCT", "EVENT", "WORK_OF_ART", "LAW", "LANGUAGE")
 PROMPT = "List the facts of the passage as JSON, {\"triples\": [[subject, predicate, object], ...]}.\n\n{passage}"
@@ -26,12 +27,19 @@ class KnowledgeGraph:
     mentions: DataFrame
     entities: DataFrame
     aliases: DataFrame
+    #: Whether the entity edges are the co-occurrences of the mentions and nothing else; None if that is not known.
+    co_occurs: bool | None = None
 
+    def stashed(self) -> KnowledgeGraph:
+        """The same with its tables computed once, but for edges that follow from the mentions."""
+        keep = lambda t: self.edges if t == "edges" and self.co_occurs else stash(getattr(self, t), f"kg-{t}")
+        return KnowledgeGraph(*(keep(t) for t in ("nodes", "edges", "mentions", "entities", "aliases")), self.co_occurs)
 
-def rule_extractor(letters: int = 8) -> Callable[[Column], Column]:
-    """Runs of capitalised words as mentions: an extractor without a model."""
-    pattern = f"[A-Z][a-z]{{{letters - 1},}}(?: [A-Z][a-z]{{{letters - 1},}})*"
-    return lambda text: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(m.alias("text"), F.lit("ORG").alias("label")))
+
+def rule_extractor(letters: int = 2) -> Callable[[Column], Column]:
+    """Runs of capitalised words of so many letters, of any alphabet that has capitals, as mentions: an extractor without a model."""
+    word = rf"\p{{Lu}}\p{{L}}{{{letters - 1},}}"
+    return lambda text: F.transform(F.regexp_extract_all(text, F.lit(f"{word}(?: {word})*"), F.lit(0)), lambda m: F.struct(m.alias("text"), F.lit("ORG").alias("label")))
 
 
 def extract_mentions(docs: DataFrame, extractor: Callable[[Column], Column], min_len: int = 2) -> DataFrame:
@@ -45,21 +53,16 @@ def collapse_within(mentions: DataFrame) -> DataFrame:
     """Per document, mentions whose words occur in a longer kept one go with it: (doc_id, canonical, mention, kept).
 
     Containment is transitive, so a canonical stays if no longer one of the
-    document contains it, and goes with the longest that does.
+    document contains it, and goes with the longest that does. Candidates share
+    a word in a document, found by an index of words, so not all pairs are compared.
     """
     m = mentions.select("doc_id", "mention", canonicalize(F.col("mention")).alias("canonical")).filter("canonical <> ''").distinct()
-    per = m.groupBy("doc_id").agg(F.collect_set("canonical").alias("all"))
-    longest = per.select("doc_id", F.explode("all").alias("canonical"), "all").select(
-        "doc_id",
-        "canonical",
-        F.array_max(
-            F.transform(
-                F.filter("all", lambda x: (x != F.col("canonical")) & token_contained(F.col("canonical"), x)),
-                lambda x: F.struct(F.length(x).alias("n"), x.alias("c")),
-            )
-        )["c"].alias("longer"),
-    )
-    return m.join(longest, ["doc_id", "canonical"]).select("doc_id", "canonical", "mention", F.coalesce("longer", "canonical").alias("kept"))
+    c = m.select("doc_id", "canonical").distinct()
+    first = c.select("doc_id", "canonical", F.split("canonical", " ")[0].alias("w"))
+    words = c.filter(F.contains("canonical", F.lit(" "))).select("doc_id", F.col("canonical").alias("long"), F.explode(F.array_distinct(F.split("canonical", " "))).alias("w"))
+    hit = first.join(words, ["doc_id", "w"]).filter((F.col("canonical") != F.col("long")) & token_contained(F.col("canonical"), F.col("long")))
+    longest = hit.groupBy("doc_id", "canonical").agg(F.max(F.struct(F.length("long").alias("n"), F.col("long"))).alias("best"))
+    return m.join(longest, ["doc_id", "canonical"], "left").select("doc_id", "canonical", "mention", F.coalesce("best.long", "canonical").alias("kept"))
 
 
 def substring_links(mentions: DataFrame) -> DataFrame:
@@ -125,7 +128,7 @@ def _bundle(docs: DataFrame, kept: DataFrame, displays: DataFrame, extra: DataFr
     other = displays.join(entities.filter("in_graph"), "canonical").select(canonicalize(F.col("display")).alias("alias"), F.lit(1).alias("pass"), "canonical", "display", "node")
     first = Window.partitionBy("alias").orderBy("pass", "canonical", "display")
     aliases = own.unionByName(other).filter("alias <> ''").withColumn("k", F.row_number().over(first)).filter("k = 1").select("alias", "node")
-    return KnowledgeGraph(nodes, edges, mentions, entities, aliases)
+    return KnowledgeGraph(nodes, edges, mentions, entities, aliases, extra is None)
 
 
 def cooccurrence(mentions: DataFrame) -> DataFrame:
@@ -136,7 +139,7 @@ def cooccurrence(mentions: DataFrame) -> DataFrame:
 
 
 def build(docs: DataFrame, extractor: Callable[[Column], Column] | None = None, links: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> KnowledgeGraph:
-    """The graph of docs(id, text). links: (mention, canonical), or a function of mentions that gives them, instead of the collapse within documents."""
+    """The graph of docs(id, text) from capitalised words, or what the extractor finds. links: (mention, canonical), or a function of mentions that gives them, instead of the collapse within documents."""
     mentions = extract_mentions(docs, extractor or rule_extractor())
     if links is None:
         c = collapse_within(mentions)
@@ -194,6 +197,12 @@ def build_from_triples(docs: DataFrame, t: DataFrame, links: DataFrame | None =
     return _bundle(docs, ends.select("doc_id", F.col("x.c").alias("canonical")).distinct(), displays, relations(c))
 
 
+def _grams(c: str) -> Column:
+    """The different runs of 1, 2 and 3 characters of a text that is not empty."""
+    start = F.sequence(F.lit(1), F.length(c))
+    return F.array_distinct(F.flatten(F.transform(start, lambda i: F.array(*(F.substring(F.col(c), i, F.lit(k)) for k in (1, 2, 3))))))
+
+
 def resolve(kg: KnowledgeGraph, mentions: DataFrame, allow_substring: bool = True) -> DataFrame:
     """mentions(qid, pos, mention): (qid, pos, mention, node), node null where nothing matches.
 
@@ -206,8 +215,12 @@ def resolve(kg: KnowledgeGraph, mentions: DataFrame, allow_substring: bool = Tru
     if not allow_substring:
         return m.select("qid", "pos", "mention", F.col("hit").alias("node"))
     rest = m.filter("hit is null and c <> ''").select("c").distinct()
-    e = kg.entities.select("canonical", "node", "label")
-    near = rest.join(e, F.contains("canonical", "c") | F.contains("c", "canonical"))
+    e = kg.entities.select("canonical", "node", "label").filter("canonical <> ''")
+    # what lies in another has its first 3 characters there, or all of them if it has fewer; an index of those finds the candidates
+    head = lambda x: F.substring(x, 1, 3)
+    inside = rest.select("c", head("c").alias("gram")).join(e.select("*", F.explode(_grams("canonical")).alias("gram")), "gram").filter(F.contains("canonical", "c"))
+    around = rest.select("c", F.explode(_grams("c")).alias("gram")).join(e.select("*", head("canonical").alias("gram")), "gram").filter(F.contains("c", "canonical"))
+    near = inside.select("c", "node", "label").unionByName(around.select("c", "node", "label"))
     best = near.groupBy("c").agg(F.min_by("node", F.struct(-F.length("label"), F.col("node"))).alias("n3"))
     return m.join(best, "c", "left").select("qid", "pos", "mention", F.coalesce("hit", "n3").alias("node"))
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from latticework import blobs
 from latticework.session import scratch_path, ship
 
-_ARRAYS = ("m_doc", "m_ent", "by_ent", "discount", "strength", "src", "dst", "p")
+_ARRAYS = ("m_doc", "m_ent", "by_ent", "discount", "strength", "src", "dst", "p", "documents")
 _FAR = np.iinfo(np.int64).max
 
 
@@ -49,6 +49,8 @@ class Net:
         self.docs_of = np.bincount(self.m_ent, minlength=self.n)
         self.loose = self.strength == 0
         self.loose[self.src] = False
+        if not self.documents[0]:
+            self.loose[self.m_doc] = False
         self._at: dict[str, int] | None = None
 
     def find(self, names: list[str]) -> list[int]:
@@ -63,7 +65,7 @@ class Net:
             u = self.discount * x / np.where(self.strength > 0, self.strength, 1.0)
             to_docs = np.bincount(self.m_doc, weights=u[self.m_ent], minlength=self.n)
             back = np.bincount(self.m_ent, weights=(to_docs + u)[self.m_doc], minlength=self.n)
-            out += to_docs + self.discount * (back - self.docs_of * u)
+            out += self.documents[0] * to_docs + self.discount * (back - self.docs_of * u)
         return out
 
     def walk(self, r: np.ndarray, config: WalkConfig) -> np.ndarray:
@@ -191,7 +193,7 @@ class Net:
                     heapq.heappush(heap, (len(more), more, i))
 
 
-def _build(path: str, names: str, mentions: str | None, edges: str | None, gamma: float):
+def _build(path: str, names: str, mentions: str | None, edges: str | None, gamma: float, documents: bool = True):
     def number(column: pa.ChunkedArray, order: pa.Array) -> np.ndarray:
         return pc.index_in(column, value_set=order).to_numpy().astype(np.int64)
 
@@ -201,7 +203,7 @@ def _build(path: str, names: str, mentions: str | None, edges: str | None, gamma
             order = t.column("node").combine_chunks().unique() if t.num_columns else pa.array([], pa.string())
             order = order.take(pc.sort_indices(order))
             n = len(order)
-            out = {x: np.zeros(0, np.int64) for x in ("m_doc", "m_ent", "by_ent", "src", "dst")} | {"discount": np.ones(n), "strength": np.zeros(n), "p": np.zeros(0)}
+            out = {x: np.zeros(0, np.int64) for x in ("m_doc", "m_ent", "by_ent", "src", "dst")} | {"discount": np.ones(n), "strength": np.zeros(n), "p": np.zeros(0), "documents": np.ones(1, np.int64)}
             if mentions and len(t):
                 m = blobs.read(mentions)
                 if len(m):
@@ -213,7 +215,8 @@ def _build(path: str, names: str, mentions: str | None, edges: str | None, gamma
                         out["discount"][number(d.column("node"), order)] = np.log(np.e + d.column("degree").to_numpy()) ** -gamma
                     g = out["discount"]
                     of_doc = np.bincount(doc, weights=g[ent], minlength=n)
-                    out["strength"] = of_doc + g * np.bincount(ent, weights=1 + of_doc[doc] - g[ent], minlength=n)
+                    out["strength"] = documents * of_doc + g * np.bincount(ent, weights=documents + of_doc[doc] - g[ent], minlength=n)
+                    out["documents"] = np.array([documents], np.int64)
                     out |= {"m_doc": doc, "m_ent": ent, "by_ent": np.argsort(ent, kind="stable")}
             if edges and len(t):
                 e = blobs.read(edges)
@@ -245,8 +248,11 @@ def of_edges(trans: DataFrame, nodes: DataFrame) -> str:
     return path
 
 
-def of_mentions(nodes: DataFrame, mentions: DataFrame, degrees: DataFrame | None = None, hub_discount: float = 0.0) -> str:
-    """The arrays of a graph of documents, their entities, and co-occurrences of these; mentions(doc_id, node), each once."""
+def of_mentions(nodes: DataFrame, mentions: DataFrame, degrees: DataFrame | None = None, hub_discount: float = 0.0, documents: bool = True) -> str:
+    """The arrays of a graph of documents, their entities, and co-occurrences of these; mentions(doc_id, node), each once.
+
+    documents: whether walks visit documents, or go from entity to entity alone.
+    """
     spark = nodes.sparkSession
     ship(spark)
     path = scratch_path(spark, "net")
@@ -254,7 +260,7 @@ def of_mentions(nodes: DataFrame, mentions: DataFrame, degrees: DataFrame | None
     mentions.select(F.concat(F.lit("doc:"), "doc_id").alias("doc"), "node").write.parquet(f"{path}/mentions")
     if hub_discount:
         degrees.filter(F.col("node").startswith("ent:")).select("node", "degree").write.parquet(f"{path}/mentions-degrees")
-    _once(spark, _build(path, f"{path}/nodes", f"{path}/mentions", None, hub_discount))
+    _once(spark, _build(path, f"{path}/nodes", f"{path}/mentions", None, hub_discount, documents))
     return path
 
 

@@ -43,15 +43,20 @@ def latency(times: DataFrame) -> DataFrame:
 
 
 def attribute_chunks(chunks: DataFrame, titles: DataFrame, files: DataFrame, id_fields: list[str], path_fields: list[str]) -> DataFrame:
-    """chunks(qid, pos, fields...): the titles of each answer in order, each once; ids are tried before paths, in the order given."""
-    tries = [(n, c, titles.select(F.col("title").alias("key"), "title")) for n, c in enumerate(id_fields)]
-    tries += [(n + len(id_fields), c, files.select(F.col("filename").alias("key"), "title")) for n, c in enumerate(path_fields)]
-    hits = None
-    for n, c, table in tries:
-        h = chunks.join(table, chunks[c] == table["key"]).select("qid", "pos", F.lit(n).alias("n"), "title")
-        hits = h if hits is None else hits.unionByName(h)
-    first = hits.groupBy("qid", "pos").agg(F.min_by("title", "n").alias("title"))
-    return first.groupBy("qid").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "title"))), lambda x: x["title"])).alias("titles"))
+    """chunks(qid, pos, fields...): the titles of each answer in order, each once; ids are tried before paths, in the order given.
+
+    Every chunk stands alone, also where several have one position: these come
+    in the order of their fields. A chunk without a title makes the query fail.
+    """
+    tries = [(c, titles.select(F.col("title").alias("key"), "title").distinct()) for c in id_fields]
+    tries += [(c, files.select(F.col("filename").alias("key"), "title").groupBy("key").agg(F.min("title").alias("title"))) for c in path_fields]
+    d = chunks
+    for n, (c, table) in enumerate(tries):
+        d = d.join(table.select(F.col("key").alias(f"_k{n}"), F.col("title").alias(f"_t{n}")), F.col(c) == F.col(f"_k{n}"), "left").drop(f"_k{n}")
+    lost = F.raise_error(F.concat(F.lit("cannot attribute a chunk of query "), F.col("qid").cast("string")))
+    title = F.coalesce(*(F.col(f"_t{n}") for n in range(len(tries))), lost)
+    key = F.struct("pos", *(F.col(c) for c in (*id_fields, *path_fields)), title.alias("title"))
+    return d.groupBy("qid").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["title"])).alias("titles"))
 
 
 def identical_passes(passes: DataFrame, top: int = 10) -> DataFrame:

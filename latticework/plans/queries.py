@@ -12,6 +12,7 @@ from latticework.functions import text as T
 from latticework.functions import vector as V
 from latticework.operators import graph as G
 from latticework.operators import kg as K
+from latticework.operators import net as N
 from latticework.operators import packing as P
 from latticework.operators import scoring as S
 from latticework.operators import store as ST
@@ -42,9 +43,16 @@ def documents(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
 
 
+def _numbered(s: SparkSession, d: str, rows: DataFrame, number: str) -> DataFrame:
+    """Every row with a vector: that whose number is the row's modulo their count."""
+    e = table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
+    n = e.agg(F.count("*").alias("n_vectors"))
+    at = rows.crossJoin(F.broadcast(n)).withColumn("vec_id", F.pmod(F.col(number), F.col("n_vectors"))).drop("n_vectors")  # one row on the broadcast side
+    return at.join(e, "vec_id").drop("vec_id", number)
+
+
 def embedded(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), "label")
-    return documents(s, d).join(e, "id")
+    return _numbered(s, d, documents(s, d).withColumn("number", F.col("id").cast("bigint")), "number")
 
 
 def vectors(s: SparkSession, d: str) -> DataFrame:
@@ -63,7 +71,7 @@ UNITS = "u as (select vec_id::varchar as id, embedding::double[] as v, label, sq
 PAIRS = "p as (select a.id, b.id as nbr, list_dot_product(a.v, b.v) / (a.n * b.n) as sim from u a join u b on a.id <> b.id)"
 KNN = "k as (select id, nbr, row_number() over (partition by id order by sim desc, nbr) as rank, sim from p qualify rank <= 10)"
 MENTIONS = f"""m as (select doc_id::varchar as doc_id, unnest(x) as mention, generate_subscripts(x, 1) - 1 as pos
-  from (select doc_id, regexp_extract_all(text, '[A-Z][a-z]{{7,}}(?: [A-Z][a-z]{{7,}})*') as x from documents)),
+  from (select doc_id, regexp_extract_all(text, '\\p{{Lu}}\\p{{L}}{{1,}}(?: \\p{{Lu}}\\p{{L}}{{1,}})*') as x from documents)),
 mc as (select distinct doc_id, mention, {CANON.format('mention')} as c from m)"""
 COLLAPSE = (
     MENTIONS
@@ -85,7 +93,7 @@ alias as (select alias, node from (select canonical as alias, 0 as pass, canonic
     + """, 1, canonical, d, node from disp join ents on canonical = c where in_graph) where alias <> '' qualify row_number() over (partition by alias order by pass, canonical, d) = 1)"""
 )
 ASKED = f"""qm as (select item_id::varchar as qid, unnest(x) as mention, generate_subscripts(x, 1) - 1 as pos
-  from (select item_id, regexp_extract_all(text, '[A-Z][a-z]{{7,}}(?: [A-Z][a-z]{{7,}})*') as x from benchmark)),
+  from (select item_id, regexp_extract_all(text, '\\p{{Lu}}\\p{{L}}{{1,}}(?: \\p{{Lu}}\\p{{L}}{{1,}})*') as x from benchmark)),
 qc as (select qid, pos, mention, {CANON.format('mention')} as c from qm),
 qh as (select qid, pos, mention, qc.c, coalesce(alias.node, ents.node) as hit from qc left join alias on alias.alias = qc.c left join ents on ents.canonical = qc.c),
 qs as (select x.c, arg_min(node, {{'n': -length(label), 'x': node}}) as node from (select distinct c from qh where hit is null) x join ents on contains(canonical, x.c) or contains(x.c, canonical) group by x.c),
@@ -93,11 +101,51 @@ res as (select qid, pos, mention, coalesce(hit, qs.node) as node from qh left jo
 seeds as (select qid, node, min(pos) as pos from res where node in (select node from nodes) group by all)"""
 
 
-def ppr_sql(steps: int, trans: str = "trans", seeds: str = "seeds") -> str:
-    """Power iteration, unrolled: CTEs r and p0 .. p<steps> (qid, node, mass)."""
-    out = [f"r as (select qid, node, 1.0::double / count(*) over (partition by qid) as r from {seeds})", "p0 as (select qid, node, r as mass from r)"]
+def ppr_sql(trans: str = "trans", seeds: str = "seeds", name: str = "pr", steps: int = 50, dangling: bool = False) -> str:
+    """Power iteration over transitions, unrolled, where a group stops once its change is below 1e-6: CTE <name>(qid, node, mass)."""
+    back = ", l as (select src from {t} group by 1)".format(t=trans) if dangling else ""
+    move = "select {p}.qid, t.dst as node, 0.85::double * mass * t.p as m from {p} join " + trans + " t on t.src = {p}.node"
+    lost = " union all select r.qid, r.node, 0.85::double * r * x from {r} r join (select qid, sum(mass) as x from {p} where node not in (select src from l) group by qid) using (qid)" if dangling else ""
+    return _iterate(name, seeds, steps, back, lambda p, r: [(None, move.format(p=p) + lost.format(p=p, r=r))])
+
+
+def walk_sql(seeds: str = "seeds", name: str = "pr", documents: bool = True) -> str:
+    """The same on the graph of `ment`, by its incidence of documents and entities, which holds all co-occurrences."""
+    if documents:
+        own = "nd as (select d, count(*) as s from inc group by d), ne as (select e, count(*) as k, sum(s) as s from inc join nd using (d) group by e)"
+    else:
+        own = "nd as (select d, count(*) as s from inc group by d), ne as (select e, count(*) as k, sum(s - 1) as s from inc join nd using (d) group by e)"
+    head = f", inc as (select 'doc:' || doc_id as d, node as e from ment), {own}"
+
+    def step(p: str, r: str) -> list:
+        through = f"select qid, d, mass / ne.s as t, mass / ne.s as z from {p} join ne on ne.e = {p}.node join inc on inc.e = ne.e where ne.s > 0"
+        if documents:
+            through += f" union all select qid, d, mass / nd.s, 0 from {p} join nd on nd.d = {p}.node"
+        at = f"{p}t"
+        out = f"select qid, e as node, 0.85::double * t as m from {at} join inc using (d) union all select qid, e, -0.85::double * k * mass / s from {p} join ne on ne.e = {p}.node where ne.s > 0"
+        if documents:
+            out += f" union all select qid, d, 0.85::double * z from {at}"
+        else:
+            out += f" union all select r.qid, r.node, 0.85::double * r * x from {r} r join (select qid, sum(mass) as x from {p} join ne on ne.e = {p}.node where ne.s = 0 group by qid) using (qid)"
+        return [(at, f"select qid, d, sum(t) as t, sum(z) as z from ({through}) group by all"), (None, out)]
+
+    return _iterate(name, seeds, 50, head, step)
+
+
+def _iterate(name: str, seeds: str, steps: int, head: str, step) -> str:
+    r = f"{name}r"
+    out = [f"{r} as (select qid, node, 1.0::double / count(*) over (partition by qid) as r from {seeds}){head}", f"{name}0 as (select qid, node, r as mass from {r})"]
     for k in range(steps):
-        out.append(f"p{k + 1} as materialized (select qid, node, sum(m) as mass from (select p{k}.qid, t.dst as node, 0.85::double * mass * t.p as m from p{k} join {trans} t on t.src = p{k}.node union all select qid, node, 0.15::double * r from r) group by all)")
+        p, q = f"{name}{k}", f"{name}{k + 1}"
+        *before, (_, moved) = step(p, r)
+        out += [f"{at} as materialized ({sql})" for at, sql in before]
+        out.append(
+            f"{q}n as materialized (select qid, node, sum(m) as mass, sum(old) as old from (select qid, node, m, 0.0::double as old from ({moved}) union all select qid, node, 0.15::double * r, 0 from {r} where qid in (select qid from {p}) union all select qid, node, 0, mass from {p}) group by all)"
+        )
+        out.append(f"{q}c as materialized (select qid, sum(abs(mass - old)) as change from {q}n group by qid)")
+        out.append(f"{q} as materialized (select qid, node, mass from {q}n where qid in (select qid from {q}c where change >= 1e-6))")
+    ended = " union all ".join(f"select qid, node, mass from {name}{k + 1}n where qid in (select qid from {name}{k + 1}c where change < 1e-6)" for k in range(steps))
+    out.append(f"{name} as materialized (select qid, node, mass from ({ended} union all select qid, node, mass from {name}{steps}) where mass <> 0)")
     return ",\n".join(out)
 
 
@@ -111,10 +159,11 @@ def a1_store_units(s, d):
     return v.join(u, "id").select("id", F.size("vector").cast("bigint").alias("dim"), F.round(V.norm(V.doubles(F.col("vector"))), 6).alias("norm"), F.round(V.norm(F.col("u")), 6).alias("unit_norm"))
 
 
-@query()
+@query("with x as (select doc_id::varchar as id, list_transform(range(97, 123), lambda c: (length(text) - length(replace(text, chr(c::int), '')))::double) as v from documents) select id, len(v)::int as dim, round(case when list_dot_product(v, v) > 0 then 1 else 0 end::double, 6) as norm, round(v[5] / greatest(sqrt(list_dot_product(v, v)), 1e-12), 5) as e from x")
 def a2_from_documents(s, d):
-    store = ST.VectorStore.from_documents(documents(s, d), lambda t: V.hashed_embedding(t))
-    return store.units.select("id", F.size("u").alias("dim"), F.round(V.norm(F.col("u")), 6).alias("norm"))
+    letters = lambda t: F.array(*(F.length(t) - F.length(F.replace(t, F.lit(chr(c)))) for c in range(97, 123)))
+    store = ST.VectorStore.from_documents(documents(s, d), letters)
+    return store.units.select("id", F.size("u").alias("dim"), F.round(V.norm(F.col("u")), 6).alias("norm"), F.round(F.col("u")[4], 5).alias("e"))
 
 
 @query("select vec_id::varchar as id, len(embedding)::int as dim from embeddings")
@@ -136,7 +185,7 @@ def a5_upsert(s, d):
     return ST.upsert(old, new, "id", "seq").select("id", "tag")
 
 
-@query(f"with {COLLAPSE} select (select count(*) from documents join embeddings on doc_id = vec_id) as documents, (select count(*) from ents where in_graph) as entities, (select count(*) from edges) as edges, 64 as dim")
+@query(f"with {COLLAPSE} select (select count(*) from documents) as documents, (select count(*) from ents where in_graph) as entities, (select count(*) from edges) as edges, 64 as dim")
 def a9_corpus_build(s, d):
     docs = embedded(s, d)
     kg = K.build(documents(s, d))
@@ -144,7 +193,7 @@ def a9_corpus_build(s, d):
     return s.createDataFrame([(m["documents"], m["entities"], m["edges"], m["dim"])], "documents long, entities long, edges long, dim int")
 
 
-@query("select doc_id::varchar as id, length(text) as n, len(embedding)::int as dim from documents join embeddings on doc_id = vec_id")
+@query("select doc_id::varchar as id, length(text) as n, 64 as dim from documents")
 def a10_corpus_load(s, d):
     m = C.CorpusManager(s, scratch_path(s, "corpora"))
     m.build("c", embedded(s, d), K.build(documents(s, d)))
@@ -498,13 +547,13 @@ def e2_communities(s, d):
 KNNGRAPH = f"{UNITS}, {PAIRS}, {KNN}, ke as (select distinct least(id, nbr) as src, greatest(id, nbr) as dst from k), ks as (select src, dst from ke union all select dst, src from ke), kt as (select src, dst, 1.0::double / count(*) over (partition by src) as p from ks), ksd as (select label::varchar as qid, id as node from u)"
 
 
-@query(f"with {KNNGRAPH}, {ppr_sql(10, 'kt', 'ksd')} select qid, node, round(mass, 8) as mass from p10")
+@query(f"with {KNNGRAPH}, {ppr_sql('kt', 'ksd', dangling=True)} select qid, node, round(mass, 8) as mass from pr")
 def e4_pagerank(s, d):
     v = vectors(s, d)
     knn = stash(ST.VectorStore(v).knn_graph(), "knn")
     edges = knn.select(F.least("id", "nbr").alias("src"), F.greatest("id", "nbr").alias("dst")).distinct()
-    got = G.pagerank(G.transitions(edges), v.select(F.col("id").alias("node")), v.select(F.col("label").cast("string").alias("qid"), F.col("id").alias("node")), G.WalkConfig(max_iter=10, tol=0.0, dangling="restart"))
-    return got.filter("mass > 0").withColumn("mass", F.round("mass", 8))
+    got = G.pagerank(G.transitions(edges), v.select(F.col("id").alias("node")), v.select(F.col("label").cast("string").alias("qid"), F.col("id").alias("node")), G.WalkConfig(dangling="restart"))
+    return got.withColumn("mass", F.round("mass", 8))
 
 
 @query(f"with {COLLAPSE} select src, dst, round(p, 9) as p from trans")
@@ -517,50 +566,67 @@ def e6_hub_discount(s, d):
     return G.transitions(K.build(documents(s, d)).edges, 1.0).withColumn("p", F.round("p", 9))
 
 
+def _graph(s, d):
+    return K.build(documents(s, d)).stashed()
+
+
 def _seeds(s, d):
-    kg = K.build(documents(s, d))
-    kg = K.KnowledgeGraph(*(stash(getattr(kg, t), t) for t in C.TABLES))
+    kg = _graph(s, d)
     hit = K.resolve(kg, K.query_mentions(items(s, d), K.rule_extractor())).filter("node is not null")
-    return kg, hit.join(kg.nodes.select("node"), "node", "left_semi").groupBy("qid", "node").agg(F.min("pos").alias("pos"))
+    return kg, stash(hit.join(kg.nodes.select("node"), "node", "left_semi").groupBy("qid", "node").agg(F.min("pos").alias("pos")), "seeds")
 
 
-@query(f"with {COLLAPSE}, {ASKED}, {ppr_sql(10)} select qid, node, round(mass, 8) as mass from p10 where mass > 1e-7")
-def e7_solve(s, d):
-    kg, seeds = _seeds(s, d)
-    got = G.pagerank(G.transitions(kg.edges), kg.nodes, seeds, G.WalkConfig(max_iter=10, tol=0.0))
-    return got.filter("mass > 1e-7").withColumn("mass", F.round("mass", 8))
+def _every(s, d, kg, seeds, got):
+    """All nodes of all groups, with mass 0 where a walk has none."""
+    every = seeds.select("qid").distinct().crossJoin(kg.nodes.select("node"))
+    return every.join(got, ["qid", "node"], "left").select("qid", "node", F.round(F.coalesce("mass", F.lit(0.0)), 8).alias("mass"))
 
 
-@query(f"with {COLLAPSE}, {ASKED}, {ppr_sql(10)} select qid, node, round(mass, 8) as mass from p10 where mass > 1e-7")
-def e8_solve_distributed(s, d):
-    kg, seeds = _seeds(s, d)
-    got = G.pagerank(G.transitions(kg.edges), kg.nodes, seeds, G.WalkConfig(max_iter=10, tol=0.0), local_edges=0)
-    return got.filter("mass > 1e-7").withColumn("mass", F.round("mass", 8))
+SOLVED = f"with {COLLAPSE}, {ASKED}, {walk_sql()} select qid, node, round(coalesce(mass, 0), 8) as mass from (select distinct qid from seeds) cross join (select node from nodes) left join pr using (qid, node)"
 
 
-BFS = f"""with {COLLAPSE}, {ASKED}, un as (select distinct src, dst from sym),
-l0 as (select qid, node, pos, [node] as path from seeds),
-l1 as (select qid, dst as node, arg_min({{'a': path, 'b': pos}}, pos) as f from l0 join un on src = l0.node where (qid, dst) not in (select (qid, node) from l0) group by qid, dst),
-m1 as (select qid, node, f.b as pos, list_append(f.a, node) as path from l1), v1 as (select * from l0 union all select * from m1),
-l2 as (select qid, dst as node, arg_min({{'a': path, 'b': pos}}, m1.node) as f from m1 join un on src = m1.node where (qid, dst) not in (select (qid, node) from v1) group by qid, dst),
-m2 as (select qid, node, f.b as pos, list_append(f.a, node) as path from l2), v2 as (select * from v1 union all select * from m2),
-l3 as (select qid, dst as node, arg_min({{'a': path, 'b': pos}}, m2.node) as f from m2 join un on src = m2.node where (qid, dst) not in (select (qid, node) from v2) group by qid, dst),
-v3 as (select qid, node, path from v2 union all select qid, node, list_append(f.a, node) from l3)"""
+@query(SOLVED)
+def e7_solve(s, d):
+    kg, seeds = _seeds(s, d)
+    return _every(s, d, kg, seeds, N.walks(N.of_mentions(kg.nodes, kg.mentions), seeds, G.WalkConfig()))
 
 
-@query(BFS + " select qid, node as target, array_to_string(path, ' > ') as path, (len(path) - 1)::int as hops from v3 where node like 'doc:%'")
+@query(SOLVED)
+def e8_solve_multi(s, d):
+    """The same on the graph's edges."""
+    kg, seeds = _seeds(s, d)
+    return _every(s, d, kg, seeds, G.pagerank(G.transitions(kg.edges), kg.nodes, seeds, local_edges=1 << 40))
+
+
+def bfs_sql(hops: int) -> str:
+    """Breadth first from the seeds by the incidence of documents and entities: CTE v(qid, node, path)."""
+    out = [
+        "inc as (select 'doc:' || doc_id as d, node as e from ment)",
+        "s0 as (select qid, node, row_number() over (partition by qid order by pos, node) as ord from seeds)",
+        "f0 as (select qid, node, lpad(ord::varchar, 9, '0') as key, [node] as path from s0), v0 as (select qid, node, path from f0)",
+    ]
+    for k in range(hops):
+        out += [
+            f"g{k} as materialized (select qid, d, min(key) as key from f{k} join inc on inc.e = f{k}.node group by all)",
+            f"h{k} as materialized (select qid, e as node, min(key) as key from (select * from g{k} union all select qid, node, key from f{k} where node like 'doc:%') join inc using (d) group by all union all select qid, d, key from g{k})",
+            f"f{k + 1} as materialized (select h{k}.qid, h{k}.node, h{k}.node as key, list_append(f{k}.path, h{k}.node) as path from h{k} join f{k} on f{k}.qid = h{k}.qid and f{k}.key = h{k}.key where not exists (select 1 from v{k} where v{k}.qid = h{k}.qid and v{k}.node = h{k}.node))",
+            f"v{k + 1} as (select * from v{k} union all select qid, node, path from f{k + 1})",
+        ]
+    return ",\n".join(out) + f", v as (select * from v{hops})"
+
+
+@query(f"with {COLLAPSE}, {ASKED}, {bfs_sql(3)} select qid, node as target, array_to_string(path, ' > ') as path, (len(path) - 1)::int as hops from v where node like 'doc:%'")
 def e9_shortest_paths(s, d):
     kg, seeds = _seeds(s, d)
-    targets = seeds.select("qid").distinct().crossJoin(kg.nodes.filter("kind = 'document'").select("node"))
-    return G.shortest_paths(kg.edges, seeds, targets).withColumn("path", F.array_join("path", " > "))
+    return N.all_paths(N.of_mentions(kg.nodes, kg.mentions), seeds, None, 3).withColumn("path", F.array_join("path", " > "))
 
 
-@query(BFS + f", {ppr_sql(10)}, sc as (select v3.qid, v3.node as target, len(path) - 1 as hops, coalesce(mass, 0) / len(path) as score from v3 left join p10 on p10.qid = v3.qid and p10.node = v3.node where v3.node like 'doc:%' and len(path) > 1) select qid, target, hops::int as hops, round(score, 8) as score from sc qualify row_number() over (partition by qid order by score desc, hops, target) <= 5")
+@query(f"with {COLLAPSE}, {ASKED}, {bfs_sql(3)}, {walk_sql().replace('inc as (select', 'inc2 as (select', 1)}, sc as (select v.qid, v.node as target, len(path) - 1 as hops, round(coalesce(mass, 0) / len(path), 12) as score from v left join pr on pr.qid = v.qid and pr.node = v.node where v.node like 'doc:%' and len(path) > 1) select qid, target, hops::int as hops, round(score, 8) as score from sc qualify row_number() over (partition by qid order by score desc, hops, target) <= 5")
 def e10_reasoning_paths(s, d):
     kg, seeds = _seeds(s, d)
-    targets = seeds.select("qid").distinct().crossJoin(kg.nodes.filter("kind = 'document'").select("node"))
-    mass = G.pagerank(G.transitions(kg.edges), kg.nodes, seeds, G.WalkConfig(max_iter=10, tol=0.0))
-    return G.reasoning_paths(G.shortest_paths(kg.edges, seeds, targets), mass).select("qid", "target", "hops", F.round("score", 8).alias("score"))
+    path = N.of_mentions(kg.nodes, kg.mentions)
+    mass = N.walks(path, seeds, G.WalkConfig()).filter(F.col("node").startswith("doc:"))
+    return G.reasoning_paths(N.all_paths(path, seeds, None, 3), mass).select("qid", "target", "hops", F.round("score", 8).alias("score"))
 
 
 @query(f"with {COLLAPSE}, x as (select e.node as qid, dst as neighbor, w as weight from ents e join sym on sym.src = e.node where in_graph) select qid, kind, neighbor, weight, row_number() over (partition by qid, kind order by weight desc, neighbor)::int as rank from x join nodes on nodes.node = neighbor qualify rank <= 20")
@@ -572,11 +638,22 @@ def e11_entity_neighbors(s, d):
 
 @query()
 def e12_path_between(s, d):
-    kg = K.build(documents(s, d))
-    edges = stash(kg.edges, "edges")
-    ends = edges.filter("kind = 'co_occurs'").orderBy(F.desc("weight"), "src", "dst").select("src", "dst").first()
-    got = G.path_between(edges, kg.nodes, *ends, max_hops=2) if ends else {"paths": []}
-    return s.createDataFrame([(p["hops"], p["via_documents"], " > ".join(n["node"] for n in p["nodes"])) for p in got["paths"]], "hops int, via_documents int, path string")
+    """Routes between the first two names of every benchmark item that has two."""
+    p = PL.Planner(ST.VectorStore(vectors(s, d)), kg=_graph(s, d))
+    m = K.query_mentions(items(s, d), K.rule_extractor()).groupBy("qid").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mention"))), lambda x: x["mention"])).alias("m"))
+    pairs = m.filter("size(m) > 1").select("qid", F.col("m")[0].alias("entity_a"), F.col("m")[1].alias("entity_b"))
+    return p.path_between(pairs).select("qid", "error", "connected", "rank", F.array_join("path", " > ").alias("path"), "hops", "via_documents")
+
+
+@query(f"with {COLLAPSE}, {ASKED}, {bfs_sql(3).replace('from seeds)', 'from (select a.qid, a.node, 0 as pos from seeds a where pos = (select min(pos) from seeds b where b.qid = a.qid)))', 1)} select qid, count(*) filter (where len(path) = 2) as one, count(*) filter (where len(path) = 3) as two, count(*) filter (where len(path) = 4) as three from v group by qid")
+def e12_distances(s, d):
+    """How many nodes lie one, two and three hops from the first seed of each item."""
+    kg, seeds = _seeds(s, d)
+    first = seeds.groupBy("qid").agg(F.min_by("node", F.struct("pos", "node")).alias("node")).withColumn("pos", F.lit(0))
+    to = first.select("qid").crossJoin(kg.nodes.select("node"))
+    got = N.all_paths(N.of_mentions(kg.nodes, kg.mentions), first, to, 3)
+    at = lambda k: F.count(F.when(F.col("hops") == k, 1))
+    return got.groupBy("qid").agg(at(1).alias("one"), at(2).alias("two"), at(3).alias("three"))
 
 
 @query(f"with {COLLAPSE}, dg as (select src as node, count(*) as g from sym where src like 'ent:%' group by 1 order by 2 desc, 1 limit 10) select 'documents' as name, count(*) as value, 0 as rank from documents union all select 'entities', count(*), 0 from ents where in_graph union all select 'edges', count(*), 0 from edges union all select node, g, row_number() over (order by g desc, node)::int from dg")
@@ -657,26 +734,36 @@ def f9_ranked(s, d):
     return S.ranked(scored).select("qid", "node", "rank")
 
 
-DOCRANK = "dr as (select source as qid, doc_id::varchar as node, text, greatest(1, length(text) // 4) as tokens, (row_number() over (partition by source order by n_chars % 97 desc, doc_id::varchar) - 1)::int as rank from documents)"
-FIRSTFIT = f"with recursive {DOCRANK}, fit as (select qid, node, text, rank, tokens, tokens <= 4000 as took, case when tokens <= 4000 then tokens else 0 end as used from dr where rank = 0 union all select dr.qid, dr.node, dr.text, dr.rank, dr.tokens, used + dr.tokens <= 4000, case when used + dr.tokens <= 4000 then used + dr.tokens else used end from fit join dr on dr.qid = fit.qid and dr.rank = fit.rank + 1 where dr.rank < 50)"
+def fit_sql(ranked: str, consider: int = 50, budget: int = 4000) -> str:
+    """First fit into the budget without near copies, a row after the other: CTE fit(qid, node, rank, tokens, took) of `ranked`(qid, node, rank, tokens, score, v)."""
+    close = "coalesce(list_max(list_transform(fit.vs, lambda x: list_dot_product(x, r.v))), -1)"
+    took = f"(used + r.tokens <= {budget} and not ({close} > 0.95 and 0.7::double * r.score - 0.3::double * {close} < 0))"
+    return f"""fit as (select qid, node, rank, tokens, score, tokens <= {budget} as took, case when tokens <= {budget} then tokens else 0 end as used, case when tokens <= {budget} then [v] else [] end as vs from {ranked} where rank = 0
+union all select r.qid, r.node, r.rank, r.tokens, r.score, {took}, case when {took} then used + r.tokens else used end, case when {took} then list_append(vs, r.v) else vs end from fit join {ranked} r on r.qid = fit.qid and r.rank = fit.rank + 1 where r.rank < {consider})"""
+
+
+VECS = "uv as (select vec_id, list_transform(embedding::double[], lambda x: x / sqrt(list_dot_product(embedding::double[], embedding::double[]))) as v from embeddings)"
+DOCRANK = f"{VECS}, dr as (select source as qid, doc_id::varchar as node, text, greatest(1, length(text) // 4) as tokens, v, (n_chars % 97) / 97.0::double as score, (row_number() over (partition by source order by n_chars % 97 desc, doc_id::varchar) - 1)::int as rank from documents join uv on vec_id = doc_id % 20)"
+FIRSTFIT = f"with recursive {DOCRANK}, {fit_sql('dr')}, taken as (select fit.*, text from fit join dr using (qid, node) where took)"
 
 
 def _packed(s, d):
-    x = table(s, d, "documents").select(F.col("source").alias("qid"), F.col("doc_id").cast("string").alias("node"), "text", (F.col("n_chars") % 97).cast("double").alias("score"))
-    return P.pack(S.ranked(x).withColumn("vector", F.lit(None).cast("array<float>")))
+    v = vectors(s, d).select(F.col("id").cast("bigint").alias("n"), "vector")
+    x = table(s, d, "documents").select(F.col("source").alias("qid"), F.col("doc_id").cast("string").alias("node"), "text", ((F.col("n_chars") % 97) / 97).alias("score"), (F.col("doc_id") % 20).alias("n"))
+    return P.pack(S.ranked(x.join(v, "n")))
 
 
-@query(FIRSTFIT + " select qid, node, rank, tokens::int as tokens, row_number() over (partition by qid order by rank)::int as position from fit where took")
+@query(FIRSTFIT + " select qid, node, rank, tokens::int as tokens, row_number() over (partition by qid order by rank)::int as position from taken")
 def f11_pack(s, d):
     return _packed(s, d).select("qid", "node", "rank", "tokens", "position")
 
 
-@query(FIRSTFIT + ", n as (select qid, text, row_number() over (partition by qid order by rank) as position from fit where took) select qid, string_agg('[' || position || '] ' || text, chr(10) || chr(10) order by position) as context from n group by 1")
+@query(FIRSTFIT + ", n as (select qid, text, row_number() over (partition by qid order by rank) as position from taken) select qid, string_agg('[' || position || '] ' || text, chr(10) || chr(10) order by position) as context from n group by 1")
 def f12_context(s, d):
     return P.context(_packed(s, d))
 
 
-@query(FIRSTFIT + ", n as (select qid, node, row_number() over (partition by qid order by rank)::int as position from fit where took) select qid, node, position from n where position <= 10")
+@query(FIRSTFIT + ", n as (select qid, node, row_number() over (partition by qid order by rank)::int as position from taken) select qid, node, position from n where position <= 10")
 def f13_sources(s, d):
     return _packed(s, d).filter("position <= 10").select("qid", "node", "position")
 
@@ -685,46 +772,86 @@ def f13_sources(s, d):
 
 
 def _planner(s, d, **config):
-    kg = K.build(documents(s, d))
-    kg = K.KnowledgeGraph(*(stash(getattr(kg, t), t) for t in C.TABLES))
-    return PL.Planner(ST.VectorStore(embedded(s, d)), lambda t: V.hashed_embedding(t, 64), PL.PlannerConfig(**config), kg)
+    return PL.Planner(ST.VectorStore(embedded(s, d)), config=PL.PlannerConfig(**config), kg=_graph(s, d))
 
 
 def _by_id(s, d):
-    """Every benchmark item, with the vector of the same number."""
-    return items(s, d).join(vectors(s, d).select(F.col("id").alias("qid"), "vector"), "qid")
-
-
-def graph_mode_sql() -> str:
-    """Graph mode with 10 steps and without convergence; queries without a seed fall back to their nearest documents' entities."""
-    fallback = "fb as (select qid, node, min(k) as k from near join ment on ment.doc_id = near.id where k <= 3 group by all), fs as (select qid, node from fb qualify row_number() over (partition by qid order by k, node) <= 8)"
-    return f"""with {COLLAPSE}, {ASKED}, {UNITS},
-q as (select item_id::varchar as qid, v, n from benchmark join u on u.id = item_id::varchar), dv as (select u.id, u.v, u.n from u join documents on doc_id::varchar = u.id),
-near as (select qid, dv.id, row_number() over (partition by qid order by list_dot_product(q.v, dv.v) / (q.n * dv.n) desc, dv.id) as k from q, dv where qid not in (select qid from seeds)),
-{fallback}, sq as (select qid, node from seeds where qid in (select qid from q) union all select qid, node from fs), {ppr_sql(10, seeds='sq')},
-x as (select q.qid, dv.id as node, list_dot_product(q.v, dv.v) / (q.n * dv.n) as r, coalesce(p10.mass, 0) as s from q cross join dv left join p10 on p10.qid = q.qid and p10.node = 'doc:' || dv.id),
-sc as (select qid, node, (3 * ({MM.format('r')}) + ({MM.format('s')})) / 4 as score from x window w as (partition by qid))
-select qid, node, round(score, 5) as score from sc"""
-
-
-GRAPHMODE = graph_mode_sql()
-
-
-@query()
+    """Every benchmark item with a vector."""
+    return _numbered(s, d, items(s, d).withColumn("number", F.col("qid").cast("bigint")), "number").drop("label")
+
+
+DOCVECS = f"{VECS}, nv as (select count(*) as n from embeddings), q as (select item_id::varchar as qid, v from benchmark, nv join uv on vec_id = item_id % n), dv as (select doc_id::varchar as id, text, v from documents, nv join uv on vec_id = doc_id % n)"
+
+
+def minmax_sql(x: str) -> str:
+    return f"(case when max({x}) over w - min({x}) over w < 1e-9 then 0.5 else ({x} - min({x}) over w) / nullif(max({x}) over w - min({x}) over w, 0) end)"
+
+
+def graph_mode_sql(converge: bool) -> str:
+    """Graph mode: CTE ranked(qid, node, r, s, c, score, rank). Queries without a seed fall back to entities of their nearest documents."""
+    out = f"""{COLLAPSE}, {ASKED}, {DOCVECS},
+near as (select qid, dv.id, row_number() over (partition by qid order by round(list_dot_product(q.v, dv.v), 12) desc, dv.id) as k from q, dv where qid not in (select qid from seeds)),
+fb as (select qid, node, min(k) as k from near join ment on ment.doc_id = near.id where k <= 3 group by all), fs as (select qid, node, row_number() over (partition by qid order by k, node) as pos from fb qualify pos <= 8),
+sq as (select qid, node, pos from seeds where qid in (select qid from q) union all select qid, node, pos from fs), {walk_sql('sq')}"""
+    if converge:
+        out += f""",
+first as (select qid, node, count(*) over (partition by qid) as n, row_number() over (partition by qid order by pos, node) as k from sq qualify n > 1 and k <= 4),
+one as (select distinct node as qid, node from first), {walk_sql('one', 'sg').replace('inc as (', 'inc2 as (', 1).replace('nd as (', 'nd2 as (', 1).replace('ne as (', 'ne2 as (', 1)},
+lo as (select first.qid, sg.node, sum(ln(1e-12::double + mass) - ln(1e-12::double)) as more from first join sg on sg.qid = first.node where sg.node like 'doc:%' group by all),
+fn as (select qid, count(*) as n from first group by qid)"""
+    c = "case when fn.n is null then 1 else exp(ln(1e-12::double) + coalesce(more, 0) / fn.n) end" if converge else "1.0::double"
+    joins = " left join fn on fn.qid = q.qid left join lo on lo.qid = q.qid and lo.node = 'doc:' || dv.id" if converge else ""
+    total = "(3 * {0} + {1} + {2}) / 5" if converge else "(3 * {0} + {1}) / 4"
+    score = total.format(*(minmax_sql(x) for x in "rsc"))
+    return out + f""",
+x as (select q.qid, dv.id as node, list_dot_product(q.v, dv.v) as r, coalesce(pr.mass, 0) as s, {c} as c from q cross join dv left join pr on pr.qid = q.qid and pr.node = 'doc:' || dv.id{joins}),
+sc as (select *, {score} as score from x window w as (partition by qid)),
+ranked as materialized (select *, (row_number() over (partition by qid order by round(score, 12) desc, node) - 1)::int as rank from sc)"""
+
+
+def sources_sql(top_k: int) -> str:
+    """What graph mode packs: CTE src(qid, position, node, text, r, s, score)."""
+    return f"""with recursive {graph_mode_sql(True)},
+top as (select qid, node, r, s, score, rank, text, v, greatest(1, length(text) // 4) as tokens from ranked join dv on dv.id = ranked.node where rank < {5 * top_k}), {fit_sql('top', 5 * top_k)},
+src as (select qid, row_number() over (partition by qid order by rank)::int as position, node, top.text, r, s, top.score from fit join top using (qid, node, rank) where took qualify position <= {top_k})"""
+
+
+NEIGHBORS = f"""with {DOCVECS},
+kp as (select a.id, b.id as nbr, row_number() over (partition by a.id order by round(list_dot_product(a.v, b.v), 12) desc, b.id) as rank from dv a join dv b on a.id <> b.id qualify rank <= 10),
+ann as (select qid, id as node, list_dot_product(q.v, dv.v) as sim, row_number() over (partition by qid order by round(list_dot_product(q.v, dv.v), 12) desc, id) as k from q, dv qualify k <= 10),
+h0 as (select qid, node, 0 as hop from ann), h1 as (select distinct qid, nbr as node, 1 as hop from h0 join kp on kp.id = h0.node where (qid, nbr) not in (select (qid, node) from h0)), s1 as (select * from h0 union all select * from h1),
+h2 as (select distinct qid, nbr as node, 2 as hop from h1 join kp on kp.id = h1.node where (qid, nbr) not in (select (qid, node) from s1)),
+nn as (select qid, node from (select * from s1 union all select * from h2) qualify row_number() over (partition by qid order by hop, node) <= 2000),
+ee as (select distinct a.qid, least(a.node, nbr) as src, greatest(a.node, nbr) as dst from nn a join kp on kp.id = a.node join nn b on b.qid = a.qid and b.node = nbr),
+es as (select qid || ' ' || src as src, qid || ' ' || dst as dst from ee union all select qid || ' ' || dst, qid || ' ' || src from ee), et as (select src, dst, 1.0::double / count(*) over (partition by src) as p from es),
+sn as (select qid, qid || ' ' || node as node from ann where k <= 5), {ppr_sql('et', 'sn', dangling=True)},
+xx as (select nn.qid, nn.node, list_dot_product(q.v, dv.v) as cosine, coalesce(mass, 0) as s from nn join q using (qid) join dv on dv.id = nn.node left join pr on pr.qid = nn.qid and pr.node = nn.qid || ' ' || nn.node),
+yy as (select qid, node, s, 1.0::double as c, {minmax_sql('cosine')} as r from xx window w as (partition by qid)),
+zz as (select qid, node, (3 * {minmax_sql('r')} + {minmax_sql('s')} + {minmax_sql('c')}) / 5 as score from yy window w as (partition by qid))
+select qid, node, (row_number() over (partition by qid order by round(score, 12) desc, node) - 1)::int as rank, round(score, 5) as score from zz qualify rank < 10"""
+
+
+@query(NEIGHBORS)
 def g4_neighbor_mode(s, d):
-    v = embedded(s, d)
-    got = PL.Planner(ST.VectorStore(v)).retrieve(v.select(F.col("id").alias("qid"), "vector"))
-    return got.scored.filter("rank < 10").select("qid", "node", "rank", F.round("score", 5).alias("score"))
+    got = PL.Planner(ST.VectorStore(embedded(s, d))).retrieve(_by_id(s, d).drop("text"))
+    return got.scored.filter("rank < 10").select("qid", "node", F.col("rank").cast("int").alias("rank"), F.round("score", 5).alias("score"))
 
 
-@query(GRAPHMODE)
+@query(f"with {graph_mode_sql(False)} select qid, node, rank, round(score, 5) as score from ranked where rank < 50")
 def g5_graph_mode(s, d):
-    p = _planner(s, d, max_iter=10, tol=0.0, use_convergence=False)
-    got = p.retrieve(_by_id(s, d), explain=False)
-    return got.scored.select("qid", "node", F.round("score", 5).alias("score"))
+    """The 50 best of each query without convergence."""
+    got = _planner(s, d, use_convergence=False).retrieve(_by_id(s, d), explain=False)
+    return got.scored.select("qid", "node", "rank", F.round("score", 5).alias("score"))
 
 
-@query()
+@query(f"with {graph_mode_sql(True)} select qid, node, round(r, 5) as relevance, round(s, 7) as structural, round(score, 5) as score from ranked")
+def g5_every_score(s, d):
+    """All scores with the planner's defaults."""
+    got = _planner(s, d).retrieve(_by_id(s, d), explain=False, everything=True)
+    return got.scored.select("qid", "node", F.round("relevance", 5).alias("relevance"), F.round("structural", 7).alias("structural"), F.round("score", 5).alias("score"))
+
+
+@query(sources_sql(10) + " select qid, position, node, round(score, 4) as score from src")
 def g5_graph_mode_defaults(s, d):
     got = _planner(s, d).retrieve(_by_id(s, d))
     return got.sources.select("qid", "position", "node", F.round("composite_score", 4).alias("score"))
@@ -732,16 +859,18 @@ def g5_graph_mode_defaults(s, d):
 
 @query()
 def g8_iterate(s, d):
-    q = _by_id(s, d)
-    p = _planner(s, d)
-    a, b = p.iterate([(q, []), (q, [])], top_k=3)
+    """Two hops, the second also from the entity that most documents mention."""
+    q, p = _by_id(s, d), _planner(s, d)
+    hub = p.kg.mentions.groupBy("node").count().orderBy(F.desc("count"), "node").join(p.kg.entities, "node").select("label").first()
+    a, b = p.iterate([(q, []), (q, [hub.label] if hub else [])], top_k=3)
     return a.sources.withColumn("hop", F.lit(1)).unionByName(b.sources.withColumn("hop", F.lit(2))).select("hop", "qid", "node")
 
 
-@query()
+@query(sources_sql(8) + ", used as (select qid, string_agg(node, ' ' order by pos, node) as seeds_used from sq group by qid) select qid, position, node as id, substring(text, 1, 280) as snippet, round(score, 4) as score, round(r, 4) as cosine, round(s, 6) as graph_score, coalesce(seeds_used, '') as seeds_used from src left join used using (qid)")
 def g9_retrieve_tool(s, d):
     p = _planner(s, d)
-    return p.tool_view(p.retrieve(_by_id(s, d), top_k=8))
+    view = p.tool_view(p.retrieve(_by_id(s, d), top_k=8))
+    return view.select("qid", F.explode("sources").alias("s"), F.array_join("seeds_used", " ").alias("seeds_used")).select("qid", "s.*", "seeds_used")
 
 
 # H: evaluation
@@ -796,10 +925,15 @@ def h4_per_hop(s, d):
     return E.per_hop(*_two(s, d)).withColumn("recall", F.round("recall", 6))
 
 
-@query()
+@query(f"""with {COLLAPSE}, {ASKED}, {DOCVECS}, {walk_sql(documents=False)},
+mn as (select qid, doc_id as node, round(avg(coalesce(mass, 0)), 12) as score from (select distinct qid from seeds) cross join ment left join pr using (qid, node) group by all),
+fi as (select qid, node, 0 as pass, row_number() over (partition by qid order by score desc, node) as k from mn qualify k <= 10 union all
+  select qid, id, 1, row_number() over (partition by qid order by round(list_dot_product(q.v, dv.v), 12) desc, id) as k from q, dv qualify k <= 30),
+al as (select qid, node, min(pass * 100 + k) as k from fi group by all)
+select qid, node, (row_number() over (partition by qid order by k, node) - 1)::int as rank from al qualify rank < 10""")
 def h6_entity_mean(s, d):
     kg, seeds = _seeds(s, d)
-    return PL.entity_mean_retrieve(kg, ST.VectorStore(embedded(s, d)), _by_id(s, d), seeds)
+    return PL.entity_mean_retrieve(kg, ST.VectorStore(embedded(s, d)), _by_id(s, d), seeds).withColumn("rank", F.col("rank").cast("int"))
 
 
 @query()
@@ -813,7 +947,7 @@ def h8_latency(s, d):
     return got.select(*(F.round(c, 6).alias(c) for c in ("mean", "median", "p95")))
 
 
-@query("with c as (select l_orderkey as qid, l_linenumber as pos, coalesce(case when l_partkey % 2 = 0 then p_name end, s_name) as t from lineitem left join part on p_partkey = l_partkey left join supplier on s_suppkey = l_suppkey), f as (select qid, t, min(pos) as pos from c group by all) select qid, string_agg(t, '|' order by pos) as titles from f group by 1")
+@query("with c as (select l_orderkey as qid, l_linenumber as pos, case when l_partkey % 2 = 0 then p_name end as name, l_suppkey as file, coalesce(case when l_partkey % 2 = 0 then p_name end, s_name) as t from lineitem left join part on p_partkey = l_partkey left join supplier on s_suppkey = l_suppkey), n as (select qid, t, row_number() over (partition by qid order by pos, name nulls first, file, t) as k from c), f as (select qid, t, min(k) as k from n group by all) select qid, string_agg(t, '|' order by k) as titles from f group by 1")
 def h9_attribute_chunks(s, d):
     chunks = table(s, d, "lineitem").select(F.col("l_orderkey").alias("qid"), F.col("l_linenumber").alias("pos"), F.when(F.col("l_partkey") % 2 == 0, F.col("l_partkey")).alias("part"), F.col("l_suppkey").alias("file"))
     parts = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))

@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from latticework.plans.queries import ORACLES, QUERIES
@@ -22,7 +23,7 @@ def rows(d):
     def show(v):
         if isinstance(v, (list, np.ndarray)):
             return str([show(x) for x in v])
-        if v is None or v != v:
+        if pd.isna(v):
             return "none"
         return f"{v:.5g}" if isinstance(v, float) else str(v)
 

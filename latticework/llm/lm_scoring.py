@@ -113,14 +113,19 @@ def shards_of(kind: int, shards: int) -> tuple[int, int]:
 
 
 def pack(x: np.ndarray, kind: type = np.int64) -> bytes:
-    """Numbers byte plane by byte plane, which compresses well where they are small."""
+    """Numbers byte plane by byte plane, compressed, with their count ahead."""
     x = x.astype(kind, copy=False)
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
+    return len(x).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(planes.data.cast("B"), asbytes=True) if len(x) else bytes(8)
 
 
 def unpack(data: pa.Scalar, kind: type = np.int64) -> np.ndarray:
-    x = np.frombuffer(data.as_buffer(), np.uint8)
-    return np.ascontiguousarray(x.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+    raw, size = data.as_buffer(), np.dtype(kind).itemsize
+    n = int.from_bytes(raw.slice(0, 8).to_pybytes(), "little")
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.Codec("zstd").decompress(raw.slice(8), n * size), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).reshape(-1)
 
 
 def _good(t: pa.Table, goods: pa.Scalar) -> np.ndarray:

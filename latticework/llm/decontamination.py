@@ -59,6 +59,7 @@ from latticework.session import scratch_path, ship, stash
 _OUT = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, verdict string"
 _BLOCK = 64  # terms in a row of partial sums
 _GROUP = 64  # parts that are added up at once
+_LAYERS = 24  # entries of a sparse row that are added one after the other
 
 
 @dataclass
@@ -94,6 +95,22 @@ def item_rows(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return item, first, np.where(k > 0, np.minimum(first + size, at[item + 1]), at[item + 1])
 
 
+def _add_rows(out: np.ndarray, to: np.ndarray, m: np.ndarray, of: np.ndarray, x: np.ndarray) -> None:
+    """out[to] += x m[of], for ascending `to`: first the first of each row, then the second, and so on, long rows as sums."""
+    if not len(to):
+        return
+    head = np.flatnonzero(np.diff(to, prepend=-1))
+    size = np.diff(np.append(head, len(to)))
+    for k in range(_LAYERS):
+        at = head[size > k] + k
+        if not len(at):
+            return
+        out[to[at]] += m[of[at]] * x[at][:, None]
+    for h, n in zip(head[size > _LAYERS].tolist(), size[size > _LAYERS].tolist()):
+        at = slice(h + _LAYERS, h + n)
+        out[to[h]] += x[at] @ m[of[at]]
+
+
 class Matrix:
     """TF-IDF rows of unit length: the frequent terms, which have the first numbers, as a dense part, the others as a sparse one."""
 
@@ -116,18 +133,14 @@ class Matrix:
 
     def times(self, m: np.ndarray) -> np.ndarray:
         out = self.dense @ m[: self.frequent]
-        if len(self.row):
-            head = np.flatnonzero(np.diff(self.row, prepend=-1))
-            out[self.row[head]] += np.add.reduceat(m[self.term] * self.x[:, None], head, axis=0)
+        _add_rows(out, self.row, m, self.term, self.x)
         return out
 
     def turned_times(self, y: np.ndarray, total: np.ndarray) -> None:
         """Add the product of the transposed matrix with y to total."""
         total[: self.frequent] += self.dense.T @ y
-        if len(self.row):
-            o = np.argsort(self.term, kind="stable")
-            head = np.flatnonzero(np.diff(self.term[o], prepend=-1))
-            total[self.term[o][head]] += np.add.reduceat(y[self.row[o]] * self.x[o][:, None], head, axis=0)
+        o = np.argsort(self.term, kind="stable")
+        _add_rows(total, self.term[o], y, self.row[o], self.x[o])
 
 
 def lcs(masks: dict[int, int], length: int, words: list[int]) -> int:
@@ -266,48 +279,69 @@ def right_vectors(g: np.ndarray, omega: np.ndarray, rank: int) -> np.ndarray:
     return u[:, : min(rank, int((s > 0).sum()))]
 
 
-def _candidates(blocks: list, row: np.ndarray, term: np.ndarray, rows: int, min_cosine: float, frequent: int) -> Iterator[tuple[int, int, float]]:
-    """Passage, item and the cosine of the two in the latent space of a block."""
+def _candidates(blocks: list, row: np.ndarray, term: np.ndarray, rows: int, min_cosine: float, frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Passages, items and the cosines of the two in the latent space of a block, ordered by item."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
     for to, idf, u, latent, item in blocks:
-        mine = to[term] >= 0
-        m = Matrix(row[mine], to[term[mine]], rows, idf, frequent)
+        local = to[term]
+        mine = local >= 0
+        m = Matrix(row[mine], local[mine], rows, idf, frequent)
         used = np.flatnonzero(m.used)
         y = m.times(u)[used]
         y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
         for k in range(0, len(used), 8192):
             cosine = y[k : k + 8192] @ latent
-            p, i = np.nonzero(cosine >= min_cosine)
-            c = cosine[p, i]
-            p, i = used[k + p], item[i]
-            o = np.lexsort((-c, i, p))  # of several rows of an item the nearest
-            o = o[np.concatenate([[True], (np.diff(p[o]) != 0) | (np.diff(i[o]) != 0)])[: len(o)]]
-            yield from zip(p[o].tolist(), i[o].tolist(), c[o].tolist())
+            p, i = np.divmod(np.flatnonzero(cosine >= min_cosine), cosine.shape[1])
+            found.append((used[k + p], item[i], cosine[p, i]))
+    p, i, c = (np.concatenate(x) for x in zip(*found))
+    o = np.lexsort((-c, p, i))  # of several rows of an item the nearest
+    p, i, c = p[o], i[o], c[o]
+    new = np.ones(len(p), bool)
+    new[1:] = (np.diff(p) != 0) | (np.diff(i) != 0)
+    return p[new], i[new], c[new]
 
 
 def _search(path: str, n_blocks: int, terms: np.ndarray, ids: list, texts: list, size: int, min_cosine: float, verbatim: float, paraphrase: float, frequent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = [tuple(np.asarray(load_array(f"{path}/{k}/{x}.npy")) for x in ("to", "idf", "u", "latent", "item")) for k in range(n_blocks)]
         items = Items(ids, texts, terms)
+        length = np.array([len(x) for x in items.words])
+        of_item = np.zeros(len(terms), bool)
         for batch in batches:
             for file in batch.column("path").to_pylist():
                 for doc, p in _places(file):
                     row, term, count = p.overlapping(size)
                     text_of = np.repeat(np.arange(len(count)), count)
                     first = ragged(count) * (size // 2)
+                    q, item, cosine = _candidates(blocks, row, term, len(text_of), min_cosine, frequent)
+                    t, n = text_of[q], length[item]
+                    # places of the widened passages
+                    key = np.repeat(np.arange(len(doc)), np.diff(p.at)) << 32 | p.spot
+                    low = np.searchsorted(key, t << 32 | np.maximum(first[q] - n, 0))
+                    high = np.searchsorted(key, t << 32 | (first[q] + size + n))
                     best: dict[tuple[int, int], tuple] = {}
-                    for q, i, cosine in _candidates(blocks, row, term, len(text_of), min_cosine, frequent):
-                        t, n = int(text_of[q]), len(items.words[i])
-                        a, z = p.at[t], p.at[t + 1]
-                        low, high = np.searchsorted(p.spot[a:z], (first[q] - n, first[q] + size + n))
-                        near = p.term[a + low : a + high].tolist()
+                    last = -1
+                    for t, i, n, low, high, c in zip(t.tolist(), item.tolist(), n.tolist(), low.tolist(), high.tolist(), cosine.tolist()):  # noqa: B020, PLW2901
+                        if i != last:
+                            if last >= 0:
+                                of_item[items.words[last]] = False
+                            of_item[items.words[i]] = True
+                            last = i
+                        near = p.term[low:high]
+                        near = near[of_item[near]]  # no other word can be in the common subsequence
+                        if len(near) < paraphrase * n:
+                            continue
+                        near = near.tolist()
                         share = lcs(items.masks[i], n, near) / n
                         if share < paraphrase:
                             continue
                         ans = lcs(items.answer_masks[i], len(items.answers[i]), near) / len(items.answers[i]) if items.answers[i] else 1.0
                         if share >= verbatim or ans >= paraphrase:
-                            one = (share, ans, cosine)
+                            one = (share, ans, c)
                             if (t, i) not in best or one > best[t, i]:
                                 best[t, i] = one
+                    if last >= 0:
+                        of_item[items.words[last]] = False
                     keys = sorted(best)
                     got = [best[x] for x in keys]
                     yield pa.RecordBatch.from_arrays(
@@ -356,7 +390,7 @@ def _fit(files: DataFrame, tasks: int, path: str, df: np.ndarray, idf: np.ndarra
 
 
 def matches(
-    docs: DataFrame, benchmark: DataFrame, size: int = 48, rank: int = 256, block_rows: int = 512, frequent: int = 256, min_cosine: float = 0.3,
+    docs: DataFrame, benchmark: DataFrame, size: int = 48, rank: int = 256, block_rows: int = 512, frequent: int = 512, min_cosine: float = 0.3,
     verbatim: float = 0.8, paraphrase: float = 0.6, most_terms: int = 1_000_000, seed: int = 11,
 ) -> DataFrame:
     """(doc_id, item_id, cosine, lcs_share, answer_share, verdict): every contaminated document with each item that it holds."""

@@ -1,5 +1,9 @@
 """Behaviours on small fixtures: planner, graph, entities, packing, corpora, streams."""
 
+import os
+import re
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,8 +16,11 @@ from latticework.operators import net as N
 from latticework.operators import packing as P
 from latticework.operators import scoring as S
 from latticework.operators import store as ST
+from latticework.plans import evaluate as E
 from latticework.plans import planner as PL
+from latticework.plans import queries as Q
 from latticework.sources import corpus as C
+from latticework.sources import vector_table as VT
 
 CHAIN = [
     ("acq", "Nimbus acquired Voxel.", [0.2, 0.9798, 0.0, 0.0], ("Nimbus", "acquired", "Voxel")),
@@ -387,6 +394,66 @@ def test_vector_table(spark, tmp_path):
     assert len(got) == 50 and got["7"] == "new" and got["8"] == "text 8"
     d.limit(3).write.format("vectortable").options(**opts).mode("overwrite").save()
     assert spark.read.format("vectortable").options(**opts).load().count() == 3
+    assert len([f for f in os.listdir(f"{tmp_path}/v/c") if f.endswith(".parquet")]) <= 3  # the old parts are gone
+
+
+def test_collection(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    d = spark.createDataFrame([(f"k{i:03d}", f"text {i}", rng.normal(size=8).tolist()) for i in range(60)], "id string, text string, vector array<float>")
+    c = VT.Collection.from_documents(d, f"{tmp_path}/v", "named", buckets=5, distances=True, embed=lambda t: V.hashed_embedding(t, 8))
+    store = ST.VectorStore(d)
+    q = d.limit(4).select(F.col("id").alias("qid"), "vector")
+    rows = lambda x: sorted((r.qid, r.id, round(r.similarity, 5), r["rank"]) for r in x.collect())
+    found = c.search(q, 5)
+    assert rows(found) == rows(store.search(q, 5)) and found.filter("abs(distance + similarity - 1) > 1e-9").isEmpty()
+    assert [r.nbr for r in c.neighbors("k007", 3).orderBy("rank").collect()] == [r.nbr for r in store.neighbors(d.filter("id = 'k007'"), 3).orderBy("rank").collect()]
+    c.upsert(spark.createDataFrame([("k007", "seven words here"), ("new", "a new one")], "id string, text string"))
+    assert c.get("k007").first().text == "seven words here" and c.get("k008").first().text == "text 8"
+    with pytest.raises(KeyError):
+        c.get("none")
+    assert c.dim == 8 and c.all_ids().count() == 61
+    pages = list(c.pages(25))
+    assert [len(p) for p in pages] == [25, 25, 11] and sum(pages, []) == sorted(sum(pages, []))
+    with pytest.raises(ValueError):
+        VT.Collection(spark, f"{tmp_path}/v", "none").upsert(d.drop("vector"))
+
+
+def test_hashed_embedding_is_that_of_plain_python(spark, sf):
+    for r in Q.documents(spark, sf).limit(50).withColumn("v", V.hashed_embedding(F.col("text"))).collect():
+        want = np.zeros(32)
+        for w in re.split(r"[ \t\n\x0b\f\r]+", r.text.lower()):
+            want[zlib.crc32(w.encode()) % 32] += bool(w)
+        assert np.allclose(r.v, want / max(np.linalg.norm(want), 1e-300))
+
+
+def test_chunks_without_a_title_fail(spark):
+    chunks = spark.createDataFrame([(1, 1, "A", None), (1, 1, "B", None), (1, 2, None, "f")], "qid int, pos int, name string, file string")
+    titles, files = spark.createDataFrame([("A",), ("B",)], "title string"), spark.createDataFrame([("f", "F")], "filename string, title string")
+    assert E.attribute_chunks(chunks, titles, files, ["name"], ["file"]).first().titles == ["A", "B", "F"]
+    with pytest.raises(Exception, match="cannot attribute"):
+        E.attribute_chunks(chunks, titles.limit(1), files, ["name"], ["file"]).collect()
+
+
+def test_two_planners_agree(spark, sf):
+    """Arrays in tasks against joins, over the smallest tables."""
+    q = Q._by_id(spark, sf).limit(6).cache()  # noqa: SLF001
+    near, far = (Q._planner(spark, sf, local_edges=n).retrieve(q, 4, explain=True, everything=True) for n in (1 << 30, 0))  # noqa: SLF001
+    a, b = ({(r.qid, r.node): (r.score, r.coherence, r.structural) for r in p.scored.collect()} for p in (near, far))
+    assert a.keys() == b.keys() and len(a) > 500
+    assert max(abs(x - y) for k in a for x, y in zip(a[k], b[k])) < 1e-6
+    assert sorted(map(tuple, near.paths.select("qid", "target", "hops").collect())) == sorted(map(tuple, far.paths.select("qid", "target", "hops").collect()))
+    assert near.paths.filter("qid is null or size(path) <> hops + 1").isEmpty()
+
+
+def test_path_tool(spark, kg, docs):
+    p = PL.Planner(ST.VectorStore(docs), kg=kg)
+    pairs = spark.createDataFrame([(1, "Voxel", "tromso"), (2, "Voxel", "Nobody at all"), (3, "Voxel", "Harvard")], "qid int, entity_a string, entity_b string")
+    got = {}
+    for r in p.path_between(pairs).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r)
+    assert got[1][0].connected and got[1][0].path[0] == "ent:voxel" and got[1][0].path[-1] == "ent:tromso" and got[1][0].labels[0] == "Voxel" and len(got[1]) <= 3
+    assert "Nobody at all" in got[2][0].error and got[2][0].connected is None
+    assert got[3][0].error is None and got[3][0].connected is False and got[3][0].path is None
 
 
 def test_stream_ingest(spark, tmp_path):
@@ -400,3 +467,8 @@ def test_stream_ingest(spark, tmp_path):
     want = K.build(spark.read.parquet(source)).edges.filter("kind = 'co_occurs'").select("src", "dst", "weight").collect()
     got = merged_edges(spark, f"{tmp_path}/out").select("src", "dst", "weight").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
+    # a newer version of a document without names takes its edges away
+    again = spark.createDataFrame([("1", "nobody at all"), ("1", "Another Version")], "id string, text string").withColumn("version", F.length("text"))
+    again.coalesce(1).write.parquet(f"{tmp_path}/in2")
+    ingest(spark.readStream.schema("id string, text string, version int").parquet(f"{tmp_path}/in2"), f"{tmp_path}/out2", f"{tmp_path}/check2").awaitTermination()
+    assert [r.node for r in spark.read.parquet(f"{tmp_path}/out2").collect()] == ["ent:another version"]

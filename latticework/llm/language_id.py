@@ -19,7 +19,7 @@ best path. At equal scores a path stays in its language, and otherwise takes
 the language that comes first by name.
 
 Defined results: a text without words (null, empty, symbols alone) gives one row
-with lang "und" and no words. Repeated rows are labelled each on their own; an
+with lang "und" and no words; one of digits alone a span of lang "und". Repeated rows are labelled each on their own; an
 empty table gives an empty result; with no labelled rows all Latin words are
 "und". Null languages are not trained on. Other columns are not read.
 """
@@ -118,8 +118,8 @@ class Model:
             s[_COMMON] = 0
             self.main.append(int(s.argmax()) if s.any() else _COMMON)
 
-    def scores(self, w: Words) -> tuple[list[str], np.ndarray]:
-        """Languages that may occur, by name, and the score of each for each word."""
+    def scores(self, w: Words) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages that may occur, by name, the score of each for each word, and which words are of a script."""
         script = scripts(w)
         present = [int(x) for x in np.unique(script) if x != _COMMON]
         usual = {USUAL[SCRIPTS[x]]: x for x in present if x not in self.main}
@@ -140,7 +140,7 @@ class Model:
             for s in (x for n, x in usual.items() if n == name):
                 may[s] = True
             out[word & ~may[script], k] = _NEVER
-        return names, out
+        return names, out, word
 
 
 def viterbi(score: np.ndarray, at: np.ndarray, penalty: float, block: int = 64) -> np.ndarray:
@@ -229,9 +229,12 @@ def _label(model: Model, penalty: float):
         for batch in slices(batches, "text"):
             w = split_words(batch.column("text"))
             doc = batch.column("doc_id")
-            langs, score = model.scores(w)
+            langs, score, known = model.scores(w)
             state = viterbi(score, w.at, penalty)
             owner = w.owner()
+            # digits alone are of no language, whatever other texts come in the same batch
+            langs, said = [*langs, "und"], np.bincount(owner[known], minlength=len(doc)) > 0
+            state = np.where(said[owner], state, len(langs) - 1)
             new = np.ones(len(state), bool)
             new[1:] = (state[1:] != state[:-1]) | (owner[1:] != owner[:-1])
             head = np.flatnonzero(new)

@@ -1,3 +1,6 @@
+import bisect
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -63,7 +66,7 @@ def test_mixed_text_is_cut_where_the_language_changes(spark, sf):
     held = docs.filter("doc_id % 2 = 1").select("doc_id", "lang", F.substring("text", 60, 300).alias("text"))
     en, de = held.filter("lang = 'en'").limit(20).toPandas(), held.filter("lang = 'de'").limit(5).toPandas()
     a, b = en["text"][0], de["text"][0]
-    names, score = model.scores(w := split_words(pa.array([a + " " + b])))
+    names, score, _ = model.scores(w := split_words(pa.array([a + " " + b])))
     path = L.viterbi(score, w.at, 12.0)
     cut = split_words(pa.array([a])).at[1]
     right = (np.array(names)[path] == np.where(np.arange(len(path)) < cut, "en", "de")).mean()
@@ -99,3 +102,52 @@ def test_sample_is_the_first_hashes_of_each_label(spark):
         want += [(lang, first[k]) for k in sorted(first)[:40]]
     for limit in (10, 0):
         assert sorted(tuple(r) for r in L.sample(docs, 40, limit, 3).collect()) == sorted(want)
+
+
+def plain_spans(model, text, penalty=12.0):
+    """The whole operator on one text, a word and a byte at a time."""
+    low = (text or "").lower()
+    words = [(m.start(), m.end()) for m in re.finditer(r"[0-9a-z\u0080-\U0010ffff]+", low)]
+    if not words:
+        return [("und", 0, 0, 0, 0)]
+    script = []
+    for a, z in words:
+        kinds = [L._RANGES[bisect.bisect_right([r[0] for r in L._RANGES], ord(c)) - 1][1] for c in low[a:z]]  # noqa: SLF001
+        script.append(next((k for k in kinds if k != "common"), None))
+    present = {k for k in script if k}
+    if not present:
+        return [("und", 0, len(words), words[0][0], words[-1][1])]
+    main = {lang: L.SCRIPTS[m] for lang, m in zip(model.langs, model.main)}
+    usual = {L.USUAL[k]: k for k in present if k not in main.values()}
+    names = sorted({*(x for x, m in main.items() if m in present), *usual})
+    score = np.zeros((len(words), len(names)), np.float32)
+    for t, ((a, z), k) in enumerate(zip(words, script)):
+        raw = b" " + low[a:z].encode() + b" "
+        for j, name in enumerate(names):
+            if k is None:
+                continue
+            if main.get(name) == k:
+                table = model.table[model.langs.index(name)]
+                score[t, j] = sum(float(table[((raw[i - 1] << 16 | raw[i] << 8 | raw[i + 1]) * 2654435761 & 0xFFFFFFFF) >> 16]) for i in range(1, len(raw) - 1))
+            elif usual.get(name) != k:
+                score[t, j] = -1e9
+    path = slow_viterbi(score, penalty)
+    out = []
+    for t, x in enumerate(path):
+        if t and x == path[t - 1]:
+            out[-1] = (*out[-1][:2], out[-1][2] + 1, out[-1][3], words[t][1])
+        else:
+            out.append((names[x], t, 1, *words[t]))
+    return out
+
+
+def test_query_equals_its_plain_version(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    model = L.fit(docs)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    rows += [(-1, "12 34 - 5"), (-2, "Das ist nicht der Anfang. Привет мир как дела 42"), (-3, rows[0][1][:200] + " 中文 12 " + rows[1][1][:200]), (-4, None), (-5, "7 λόγος")]
+    got = {}
+    for r in L.spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), model).orderBy("doc_id", "span").collect():
+        got.setdefault(r.doc_id, []).append((r.lang, r.first_word, r.n_words, r.char_start, r.char_end))
+    differs = [i for i, t in rows if got[i] != plain_spans(model, t)]
+    assert not differs

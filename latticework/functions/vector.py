@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -63,3 +65,40 @@ def _hashed(dim: int):
         return pd.Series(out, dtype=object)
 
     return embed
+
+
+#: Models that this worker has loaded, by embedder.
+_models: dict[str, Callable[[list[str]], np.ndarray]] = {}
+
+
+def model_embedder(load: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 64) -> Callable[[Column], Column]:
+    """An embedder from a function that loads a model of list[str] -> matrix: once in each Python worker, in batches, unit vectors of float32.
+
+    A null text gets no vector; a zero row stays as it is.
+    """
+    from pyspark.sql import SparkSession
+
+    from latticework.session import ship
+
+    ship(SparkSession.active())
+    key = uuid.uuid4().hex
+
+    @F.pandas_udf("array<float>")
+    def embed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from latticework.functions import vector
+
+        if key not in vector._models:
+            vector._models[key] = load()
+        model = vector._models[key]
+        for s in texts:
+            out = pd.Series([None] * len(s), dtype=object)
+            some = np.flatnonzero(s.notna())
+            for k in range(0, len(some), batch):
+                at = some[k : k + batch]
+                x = np.asarray(model(s.iloc[at].tolist()), np.float64)
+                x = x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) > 0, n, 1)
+                for i, v in zip(at, x.astype(np.float32)):
+                    out.iat[i] = v
+            yield out
+
+    return embed

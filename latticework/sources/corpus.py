@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from latticework.operators import kg as K
 from latticework.operators.store import VectorStore
 from latticework.plans.planner import Planner, PlannerConfig
+from latticework.session import stash
 
 FORMAT_VERSION = 1
 TABLES = ("nodes", "edges", "mentions", "entities", "aliases")
@@ -115,6 +116,24 @@ def ingest_batches(batches: DataFrame, ledger: DataFrame) -> DataFrame:
     return batches.join(ledger.select("batch_id"), "batch_id", "left_anti")
 
 
+def ingest_resumable(batches: DataFrame, path: str, ledger: str) -> int:
+    """Write the batches(batch_id, ...) that are not in the ledger below path, then note them there; how many there were.
+
+    A batch's rows are a folder of its own, so that one which was written but not
+    noted, as a run ended in between, is written again and not twice.
+    """
+    spark = batches.sparkSession
+    try:
+        done = spark.read.parquet(ledger)
+    except AnalysisException:
+        done = spark.createDataFrame([], batches.select("batch_id").schema)
+    todo = ingest_batches(batches, done)
+    todo.write.partitionBy("batch_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    ids = stash(todo.select("batch_id").distinct(), "batches")
+    ids.write.mode("append").parquet(ledger)
+    return ids.count()
+
+
 def manifest(pool: DataFrame) -> DataFrame:
     """pool(title, text): (title, filename, n_words, body) of Markdown files; names that clash get __2, __3, ... by title."""
     from pyspark.sql import Window

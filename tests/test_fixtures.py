@@ -472,3 +472,31 @@ def test_stream_ingest(spark, tmp_path):
     again.coalesce(1).write.parquet(f"{tmp_path}/in2")
     ingest(spark.readStream.schema("id string, text string, version int").parquet(f"{tmp_path}/in2"), f"{tmp_path}/out2", f"{tmp_path}/check2").awaitTermination()
     assert [r.node for r in spark.read.parquet(f"{tmp_path}/out2").collect()] == ["ent:another version"]
+
+
+def test_ledger(spark, tmp_path):
+    rows = spark.createDataFrame([(k % 4, k) for k in range(40)], "batch_id int, x int")
+    at, ledger = f"{tmp_path}/out", f"{tmp_path}/ledger"
+    assert C.ingest_resumable(rows.filter("batch_id < 2"), at, ledger) == 2
+    assert C.ingest_resumable(rows, at, ledger) == 2 and C.ingest_resumable(rows, at, ledger) == 0
+    assert sorted(r.x for r in spark.read.parquet(at).collect()) == list(range(40))
+    # a batch that was written but not noted is not doubled
+    spark.createDataFrame([(7, 100), (7, 101)], "batch_id int, x int").write.partitionBy("batch_id").mode("append").parquet(at)
+    assert C.ingest_resumable(rows.union(spark.createDataFrame([(7, 100), (7, 101)], rows.schema)), at, ledger) == 1
+    assert spark.read.parquet(at).filter("batch_id = 7").count() == 2
+
+
+def test_model_embedder_loads_once_in_a_worker(spark, tmp_path):
+    log = f"{tmp_path}/loads"
+
+    def load():
+        with open(log, "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return lambda texts: np.array([[len(t), 1.0] for t in texts])
+
+    embed = V.model_embedder(load, batch=3)
+    d = spark.createDataFrame([(str(i), "x" * i if i % 5 else None) for i in range(1, 41)], "id string, text string").repartition(8)
+    got = {r.id: r.v for r in d.withColumn("v", embed("text")).collect()}
+    assert got["10"] is None and np.allclose(got["3"], np.array([3, 1]) / np.sqrt(10))
+    pids = open(log).read().split()
+    assert len(pids) == len(set(pids))

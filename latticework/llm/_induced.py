@@ -4,11 +4,15 @@ The suffixes that begin a new rise of the text (the LMS suffixes) are sorted
 first: their substrings are named in order, and where names repeat the text of
 names is sorted by recursion. From them all falling suffixes are induced in
 ascending order, and from those all rising ones in descending order. Suffix
-tuples (symbol, rank of the suffix one further, position) wait in a priority
-queue over ranges of symbols, which spills to files beyond a bound of tuples.
-Common-prefix values go along with the order: two neighbours induced from the
-ranks r < s share 1 + min(values of r+1..s) symbols, where the values so far are
-kept with a table for range minima.
+tuples (symbol, rank of the suffix one further, position, common prefix with the
+tuple of the same symbol before it) wait in a priority queue over ranges of
+symbols, which spills to files beyond a bound of tuples.
+
+Common-prefix values go along with the tuples: two neighbours induced from the
+ranks r < s share 1 + min(values of r+1..s) symbols. As values count up to a cap
+only, it is enough to know for each value where one as small came last; no table
+over the whole order is kept. The text, and the order that is its result, are
+arrays.
 
 Tuples are taken out in batches: as long as no tuple that the batch adds comes
 before the batch's end, its order is final and numpy handles it at once.
@@ -82,6 +86,29 @@ class RangeMinima:
         return out
 
 
+class Recent:
+    """Minima, up to a cap, over the last values of a sequence: for each value, where one as small came last."""
+
+    def __init__(self, cap: int) -> None:
+        self.at = np.full(cap + 1, -1, np.int64)
+        self.n = 0
+
+    def append(self, values: np.ndarray, spot: np.ndarray, since: np.ndarray) -> np.ndarray:
+        """Add values; for each spot among them the least value after the rank `since`, up to that of the spot."""
+        rank = self.n + np.arange(len(values))
+        out = np.zeros(len(spot), np.int64)
+        for k in range(0, len(values), _ROWS):
+            own = values[k : k + _ROWS]
+            table = np.where(own[:, None] <= np.arange(len(self.at)), rank[k : k + _ROWS, None], -1)
+            np.maximum(table[0], self.at, out=table[0])
+            np.maximum.accumulate(table, axis=0, out=table)
+            mine = np.flatnonzero((spot >= k) & (spot < k + len(own)))
+            out[mine] = (table[spot[mine] - k] > since[mine, None]).argmax(1)
+            self.at = table[-1].copy()
+        self.n += len(values)
+        return out
+
+
 class Spill:
     """Files of one task below a folder that the cluster shares."""
 
@@ -109,9 +136,10 @@ class Spill:
             self.fs.delete_dir(self.folder)
 
 
-#: A suffix tuple is (symbol << _SHIFT | rank, position).
+#: A suffix tuple is (symbol << _SHIFT | rank, position, common prefix).
 _SHIFT = 36
 _WINDOW = 2048
+_ROWS = 512
 
 
 class DiskQueue:
@@ -149,12 +177,12 @@ class DiskQueue:
             self.runs.append((self.spill.write(np.concatenate([y for x in keys for y in self.held[x]])), np.cumsum(sizes)))
             self.held, self.n_held = {}, 0
 
-    def pop(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """All tuples of range k so far, in order: keys and positions."""
+    def pop(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All tuples of range k so far, in order: keys, positions and common prefixes."""
         parts = self.held.pop(k, [])
         self.n_held -= sum(map(len, parts))
-        pair = np.dtype((np.int64, 2))
-        parts += [self.spill.read(path, pair, int(at[k]), int(at[k + 1])).reshape(-1, 2) for path, at in self.runs if at[k + 1] > at[k]]
+        triple = np.dtype((np.int64, 3))
+        parts += [self.spill.read(path, triple, int(at[k]), int(at[k + 1])).reshape(-1, 3) for path, at in self.runs if at[k + 1] > at[k]]
         if self.fresh:
             t = np.concatenate(self.fresh) if len(self.fresh) > 1 else self.fresh[0]
             mine = t[:, 0] >= self.cuts[k]
@@ -165,10 +193,10 @@ class DiskQueue:
                 t = t[~mine]
             self.fresh, self.n_fresh = [t], len(t)
         if not parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         t = np.concatenate(parts)
         o = np.argsort(t[:, 0])
-        return t[o, 0], t[o, 1]
+        return t[o, 0], t[o, 1], t[o, 2]
 
 
 def _induce(symbol: np.ndarray, wanted: np.ndarray, run: np.ndarray, back: np.ndarray, given: np.ndarray, given_lcp: np.ndarray, cap: int, memory: int, spill: Spill) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,7 +209,9 @@ def _induce(symbol: np.ndarray, wanted: np.ndarray, run: np.ndarray, back: np.nd
     """
     total = int(wanted.sum()) + len(given)
     dtype = np.uint8 if cap < 255 else np.int32
-    values = RangeMinima(total, dtype)
+    values = np.empty(total, dtype)
+    recent = Recent(cap)
+    pushed = np.full(int(symbol.max()) + 1, -1, np.int64)  # the rank that each symbol's last tuple came from
     order, is_new = np.empty(total, np.int64), np.empty(total, bool)
     sizes = np.bincount(symbol[wanted], minlength=int(symbol.max()) + 1)
     cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // 4096, prepend=-1))
@@ -190,12 +220,12 @@ def _induce(symbol: np.ndarray, wanted: np.ndarray, run: np.ndarray, back: np.nd
     queue = DiskQueue(cuts, memory, spill)
     g_symbol = symbol[given]
     g_from = np.searchsorted(g_symbol, cuts)
-    last = (-1, True, 0, 0)  # symbol, wanted, rank that it came from, position
+    last = (-1, True, 0)  # symbol, wanted, position
     n = 0
     for k in range(len(cuts)):
         g, g_end = int(g_from[k]), int(g_from[k + 1]) if k + 1 < len(cuts) else len(given)
         high = int(cuts[k + 1]) if k + 1 < len(cuts) else np.iinfo(np.int64).max
-        key, pos = queue.pop(k)
+        key, pos, shared = queue.pop(k)
         while len(key) or g < g_end:
             # tuples come before the given suffixes of their symbol
             a, b = key[:_WINDOW], g_symbol[g : min(g_end, g + _WINDOW)]
@@ -207,7 +237,8 @@ def _induce(symbol: np.ndarray, wanted: np.ndarray, run: np.ndarray, back: np.nd
             new = np.zeros(len(c), bool)
             new[: len(a)] = True
             at = np.concatenate([pos[: len(a)], given[g : g + len(b)]])
-            came = np.concatenate([a & ((1 << _SHIFT) - 1), np.arange(g, g + len(b))])
+            # of tuples the common prefix, of given suffixes their number
+            came = np.concatenate([shared[: len(a)], np.arange(g, g + len(b))])
             if len(a) and len(b):
                 o = np.argsort(c, kind="stable")
                 c, new, at, came = c[o], new[o], at[o], came[o]
@@ -222,15 +253,17 @@ def _induce(symbol: np.ndarray, wanted: np.ndarray, run: np.ndarray, back: np.nd
                 twin = c[own.argmax()]
                 if twin == c[0]:
                     used = int(np.searchsorted(key, (twin + 1) << _SHIFT))
-                    at, came, lcp, brings = _with_runs(pos[:used], key[:used] & ((1 << _SHIFT) - 1), back, values, last[2] if last[0] == twin else -1, cap)
+                    at, lcp, brings = _with_runs(pos[:used], shared[:used], back, cap)
                     i = np.flatnonzero(brings)
                     i = i[at[i] > 0]
                     i = i[wanted[at[i] - 1]]
-                    values.append(lcp)
+                    values[n : n + len(at)] = lcp
                     order[n : n + len(at)], is_new[n : n + len(at)] = at, True
-                    last = (int(twin), True, int(came[-1]), int(at[-1]))
-                    key, pos = key[used:], pos[used:]
-                    key, pos = _bring(symbol[at[i] - 1], n + i, at[i] - 1, high, key, pos, queue)
+                    last = (int(twin), True, int(at[-1]))
+                    key, pos, shared = key[used:], pos[used:], shared[used:]
+                    target = symbol[at[i] - 1]
+                    more = _shared(recent, lcp, i, target, pushed, cap)
+                    key, pos, shared = _bring(target, n + i, at[i] - 1, more, high, key, pos, shared, queue)
                     n += len(at)
                     continue
                 m = min(m, int(np.searchsorted(c, twin)))
@@ -242,56 +275,69 @@ def _induce(symbol: np.ndarray, wanted: np.ndarray, run: np.ndarray, back: np.nd
             inside[0], inside[1:] = last[0] == c[0], c[1:] == c[:-1]
             if inside.any():
                 i = np.flatnonzero(inside)
-                pn, pr, pp = (np.concatenate([[x], y[:-1]])[i] for x, y in zip(last[1:], (new, came, at)))
+                pn, pp = (np.concatenate([[x], y[:-1]])[i] for x, y in zip(last[1:], (new, at)))
                 ni, ci, ai = new[i], came[i], at[i]
-                if ni.any():
-                    lcp[i[ni]] = np.minimum(1 + values.query(pr[ni] + 1, ci[ni]).astype(np.int64), cap)
+                lcp[i[ni]] = ci[ni]
                 if not ni.all():
                     q = ~ni & pn
                     lcp[i[q]] = np.minimum(np.minimum(run[pp[q]], run[ai[q]]), cap)
                     q = ~ni & ~pn
                     lcp[i[q]] = given_lcp[ci[q]]
-            values.append(lcp)
+            values[n : n + m] = lcp
             order[n : n + m], is_new[n : n + m] = at, new
-            last = (int(c[-1]), bool(new[-1]), int(came[-1]), int(at[-1]))
+            last = (int(c[-1]), bool(new[-1]), int(at[-1]))
             # what the batch brings in
             used = int(new.sum())
-            key, pos, g = key[used:], pos[used:], g + m - used
+            key, pos, shared, g = key[used:], pos[used:], shared[used:], g + m - used
             i = np.flatnonzero(brings)
-            key, pos = _bring(target[i], n + i, at[i] - 1, high, key, pos, queue)
+            more = _shared(recent, lcp, i, target[i], pushed, cap)
+            key, pos, shared = _bring(target[i], n + i, at[i] - 1, more, high, key, pos, shared, queue)
             n += m
-    return order[:n], values.values[:n].astype(np.int64), is_new[:n]
-
-
-def _bring(target: np.ndarray, rank: np.ndarray, at: np.ndarray, high: int, key: np.ndarray, pos: np.ndarray, queue: DiskQueue) -> tuple[np.ndarray, np.ndarray]:
+    return order[:n], values[:n].astype(np.int64), is_new[:n]
+
+
+def _shared(recent: Recent, lcp: np.ndarray, spot: np.ndarray, target: np.ndarray, pushed: np.ndarray, cap: int) -> np.ndarray:
+    """Add a batch's values; the common prefix of each tuple that its spots bring in with the tuple of the same symbol before it."""
+    rank = recent.n + spot
+    o = np.argsort(target, kind="stable")
+    before = np.empty(len(spot), np.int64)
+    t, r = target[o], rank[o]
+    same = np.zeros(len(o), bool)
+    same[1:] = t[1:] == t[:-1]
+    b = pushed[t]
+    b[same] = r[:-1][same[1:]]
+    before[o] = b
+    ends = np.flatnonzero(np.append(~same[1:], True)) if len(o) else o
+    pushed[t[ends]] = r[ends]
+    least = recent.append(lcp, spot, before)
+    return np.where(before >= 0, np.minimum(1 + least, cap), 0)
+
+
+def _bring(target: np.ndarray, rank: np.ndarray, at: np.ndarray, lcp: np.ndarray, high: int, key: np.ndarray, pos: np.ndarray, shared: np.ndarray, queue: DiskQueue) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """New tuples: those of the range at hand go into its order, the others wait."""
     if not len(at):
-        return key, pos
-    t = np.empty((len(at), 2), np.int64)
-    t[:, 0], t[:, 1] = target << _SHIFT | rank, at
+        return key, pos, shared
+    t = np.empty((len(at), 3), np.int64)
+    t[:, 0], t[:, 1], t[:, 2] = target << _SHIFT | rank, at, lcp
     here = target < high
     if here.any():
         more = t[here]
         if len(more) > 1:
             more = more[np.argsort(more[:, 0])]
         spot = np.searchsorted(key, more[:, 0])
-        key, pos = np.insert(key, spot, more[:, 0]), np.insert(pos, spot, more[:, 1])
+        key, pos, shared = (np.insert(x, spot, more[:, j]) for j, x in enumerate((key, pos, shared)))
         t = t[~here]
     queue.push(t)
-    return key, pos
+    return key, pos, shared
 
 
-def _with_runs(at: np.ndarray, came: np.ndarray, back: np.ndarray, values: RangeMinima, before: int, cap: int) -> tuple[np.ndarray, ...]:
+def _with_runs(at: np.ndarray, first: np.ndarray, back: np.ndarray, cap: int) -> tuple[np.ndarray, ...]:
     """A symbol's tuples together with all that they bring in before them in runs of that symbol.
 
     Suffixes with one more of the symbol come after all with one less, in the
-    same order. before: the rank that the last suffix of this symbol came from,
-    or -1. Returns positions, ranks, common prefixes, and which end their run.
+    same order. first: the tuples' common prefixes. Returns positions, common
+    prefixes, and which end their run.
     """
-    first = np.zeros(len(at), np.int64)
-    if before >= 0:
-        first[0] = min(1 + int(values.query(np.array([before + 1]), came[:1])[0]), cap)
-    first[1:] = np.minimum(1 + values.query(came[:-1] + 1, came[1:]).astype(np.int64), cap)
     more = back[at]
     who = np.repeat(np.arange(len(at)), more + 1)
     level = np.arange(len(who)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
@@ -305,7 +351,7 @@ def _with_runs(at: np.ndarray, came: np.ndarray, back: np.ndarray, values: Range
     value = level[1:].copy()
     value[same] += between.query(who[:-1][same] + 1, who[1:][same])
     lcp[1:] = np.minimum(value, cap)
-    return at[who] - level, came[who], lcp, level == more[who]
+    return at[who] - level, lcp, level == more[who]
 
 
 def _names(text: np.ndarray, rising: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -307,7 +307,7 @@ def _runs(own: np.ndarray, offset: np.ndarray, source: np.ndarray, rows: np.ndar
     )
 
 
-def windows(docs: DataFrame, min_words: int = 50, gram: int = 16, memory: int = 4_000_000, shard_words: int = 400_000, hot_rows: int = 10_000) -> DataFrame:
+def windows(docs: DataFrame, min_words: int = 50, gram: int = 16, memory: int = 4_000_000, shard_words: int = 200_000, hot_rows: int = 10_000) -> DataFrame:
     """(doc_id, text_key, first, windows, source): runs of repeated windows; rows may overlap."""
     if not 0 < gram <= min_words:
         raise ValueError("gram must be between 1 and min_words")
@@ -353,7 +353,7 @@ def _merged(found: DataFrame, min_words: int) -> DataFrame:
     return d.groupBy("doc_id", "text_key", "island").agg(F.min("first").alias("first_word"), F.max("end").alias("end_word"), F.min("source").alias("source_doc"))
 
 
-def repeats(docs: DataFrame, min_words: int = 50, gram: int = 16, memory: int = 4_000_000, shard_words: int = 400_000, hot_rows: int = 10_000) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = 50, gram: int = 16, memory: int = 4_000_000, shard_words: int = 200_000, hot_rows: int = 10_000) -> DataFrame:
     """(doc_id, first_word, end_word, source_doc): every repeated passage but its first occurrence."""
     return _merged(windows(docs, min_words, gram, memory, shard_words, hot_rows), min_words).select("doc_id", "first_word", "end_word", "source_doc")
 
@@ -380,7 +380,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
 
-def apply(docs: DataFrame, min_words: int = 50, gram: int = 16, memory: int = 4_000_000, shard_words: int = 400_000, hot_rows: int = 10_000) -> DataFrame:
+def apply(docs: DataFrame, min_words: int = 50, gram: int = 16, memory: int = 4_000_000, shard_words: int = 200_000, hot_rows: int = 10_000) -> DataFrame:
     """Documents without their repeated passages; a document of which no word is left goes."""
     names = docs.columns
     spans = _merged(windows(docs, min_words, gram, memory, shard_words, hot_rows), min_words)

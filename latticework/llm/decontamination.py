@@ -223,7 +223,7 @@ def _spool(path: str, terms: np.ndarray, size: int, most: int = 12_000_000):
     return run
 
 
-def _places(file: str, words: int = 300_000) -> Iterator[tuple[pa.Array, Places]]:
+def _places(file: str, words: int = 100_000) -> Iterator[tuple[pa.Array, Places]]:
     """Some documents of a file at a time: their ids and places."""
     for b in read_file(file).combine_chunks().to_batches():
         upto = np.cumsum(np.asarray(b.column("n_words")).astype(np.int64)) // words

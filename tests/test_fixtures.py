@@ -500,3 +500,21 @@ def test_model_embedder_loads_once_in_a_worker(spark, tmp_path):
     assert got["10"] is None and np.allclose(got["3"], np.array([3, 1]) / np.sqrt(10))
     pids = open(log).read().split()
     assert len(pids) == len(set(pids))
+
+
+def test_hops_leave_out_what_was_seen_and_follow_the_bridge(spark, plan, docs, kg):
+    p = plan(weights=S.Weights(0.0, 1.0, 0.0), use_convergence=False)
+    q = spark.createDataFrame([("q", "Who leads Voxel?", [1.0, 0.0, 0.0, 0.0])], "qid string, text string, vector array<double>")
+    first, second = p.iterate([(q, []), (q, ["Elena"])], top_k=1)
+    a, b = (x.sources.first() for x in (first, second))
+    assert a.node == "acq" and b.node not in (a.node, "distract")
+    assert second.scored.filter("node = 'acq'").isEmpty() and [r.node for r in second.seeds.orderBy("pos").collect()][0] == "ent:elena"
+
+
+def test_arms_of_the_ablation(spark, sf):
+    q, p = Q._by_id(spark, sf).limit(4).cache(), Q._planner(spark, sf)  # noqa: SLF001
+    got = p.ablation(q, 5)
+    for arm, config in (("baseline", {"use_convergence": False}), ("both", {"hub_discount": 1.0})):
+        want = Q._planner(spark, sf, **config).retrieve(q, 5, explain=False).scored.filter("rank < 5").select("qid", "node", "rank")  # noqa: SLF001
+        assert sorted(map(tuple, got.filter(F.col("arm") == arm).select("qid", "node", "rank").collect())) == sorted(map(tuple, want.collect()))
+    assert got.groupBy("arm").count().count() == 4

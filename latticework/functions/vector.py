@@ -29,15 +29,19 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def _over(v: Column, n: Column) -> Column:
+    """v / n, where n is bound as a variable, so that it is computed once and not for each element."""
+    return F.transform(F.array(n), lambda k: F.transform(doubles(v), lambda x: x / k))[0]
+
+
 def unit(v: Column) -> Column:
     """Of length 1; a zero vector stays."""
     n = norm(doubles(v))
-    return F.transform(doubles(v), lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    return _over(v, F.when(n == 0, F.lit(1.0)).otherwise(n))
 
 
 def query_unit(v: Column) -> Column:
-    n = F.greatest(norm(doubles(v)), F.lit(1e-12))
-    return F.transform(doubles(v), lambda x: x / n)
+    return _over(v, F.greatest(norm(doubles(v)), F.lit(1e-12)))
 
 
 def cosine(unit_a: Column, unit_b: Column) -> Column:

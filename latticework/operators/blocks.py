@@ -1,4 +1,4 @@
-"""Exact top-k of dot products between two tables of vectors, block against block.
+"""Exact top-k of cosines between two tables of vectors, block against block.
 
 Each table is written once to the shared folder as blocks, ordered by name. What
 Spark shuffles after that are numbers of blocks: a task takes one block of the
@@ -47,9 +47,11 @@ class Blocks:
 
 
 def load(file: str) -> tuple[pa.Array, np.ndarray]:
+    """Keys and vectors of a block, these of length 1; a zero vector stays."""
     t = blobs.read(file)
-    v = t.column("v").combine_chunks()
-    return t.column("k").combine_chunks(), v.flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1 if len(t) else 0)
+    v = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1 if len(t) else 0)
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return t.column("k").combine_chunks(), v / np.where(n > 0, n, 1.0)
 
 
 def best_of(s: np.ndarray, k: int) -> np.ndarray:
@@ -104,7 +106,7 @@ def _search(left: str, right: str, k: int, others_only: bool):
 
 
 def top_products(left: Blocks, right: Blocks, k: int, spark, others_only: bool = False) -> DataFrame:
-    """(id, nbr, sim, rank from 1): the k greatest products for each key of left, ties by that of right.
+    """(id, nbr, sim, rank from 1): the k greatest cosines for each key of left, ties by that of right.
 
     others_only: a row is not compared with the one of its own name.
     """

@@ -138,11 +138,12 @@ def cooccurrence(mentions: DataFrame) -> DataFrame:
     return pairs.groupBy("src", "dst").agg(F.count("*").alias("weight")).select("src", "dst", F.lit("co_occurs").alias("kind"), "weight")
 
 
-def build(docs: DataFrame, extractor: Callable[[Column], Column] | None = None, links: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> KnowledgeGraph:
-    """The graph of docs(id, text) from capitalised words, or what the extractor finds. links: (mention, canonical), or a function of mentions that gives them, instead of the collapse within documents."""
+def build(docs: DataFrame, extractor: Callable[[Column], Column] | None = None, links: DataFrame | Callable[[DataFrame], DataFrame] | None = None, eager: bool = False) -> KnowledgeGraph:
+    """The graph of docs(id, text) from capitalised words, or what the extractor finds. eager: the mentions are computed at once, for all tables. links: (mention, canonical), or a function of mentions that gives them, instead of the collapse within documents."""
     mentions = extract_mentions(docs, extractor or rule_extractor())
     if links is None:
         c = collapse_within(mentions)
+        c = stash(c, "collapsed") if eager else c
         # every canonical keeps its own forms; a kept one also gets those of what it absorbed
         displays = c.select("canonical", F.col("mention").alias("display")).union(c.select("kept", "mention")).distinct()
         return _bundle(docs, c.select("doc_id", F.col("kept").alias("canonical")).distinct(), displays, None)
@@ -197,10 +198,10 @@ def build_from_triples(docs: DataFrame, t: DataFrame, links: DataFrame | None =
     return _bundle(docs, ends.select("doc_id", F.col("x.c").alias("canonical")).distinct(), displays, relations(c))
 
 
-def _grams(c: str) -> Column:
-    """The different runs of 1, 2 and 3 characters of a text that is not empty."""
-    start = F.sequence(F.lit(1), F.length(c))
-    return F.array_distinct(F.flatten(F.transform(start, lambda i: F.array(*(F.substring(F.col(c), i, F.lit(k)) for k in (1, 2, 3))))))
+def _grams(d: DataFrame, c: str) -> DataFrame:
+    """Rows with `gram`, each run of 1, 2 and 3 characters of a column that is not empty."""
+    at = d.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length(c))))
+    return at.withColumn("gram", F.explode(F.array(*(F.substring(F.col(c), F.col("_at"), F.lit(k)) for k in (1, 2, 3))))).drop("_at")
 
 
 def resolve(kg: KnowledgeGraph, mentions: DataFrame, allow_substring: bool = True) -> DataFrame:
@@ -218,8 +219,8 @@ def resolve(kg: KnowledgeGraph, mentions: DataFrame, allow_substring: bool = Tru
     e = kg.entities.select("canonical", "node", "label").filter("canonical <> ''")
     # what lies in another has its first 3 characters there, or all of them if it has fewer; an index of those finds the candidates
     head = lambda x: F.substring(x, 1, 3)
-    inside = rest.select("c", head("c").alias("gram")).join(e.select("*", F.explode(_grams("canonical")).alias("gram")), "gram").filter(F.contains("canonical", "c"))
-    around = rest.select("c", F.explode(_grams("c")).alias("gram")).join(e.select("*", head("canonical").alias("gram")), "gram").filter(F.contains("c", "canonical"))
+    inside = rest.select("c", head("c").alias("gram")).join(_grams(e, "canonical"), "gram").filter(F.contains("canonical", "c"))
+    around = _grams(rest, "c").join(e.select("*", head("canonical").alias("gram")), "gram").filter(F.contains("c", "canonical"))
     near = inside.select("c", "node", "label").unionByName(around.select("c", "node", "label"))
     best = near.groupBy("c").agg(F.min_by("node", F.struct(-F.length("label"), F.col("node"))).alias("n3"))
     return m.join(best, "c", "left").select("qid", "pos", "mention", F.coalesce("hit", "n3").alias("node"))

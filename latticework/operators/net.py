@@ -47,6 +47,10 @@ class Net:
         # where the mentions of each document, the documents of each entity, and the edges to each node start
         self.doc_heads, self.ent_heads, self.dst_heads = (np.flatnonzero(np.diff(x, prepend=-1)) for x in (self.m_doc, self.m_ent[self.by_ent], self.dst))
         self.docs_of = np.bincount(self.m_ent, minlength=self.n)
+        self.m_doc_by_ent = self.m_doc[self.by_ent]
+        # the documents and the entities that have mentions, in order
+        self.docs, self.ents = self.m_doc[self.doc_heads], self.m_ent[self.by_ent][self.ent_heads]
+        self.share = self.discount / np.where(self.strength > 0, self.strength, 1.0)
         self.loose = self.strength == 0
         self.loose[self.src] = False
         if not self.documents[0]:
@@ -62,10 +66,14 @@ class Net:
         """Mass after one step along all edges."""
         out = np.bincount(self.dst, weights=self.p * x[self.src], minlength=self.n) if len(self.src) else np.zeros(self.n)
         if len(self.m_doc):
-            u = self.discount * x / np.where(self.strength > 0, self.strength, 1.0)
-            to_docs = np.bincount(self.m_doc, weights=u[self.m_ent], minlength=self.n)
-            back = np.bincount(self.m_ent, weights=(to_docs + u)[self.m_doc], minlength=self.n)
-            out += self.documents[0] * to_docs + self.discount * (back - self.docs_of * u)
+            u = self.share * x
+            to_docs = np.add.reduceat(u[self.m_ent], self.doc_heads)
+            both = u.copy()
+            both[self.docs] += to_docs
+            back = np.add.reduceat(both[self.m_doc_by_ent], self.ent_heads)
+            if self.documents[0]:
+                out[self.docs] += to_docs
+            out[self.ents] += self.discount[self.ents] * (back - self.docs_of[self.ents] * u[self.ents])
         return out
 
     def walk(self, r: np.ndarray, config: WalkConfig) -> np.ndarray:
@@ -95,11 +103,10 @@ class Net:
         out = np.full(self.n, _FAR)
         if len(self.m_doc):
             of_doc = np.minimum.reduceat(k[self.m_ent], self.doc_heads)
-            docs = self.m_doc[self.doc_heads]
-            out[docs] = of_doc
+            out[self.docs] = of_doc
             through = k.copy()
-            through[docs] = np.minimum(k[docs], of_doc)
-            out[self.m_ent[self.by_ent][self.ent_heads]] = np.minimum.reduceat(through[self.m_doc[self.by_ent]], self.ent_heads)
+            through[self.docs] = np.minimum(k[self.docs], of_doc)
+            out[self.ents] = np.minimum.reduceat(through[self.m_doc_by_ent], self.ent_heads)
         if len(self.src):
             to = self.dst[self.dst_heads]
             out[to] = np.minimum(out[to], np.minimum.reduceat(k[self.src], self.dst_heads))

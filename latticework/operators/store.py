@@ -30,9 +30,9 @@ class VectorStore:
 
     @property
     def blocks(self) -> Blocks:
-        """The unit vectors in the shared folder, written once for all searches."""
+        """The vectors in the shared folder, written once for all searches."""
         if self._blocks is None:
-            self._blocks = Blocks.of(self.units, "id", "u")
+            self._blocks = Blocks.of(self.docs, "id", "vector")
         return self._blocks
 
     @classmethod
@@ -52,7 +52,7 @@ class VectorStore:
 
     def search(self, queries: DataFrame, top_k: int = 10) -> DataFrame:
         """queries(qid, vector): (qid, id, similarity, rank from 0), the nearest documents of each query."""
-        q = Blocks.of(queries.select(F.col("qid").alias("id"), query_unit(F.col("vector")).alias("u")), "id", "u")
+        q = Blocks.of(queries, "qid", "vector")
         best = top_products(q, self.blocks, top_k, self.docs.sparkSession)
         return best.select(F.col("id").alias("qid"), F.col("nbr").alias("id"), F.col("sim").alias("similarity"), (F.col("rank") - 1).alias("rank"))
 
@@ -80,7 +80,7 @@ class VectorStore:
 
     def neighbors(self, ids: DataFrame, k: int | None = None) -> DataFrame:
         """(id, nbr, rank, sim) of some documents."""
-        some = Blocks.of(self.units.join(ids.select(F.col("id").cast("string")).distinct(), "id", "left_semi"), "id", "u")
+        some = Blocks.of(self.docs.join(ids.select(F.col("id").cast("string")).distinct(), "id", "left_semi"), "id", "vector")
         return top_products(some, self.blocks, k or self.k, self.docs.sparkSession, others_only=True)
 
     def approximate_neighbors(self, threshold: float, buckets: float | None = None, tables: int = 4) -> DataFrame:

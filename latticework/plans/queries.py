@@ -573,7 +573,7 @@ def e6_hub_discount(s, d):
 
 
 def _graph(s, d):
-    return K.build(documents(s, d)).stashed()
+    return K.build(documents(s, d), eager=True).stashed()
 
 
 def _seeds(s, d):

@@ -28,7 +28,7 @@ class CorpusManager:
         at = f"{self.root}/{name}"
         store.docs.write.mode("overwrite").parquet(f"{at}/docs")
         docs = self.spark.read.parquet(f"{at}/docs")
-        kg = kg or K.build(docs.select("id", "text"), self.extractor)
+        kg = kg or K.build(docs.select("id", "text"), self.extractor, eager=True)
         for t in TABLES:
             getattr(kg, t).write.mode("overwrite").parquet(f"{at}/{t}")
         n = docs.count()

@@ -850,11 +850,11 @@ def g5_graph_mode(s, d):
     return got.scored.select("qid", "node", "rank", F.round("score", 5).alias("score"))
 
 
-@query(f"with {graph_mode_sql(True)} select qid, node, round(r, 5) as relevance, round(s, 7) as structural, round(score, 5) as score from ranked")
+@query(f"with {graph_mode_sql(True)} select qid, node, round(r, 5) + 0 as relevance, round(s, 7) as structural, round(score, 5) as score from ranked")
 def g5_every_score(s, d):
     """All scores with the planner's defaults."""
     got = _planner(s, d).retrieve(_by_id(s, d), explain=False, everything=True)
-    return got.scored.select("qid", "node", F.round("relevance", 5).alias("relevance"), F.round("structural", 7).alias("structural"), F.round("score", 5).alias("score"))
+    return got.scored.select("qid", "node", (F.round("relevance", 5) + F.lit(0.0)).alias("relevance"), F.round("structural", 7).alias("structural"), F.round("score", 5).alias("score"))
 
 
 @query(sources_sql(10) + " select qid, position, node, round(score, 4) as score from src")
@@ -872,11 +872,11 @@ def g8_iterate(s, d):
     return a.sources.withColumn("hop", F.lit(1)).unionByName(b.sources.withColumn("hop", F.lit(2))).select("hop", "qid", "node")
 
 
-@query(sources_sql(8) + ", used as (select qid, string_agg(node, ' ' order by pos, node) as seeds_used from sq group by qid) select qid, position, node as id, substring(text, 1, 280) as snippet, round(score, 4) as score, round(r, 4) as cosine, round(s, 6) as graph_score, coalesce(seeds_used, '') as seeds_used from src left join used using (qid)")
+@query(sources_sql(8) + ", used as (select qid, string_agg(node, ' ' order by pos, node) as seeds_used from sq group by qid) select qid, position, node as id, substring(text, 1, 280) as snippet, round(score, 4) as score, round(r, 4) + 0 as cosine, round(s, 6) as graph_score, coalesce(seeds_used, '') as seeds_used from src left join used using (qid)")
 def g9_retrieve_tool(s, d):
     p = _planner(s, d)
     view = p.tool_view(p.retrieve(_by_id(s, d), top_k=8))
-    return view.select("qid", F.explode("sources").alias("s"), F.array_join("seeds_used", " ").alias("seeds_used")).select("qid", "s.*", "seeds_used")
+    return view.select("qid", F.explode("sources").alias("s"), F.array_join("seeds_used", " ").alias("seeds_used")).select("qid", "s.*", "seeds_used").withColumn("cosine", F.col("cosine") + F.lit(0.0))
 
 
 # H: evaluation

@@ -19,7 +19,8 @@ the lower, the more it is like the target.
    and cut into `shards` ranges of hashes, on their way.
 2. A shard adds up the counts of its range over all parts, and answers every part
    with the totals, in the order in which it asked.
-3. A part reads its texts again and scores them with its totals.
+3. A part reads its texts again and scores them with its totals, some whole texts
+   at a time.
 
 So a frequent bigram meets as one row of each part, not of each document, no task
 holds more than a part or a shard, and no model goes to the driver but the
@@ -85,25 +86,58 @@ def _spool(path: str, part_bytes: int, part_rows: int):
     return run
 
 
-def word_hashes(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hash of each word, that of the word before it, and the texts' offsets."""
-    parts, before, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
-    for b in slices(iter(pa.table({"text": texts}).to_batches()), "text"):
+def word_hashes(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word, and the texts' offsets."""
+    parts, sizes = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for b in slices(iter(pa.table({"text": texts}).to_batches()), "text", 1_000_000):
         w = split_words(b.column("text"))
-        h = w.hashes()
-        last = np.empty_like(h)
-        last[1:] = h[:-1]
-        last[w.at[:-1][np.diff(w.at) > 0]] = _START
-        parts.append(h)
-        before.append(last)
+        parts.append(w.hashes())
         sizes.append(np.diff(w.at))
-    return np.concatenate(parts), np.concatenate(before), np.cumsum(np.concatenate(sizes))
+    return np.concatenate(parts), np.cumsum(np.concatenate(sizes))
 
 
-def keys(kind: int, h: np.ndarray, before: np.ndarray) -> np.ndarray:
+def spans(at: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[int, int]]:
+    """Ranges of whole texts of about `most` words, one text at least; what is made of a part's words is made of one range at a time."""
+    cuts = [0, *(np.flatnonzero(np.diff(at[:-1] // most)) + 1).tolist(), len(at) - 1]
+    return ((a, b) for a, b in zip(cuts, cuts[1:]) if a < b)
+
+
+def keys(kind: int, h: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A hash of the word, of its context, or of both."""
     with np.errstate(over="ignore"):
-        return mix(h ^ _SALTS[0]) if kind == _WORD else mix(before ^ _SALTS[1]) if kind == _CONTEXT else mix(before * _SALTS[2] + h)
+        if kind == _WORD:
+            return mix(h ^ _SALTS[0])
+        before = np.empty_like(h)
+        before[1:] = h[:-1]
+        before[at[:-1][np.diff(at) > 0]] = _START
+        return mix(before ^ _SALTS[1]) if kind == _CONTEXT else mix(before * _SALTS[2] + h)
+
+
+def all_keys(kind: int, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = np.empty_like(h)
+    for a, b in spans(at):
+        out[at[a] : at[b]] = keys(kind, h[at[a] : at[b]], at[a : b + 1] - at[a])
+    return out
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers, ascending, and how often each occurs; x is sorted in place."""
+    x.sort()
+    first = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=first[1:])
+    head = np.flatnonzero(first)
+    n = np.empty(len(head), np.int32)  # of one part
+    np.subtract(head[1:], head[:-1], out=n[:-1], casting="unsafe")
+    n[-1:] = len(x) - head[-1:]
+    return x[head], n
+
+
+def places(found: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Where each of x stands in found, which is ascending; sorted first, as they are then looked up from near to near."""
+    order = np.argsort(x)
+    out = np.empty(len(x), np.int64)
+    out[order] = np.searchsorted(found, x[order])
+    return out
 
 
 def shards_of(kind: int, shards: int) -> tuple[int, int]:
@@ -138,15 +172,19 @@ def _count(shards: int):
         for batch in batches:
             for part, path, goods in zip(batch.column("part").to_pylist(), batch.column("path").to_pylist(), batch.column("goods")):
                 t = read_file(path)
-                h, before, at = word_hashes(t.column("text"))
+                h, at = word_hashes(t.column("text"))
                 good = np.repeat(_good(t, goods), np.diff(at))
+                del t
                 for kind in (_WORD, _CONTEXT, _BIGRAM):
-                    found, index, n = np.unique(keys(kind, h, before), return_inverse=True, return_counts=True)
-                    g = np.bincount(index[good], minlength=len(found))
+                    every = all_keys(kind, h, at)
+                    of_good, times = distinct(every[good])
+                    found, n = distinct(every)
+                    del every
+                    g = np.zeros(len(found), np.int32)
+                    g[np.searchsorted(found, of_good)] = times
                     # equal ranges of hashes
                     start, most = shards_of(kind, shards)
-                    of = ((found >> np.uint64(32)) * np.uint64(most)) >> np.uint64(32)
-                    cut = np.searchsorted(of, np.arange(most + 1, dtype=np.uint64))
+                    cut = np.append(np.searchsorted(found, np.array([-(-(s << 32) // most) << 32 for s in range(most)], np.uint64)), len(found))
                     some = np.flatnonzero(np.diff(cut))
                     rows = [slice(cut[s], cut[s + 1]) for s in some.tolist()]
                     yield pa.RecordBatch.from_arrays(
@@ -219,29 +257,35 @@ def _score(k: float, vocabulary: int, corpus_n: int, corpus_g: int):
         values = values.sort_by("shard")
         totals = [np.concatenate([np.zeros(0, np.int64), *(unpack(x) for x in values.column(c))]) for c in ("n", "g")]
         t = read_file(part.column("path")[0].as_py())
-        h, before, at = word_hashes(t.column("text"))
-        size = np.diff(at)
+        h, at = word_hashes(t.column("text"))
         good = _good(t, part.column("goods")[0])
-        owner = np.repeat(np.arange(len(size)), size)
-        of_good = good[owner]
-        n, g, done = [], [], 0
-        for kind in (_WORD, _CONTEXT, _BIGRAM):
-            found, index = np.unique(keys(kind, h, before), return_inverse=True)
-            all_n, good_n = (x[done : done + len(found)][index] for x in totals)
-            done += len(found)
-            own = own_counts(index, owner, all_n)
-            n.append(all_n - own)
-            g.append(good_n - own * of_good)
-        some = size > 0
-        means = []
-        for x, everything in ((g, corpus_g - size * good), ([scale * y for y in n], scale * (corpus_n - size))):
-            p = (x[_WORD] + 1) / (everything[owner] + vocabulary)
-            loss = -np.log((x[_BIGRAM] + k * p) / (x[_CONTEXT] + k))
-            mean = np.full(len(size), np.nan)
-            if some.any():
-                mean[some] = np.add.reduceat(loss, at[:-1][some]) / size[some]
-            means.append(mean)
-        cols = [t.column("doc_id"), pa.array(size), *(pa.array(x, from_pandas=True) for x in (*means, means[0] - means[1]))]
+        ids = t.column("doc_id")
+        del t, values
+        # the keys of a kind, ascending, stand in the order of their totals
+        found = [distinct(all_keys(kind, h, at))[0] for kind in (_WORD, _CONTEXT, _BIGRAM)]
+        starts = np.cumsum([0, *map(len, found)])
+        size = np.diff(at)
+        means = np.full((2, len(size)), np.nan)
+        for a, b in spans(at):
+            some, words = size[a:b], h[at[a] : at[b]]
+            near = at[a : b + 1] - at[a]
+            owner = np.repeat(np.arange(b - a), some)
+            of_good = good[a:b][owner]
+            n, g = [], []
+            for kind in (_WORD, _CONTEXT, _BIGRAM):
+                index = places(found[kind], keys(kind, words, near))
+                all_n, good_n = (x[starts[kind] : starts[kind + 1]][index] for x in totals)
+                own = own_counts(index, owner, all_n)
+                n.append(all_n - own)
+                g.append(good_n - own * of_good)
+            full = some > 0
+            if not full.any():
+                continue
+            for i, (x, everything) in enumerate(((g, corpus_g - some * good[a:b]), ([scale * y for y in n], scale * (corpus_n - some)))):
+                p = (x[_WORD] + 1) / (everything[owner] + vocabulary)
+                loss = -np.log((x[_BIGRAM] + k * p) / (x[_CONTEXT] + k))
+                means[i, a:b][full] = np.add.reduceat(loss, near[:-1][full]) / some[full]
+        cols = [ids, pa.array(size), *(pa.array(x, from_pandas=True) for x in (*means, means[0] - means[1]))]
         return pa.Table.from_arrays(cols, ["doc_id", "n_tokens", "loss_target", "loss_background", "loss_difference"])
 
     return run
@@ -252,7 +296,7 @@ def score(docs: DataFrame, labels: DataFrame, k: float = 4.0, part_bytes: int =
 
     shards: ranges of hashes for the bigrams; by default as many as there are
     parts, 256 at least. Parts times shards rows are shuffled, so both should be as large as the
-    memory of a task lets them be: some 25 bytes for each byte of a part.
+    memory of a task lets them be: some 15 bytes for each byte of a part.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -86,3 +86,79 @@ def test_what_tasks_make_is_not_taken_to_be_small(spark, incidence):
     path = N.weighted(incidence, spark)
     for d in (N.walks(path, seeds, N.WalkConfig()), N.all_paths(path, seeds, None, 3), N.cooccurrences(incidence, spark)):
         assert size_of(d) > 1 << 40
+
+
+def old_louvain(n, edges, rounds=10, seed=0):
+    """With a dict for each node."""
+    weights = [{} for _ in range(n)]
+    for a, b in edges:
+        weights[a][b] = weights[a].get(b, 0) + 1.0
+        weights[b][a] = weights[b].get(a, 0) + 1.0
+    member = list(range(n))
+    while True:
+        k = [sum(x.values()) for x in weights]
+        total = sum(k) or 1.0
+        own, mass, moved = list(range(len(weights))), list(k), False
+        for _ in range(rounds):
+            again = False
+            for v in np.random.default_rng(seed).permutation(len(weights)).tolist():
+                near = {}
+                for u, w in weights[v].items():
+                    if u != v:
+                        near[own[u]] = near.get(own[u], 0) + w
+                mass[own[v]] -= k[v]
+                gain = lambda c: near.get(c, 0) - mass[c] * k[v] / total  # noqa: B023, E731
+                best = min(near, key=lambda c: (-gain(c), c), default=own[v])
+                if gain(best) > gain(own[v]) + 1e-12:
+                    own[v], again, moved = best, True, True
+                mass[own[v]] += k[v]
+            if not again:
+                break
+        if not moved:
+            break
+        names = {c: i for i, c in enumerate(dict.fromkeys(own))}
+        member = [names[own[m]] for m in member]
+        bigger = [{} for _ in names]
+        for v, row in enumerate(weights):
+            for u, w in row.items():
+                a, b = names[own[v]], names[own[u]]
+                bigger[a][b] = bigger[a].get(b, 0) + w
+        weights = bigger
+    first = {c: i for i, c in enumerate(dict.fromkeys(member))}
+    return [first[m] for m in member]
+
+
+def test_louvain_on_arrays():
+    from latticework.operators.graph import louvain
+
+    rng = np.random.default_rng(1)
+    for n, m in ((1, 0), (30, 60), (200, 500), (200, 2000)):
+        edges = [tuple(x) for x in rng.integers(0, n, (m, 2)).tolist()]
+        assert louvain(n, edges) == old_louvain(n, edges)
+
+
+def test_searches_hold_strips(tmp_path, monkeypatch):
+    """Nearest rows, ties by name, in a few MB however large the blocks are."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from latticework.operators import blocks as B
+
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((9000, 24))
+    v[5000:5300] = v[:300]
+    names = sorted(str(i) for i in range(len(v)))
+    for i in range(3):
+        pq.write_table(pa.table({"k": names[i * 3000 : i * 3000 + 3000], "v": v[i * 3000 : i * 3000 + 3000].tolist()}), tmp_path / f"part-{i}.parquet")
+    todo = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0]), pa.array([3])], ["a", "low", "high"])
+    tracemalloc.start()
+    got = pa.Table.from_batches(list(B._search(str(tmp_path), str(tmp_path), 5, True)([todo])))  # noqa: SLF001
+    assert tracemalloc.get_traced_memory()[1] < 50e6
+    tracemalloc.stop()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.round(u[3000:6000] @ u.T, B.DECIMALS)
+    s[np.arange(3000), np.arange(3000, 6000)] = -np.inf
+    want = [(names[3000 + i], names[j]) for i, x in enumerate(np.argsort(-s, axis=1, kind="stable")[:, :5].tolist()) for j in x]
+    assert list(zip(got["id"].to_pylist(), got["nbr"].to_pylist())) == want
